@@ -66,7 +66,7 @@ def to_matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.
     if column.null_count or flat.size % n:
         raise ValueError("vectors are null or differ in length")
     width = flat.size // n
-    lengths = np.diff(column.offsets.to_numpy()) if hasattr(column, "offsets") else np.full(n, width)
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
     if (lengths != width).any() or (dim is not None and width != dim):
         raise ValueError("vectors differ in length")
     return flat.reshape(n, width)

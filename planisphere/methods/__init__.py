@@ -1,0 +1,3 @@
+"""All projection methods; importing this package registers them."""
+
+from planisphere.methods import linear  # noqa: F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,24 +66,27 @@ def _rows(parts, salt: int) -> pa.RecordBatch:
     )
 
 
-def _partials(batches):
-    import pyspark
+def _partials(batch_rows: int | None):
+    def run(batches):
+        import pyspark
+
+        context = pyspark.TaskContext.get()
+        salt = (context.partitionId() if context else 0) % _SALTS
+        total = None
+        for batch in batches:
+            step = batch_rows or max(batch.num_rows, 1)
+            for start in range(0, batch.num_rows, step):
+                m = moments_of(to_matrix(batch.column(0).slice(start, step)))
+                total = m if total is None else total.merge(m)
+        if total is None:
+            return
+        step = max(_BLOCK_BYTES // (8 * total.dim), 1)
+        mean = total.mean.tobytes()
+        yield _rows(
+            [(b, total.n, mean, total.scatter[r:r + step].tobytes()) for b, r in enumerate(range(0, total.dim, step))], salt
+        )
 
-    context = pyspark.TaskContext.get()
-    salt = (context.partitionId() if context else 0) % _SALTS
-    total = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        m = moments_of(to_matrix(batch.column(0)))
-        total = m if total is None else total.merge(m)
-    if total is None:
-        return
-    step = max(_BLOCK_BYTES // (8 * total.dim), 1)
-    mean = total.mean.tobytes()
-    yield _rows(
-        [(b, total.n, mean, total.scatter[r:r + step].tobytes()) for b, r in enumerate(range(0, total.dim, step))], salt
-    )
+    return run
 
 
 def _merge_blocks(batches):
@@ -105,14 +109,16 @@ def _merge_blocks(batches):
         yield _rows([(b, n, m.tobytes(), p.tobytes()) for b, (n, m, p) in sorted(state.items())], 0)
 
 
-def moments(df: DataFrame, vec: str = "embedding") -> Moments:
+def moments(df: DataFrame, vec: str = "embedding", batch_rows: int | None = None) -> Moments:
     """One pass over the vectors; partial results merge in a tree keyed by blocks of matrix rows.
 
-    Only the final d x d result reaches the driver.
+    Only the final d x d result reaches the driver. ``batch_rows`` bounds the rows
+    merged at a time within a task.
     """
-    parts = df.select(vec).mapInArrow(_partials, _PARTIAL)
+    parts = df.select(vec).mapInArrow(_partials(batch_rows), _PARTIAL)
     level = parts.repartition(F.col("blk"), F.col("salt")).mapInArrow(_merge_blocks, _PARTIAL)
-    rows = level.repartition(F.col("blk")).mapInArrow(_merge_blocks, _PARTIAL).orderBy("blk").collect()
+    rows = level.repartition(F.col("blk")).mapInArrow(_merge_blocks, _PARTIAL).collect()
+    rows.sort(key=lambda r: r["blk"])
     if not rows:
         raise ValueError("no vectors")
     mean = np.frombuffer(rows[0]["mean"])
@@ -120,6 +126,54 @@ def moments(df: DataFrame, vec: str = "embedding") -> Moments:
     return Moments(rows[0]["n"], mean.copy(), scatter)
 
 
+def sum_arrays(df: DataFrame, fn: Callable[[pa.RecordBatch], list[np.ndarray]]) -> list[np.ndarray]:
+    """Element-wise sum, over all batches of ``df``, of arrays whose size depends on parameters only.
+
+    Every task sends one partial, at most ``_SALTS`` merged partials reach the driver.
+    """
+
+    def add(total, new):
+        return new if total is None else [a + b for a, b in zip(total, new, strict=True)]
+
+    def row(arrays, salt):
+        shapes = [list(a.shape) for a in arrays]
+        data = [np.ascontiguousarray(a, dtype=np.float64).tobytes() for a in arrays]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([salt], pa.int32()), pa.array([shapes], pa.list_(pa.list_(pa.int32()))),
+             pa.array([data], pa.list_(pa.binary()))], names=["salt", "shapes", "parts"])
+
+    def unpack(shapes, parts):
+        return [np.frombuffer(p).reshape(s) for s, p in zip(shapes, parts, strict=True)]
+
+    def partial(batches):
+        import pyspark
+
+        context = pyspark.TaskContext.get()
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                total = add(total, [np.asarray(a, dtype=np.float64) for a in fn(batch)])
+        if total is not None:
+            yield row(total, (context.partitionId() if context else 0) % _SALTS)
+
+    def merge(batches):
+        total = None
+        for batch in batches:
+            for shapes, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                total = add(total, unpack(shapes, parts))
+        if total is not None:
+            yield row(total, 0)
+
+    schema = "salt int, shapes array<array<int>>, parts array<binary>"
+    level = df.mapInArrow(partial, schema).repartition(F.col("salt")).mapInArrow(merge, schema)
+    total = None
+    for r in level.collect():
+        total = add(total, unpack(r["shapes"], r["parts"]))
+    if total is None:
+        raise ValueError("no rows")
+    return total
+
+
 def covariance_table(df: DataFrame, vec: str = "embedding") -> DataFrame:
     """Covariance as (i, j, cov) with one-based columns."""
     m = moments(df, vec)

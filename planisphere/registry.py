@@ -54,7 +54,7 @@ SCHEMAS = {
                      "~repulsion_strength:double=1.0 apply_pca:boolean=true init:string=pca ~verbose:boolean=false",
     "pacmap": "n_components:int=2 n_neighbors:int=10 MN_ratio:double=0.5 FP_ratio:double=2.0 num_iters:int=450 "
               "lr:double=1.0 apply_pca:boolean=true init:string=pca random_state:int=42 ~verbose:boolean=false "
-              "preprocess_pca:int=50 backend:string=annoy",
+              "preprocess_pca:int=50 backend:string=exact",
     "clmds": "n_clusters:int=5 max_iter:int=300 ~random_state:int=42",
     "tsne_pso": "n_components:int=2 perplexity:double=30.0 n_particles:int=10 n_iter:int=500 random_state:int=42 "
                 "inertia_weight:double=0.7 h:double=1e-20 f:double=1e-21 use_hybrid:boolean=true "
@@ -66,8 +66,27 @@ SCHEMAS = {
     "tsimcne": "n_components:int=2 total_epochs:string=500,50,250 random_state:int=42",
 }
 
-# Recorded in the catalogue only on request of the stricter identity; used by the method.
-UNLISTED = {"pacmap": ("preprocess_pca", "backend")}
+# Options that are no catalogue columns: work limits, landmark counts and neighbour backends.
+OPTIONS = {
+    "dictlearn": "alpha:double=1.0",
+    "kpca": "landmarks:int=1024",
+    "isomap": "landmarks:int=100 backend:string=exact on_disconnected:string=join random_state:int=42",
+    "lle": "reg:double=1e-3 backend:string=exact max_iter:int=60 tol:double=1e-4",
+    "spectral": "backend:string=exact max_iter:int=60 tol:double=1e-4 on_disconnected:string=join",
+    "glle": "reg:double=1e-3 backend:string=exact max_iter:int=60 tol:double=1e-4 random_state:int=42",
+    "mds": "landmarks:int=500 n_init:int=4 max_iter:int=300 eps:double=1e-3",
+    "sammon_random": "landmarks:int=500",
+    "clmds": "landmarks:int=200 anchors:int=6 candidates:int=256",
+    "phate": "landmarks:int=100 backend:string=exact",
+    "umap": "n_epochs:int=200 negatives:int=5 learning_rate:double=1.0 init:string=spectral backend:string=exact",
+    "tsne": "backend:string=exact",
+    "tsne_pso": "cognitive_weight:double=1.0 social_weight:double=1.0 early_exaggeration_iter:int=250 backend:string=exact",
+    "trimap": "backend:string=exact init:string=pca",
+    "spacemap": "backend:string=exact random_state:int=42",
+    "paramrepulsor": "hidden:int=100 backend:string=exact MN_ratio:double=0.5 FP_ratio:double=2.0 random_state:int=42",
+    "slisemap": "prototypes:int=25 max_iter:int=10 random_state:int=42",
+    "pacmap": "",
+}
 
 METHODS: dict[str, Callable] = {}
 _EXTRA: dict[str, list[Param]] = {}
@@ -94,6 +113,10 @@ def schema_of(method: str) -> list[Param]:
     return _parse(SCHEMAS[method])
 
 
+def options_of(name: str) -> list[Param]:
+    return _parse(OPTIONS.get(name, ""))
+
+
 def method(name: str, schema: str | None = None):
     """Register ``fn(df, params) -> DataFrame(item_id, group_key, x, y)`` under a name.
 
@@ -122,7 +145,7 @@ def typed_params(name: str, given: dict[str, Any] | None = None) -> dict[str, An
     """Defaults overridden by the given values, each cast to its declared type."""
     given = dict(given or {})
     out: dict[str, Any] = {}
-    for p in schema_of(name):
+    for p in [*schema_of(name), *options_of(name)]:
         value = given.pop(p.name, p.default)
         if isinstance(value, (list, tuple)):
             value = ",".join(str(v) for v in value)
@@ -163,3 +186,13 @@ def configs_from(document: dict[str, list[dict[str, Any]]]) -> list[RunConfig]:
                 subset_size=int(rest.pop("subset_size", 250)), params=rest,
             ))
     return out
+
+
+def run_method(df, name: str, **given):
+    """Coordinates item_id, group_key, x, y of ``df`` under a registered method."""
+    import planisphere.methods  # noqa: F401
+
+    if name not in METHODS:
+        schema_of(name)
+        raise NotImplementedError(f"{name} is recorded in the catalogue but not supported")
+    return METHODS[name](df, typed_params(name, given))
