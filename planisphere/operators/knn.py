@@ -50,17 +50,27 @@ def _screen(q: np.ndarray, x: np.ndarray, metric: str, p: float) -> np.ndarray:
     return out
 
 
-def top_k(qid, q, xid, x, k: int, metric: str = "euclidean", p: float = 2.0, include_self: bool = False):
-    """(query row, data row, distance) of the k nearest per query; equal distances go by id."""
+def top_k(qid, q, xid, x, k: int, metric: str = "euclidean", p: float = 2.0, include_self: bool = False,
+          qtag=None, xtag=None):
+    """(query row, data row, distance) of the k nearest per query; equal distances go by id.
+
+    With tags, rows of the query's own tag are left out.
+    """
     order = np.argsort(xid, kind="stable")
     xid, x = xid[order], x[order]
+    xtag = xtag[order] if xtag is not None else None
     rows, cols, dist = [], [], []
     want = k + 8
+    # Distances do not change with the origin; a near one keeps the screening sums accurate.
+    origin = x.mean(axis=0) if metric == "euclidean" and len(x) else np.zeros(x.shape[1])
+    moved = x - origin
     for start in range(0, len(q), TILE):
         qs, ids = q[start:start + TILE], qid[start:start + TILE]
-        s = _screen(qs, x, metric, p)
+        s = _screen(qs - origin, moved, metric, p)
         if not include_self:
             s[ids[:, None] == xid[None, :]] = np.inf
+        if xtag is not None:
+            s[qtag[start:start + TILE][:, None] == xtag[None, :]] = np.inf
         m = min(k, s.shape[1])
         kth = np.partition(s, m - 1, axis=1)[:, m - 1:m]
         slack = 1e-9 * (1.0 + np.where(np.isfinite(kth), np.abs(kth), 0.0))
@@ -99,7 +109,9 @@ def _kernel(k, metric, p, include_self, two_sided):
             r = c = np.zeros(0, int)
             d = np.zeros(0)
         else:
-            r, c, d = top_k(ids[qi], vec[qi], ids[xi], vec[xi], k, metric, p, include_self)
+            tags = _ids(table.column("tag")) if "tag" in table.column_names else None
+            by_tag = (tags[qi], tags[xi]) if tags is not None else (None, None)
+            r, c, d = top_k(ids[qi], vec[qi], ids[xi], vec[xi], k, metric, p, include_self, *by_tag)
         return pa.table({
             "src": pa.array(list(ids[qi][r]), kind), "dst": pa.array(list(ids[xi][c]), kind), "dist": pa.array(d),
         })
@@ -130,13 +142,16 @@ def _grid(df: DataFrame, n: int, dim: int) -> int:
 
 
 def knn_exact(df: DataFrame, k: int, key: str = "item_id", vec: str = "embedding", metric: str = "euclidean",
-              p: float = 2.0, include_self: bool = False, blocks: int | None = None, n: int | None = None) -> DataFrame:
+              p: float = 2.0, include_self: bool = False, blocks: int | None = None, n: int | None = None,
+              tag: str | None = None) -> DataFrame:
     """The k nearest rows of every row: src, rank, dst, dist.
 
     Rows fall into hash blocks of bounded size and every pair of blocks is one
     group, met by an equi-key; each group returns k rows per query. Comparing all
     pairs is what exactness costs; use the other two joins where that is too much.
+    Rows that share ``tag`` are never neighbours.
     """
+    extra = [F.col(tag).alias("tag")] if tag else []
     n = df.count() if n is None else n
     if blocks is None:
         first = df.select(F.size(vec)).first()
@@ -144,14 +159,14 @@ def knn_exact(df: DataFrame, k: int, key: str = "item_id", vec: str = "embedding
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     if blocks == 1:
-        grouped = df.select(F.lit(0).alias("i"), F.col(key).alias("id"), F.col(vec).alias("vec")).groupBy("i")
+        grouped = df.select(F.lit(0).alias("i"), F.col(key).alias("id"), F.col(vec).alias("vec"), *extra).groupBy("i")
         return _rank(grouped.applyInArrow(_kernel(k, metric, p, include_self, False), _schema(df, key)), k)
     places = F.concat(
         F.transform(every, lambda j: F.struct(F.col("_b").alias("i"), j.alias("j"), F.lit(True).alias("query"))),
         F.transform(every, lambda i: F.struct(i.alias("i"), F.col("_b").alias("j"), F.lit(False).alias("query"))),
     )
-    copies = df.select(F.col(key).alias("id"), F.col(vec).alias("vec"), block.alias("_b")).withColumn("at", F.explode(places))
-    grouped = copies.select("at.i", "at.j", "at.query", "id", "vec").groupBy("i", "j")
+    copies = df.select(F.col(key).alias("id"), F.col(vec).alias("vec"), *extra, block.alias("_b")).withColumn("at", F.explode(places))
+    grouped = copies.select("at.i", "at.j", "at.query", "id", "vec", *(["tag"] if tag else [])).groupBy("i", "j")
     return _rank(grouped.applyInArrow(_kernel(k, metric, p, include_self, True), _schema(df, key)), k)
 
 

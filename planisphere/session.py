@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, row_bytes: int, batch_bytes: int = 64 * 1024 * 1024):
+    """Arrow batches of about ``batch_bytes`` for jobs started inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(min(int(before), batch_bytes // max(row_bytes, 1)), 16)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.sparkContext.defaultParallelism), 1)
 
