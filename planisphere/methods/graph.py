@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from planisphere.functions.seeded import normal_value
 from planisphere.functions.vectors import as_xy, map_matrix
-from planisphere.methods.linear import fix_signs, place
 from planisphere.methods.stress import classical_mds, smacof
 from planisphere.operators.graph import (
     Eigen, Links, Neighbours, barycentre_weights, connect, eigenvectors, geodesics, neighbours, product,
@@ -23,9 +22,9 @@ from planisphere.session import cut
 
 def oriented(vectors: DataFrame, k: int, scale: float = 1.0) -> DataFrame:
     """node, x, y: every axis with its largest absolute entry positive."""
-    peaks = vectors.agg(*[F.max_by(F.col("v")[i], F.abs(F.col("v")[i])).alias(f"p{i}") for i in range(k)]).first()
+    peaks = vectors.agg(*[F.max_by(f"v{i}", F.abs(f"v{i}")).alias(f"p{i}") for i in range(k)]).first()
     signs = [-1.0 if (p or 0.0) < 0 else 1.0 for p in peaks]
-    return vectors.select("node", *[(F.col("v")[i] * F.lit(signs[i] * scale)).alias(c) for i, c in zip(range(k), "xy", strict=False)])
+    return vectors.select("node", *[(F.col(f"v{i}") * F.lit(signs[i] * scale)).alias(c) for i, c in zip(range(k), "xy", strict=False)])
 
 
 # --- isometric maps
@@ -58,12 +57,6 @@ def isomap(df: DataFrame, params: dict) -> DataFrame:
 
 # --- spectral maps
 
-def normalised(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges of D^-1/2 A D^-1/2 and the degrees (node, deg)."""
-    degrees = cut(edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("deg")))
-    return edges, degrees
-
-
 def spectral_vectors(nb: Neighbours, edges: DataFrame, k: int, max_iter: int, tol: float, seed: int) -> tuple[Eigen, DataFrame]:
     """Leading non-trivial eigenvectors of the normalised adjacency; edges in both directions."""
     degrees = cut(edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("deg")))
@@ -80,8 +73,7 @@ def spectral_vectors(nb: Neighbours, edges: DataFrame, k: int, max_iter: int, to
 
 
 def fit_spectral(nb: Neighbours, params: dict) -> tuple[Eigen, DataFrame]:
-    a = symmetrise(nb.knn.select("src", "dst", F.lit(1.0).alias("w")), "mean")
-    edges = cut(a)
+    edges = cut(symmetrise(nb.knn.select("src", "dst", F.lit(1.0).alias("w")), "mean"))
     if params.get("on_disconnected", "join") == "join":
         edges = connect(nb, edges, close=F.lit(1.0))
     return spectral_vectors(nb, edges, params["n_components"], params["max_iter"], params["tol"], params["random_state"])
@@ -105,15 +97,13 @@ def bottom_vectors(nb: Neighbours, weights: DataFrame, k: int, max_iter: int, to
     out_norm = weights.groupBy("src").agg(F.sum(F.abs("w")).alias("s")).agg(F.max("s")).first()[0] or 0.0
     in_norm = weights.groupBy("dst").agg(F.sum(F.abs("w")).alias("s")).agg(F.max("s")).first()[0] or 0.0
 
-    def half(values, m, frm, to):
+    def half(values, m, frm, to, out):
         got = product(links, values, m, frm=frm, to=to)
-        joined = values.join(got, "node", "left")
-        zero = F.array_repeat(F.lit(0.0), m)
-        return joined.select("node", F.zip_with("v", F.coalesce("av", zero), lambda a, b: a - b).alias("av"))
+        return values.join(got, "node", "left").selectExpr("node", *[f"v{i} - coalesce(a{i}, 0D) AS {out}{i}" for i in range(m)])
 
     def multiply(values, m):
-        inner = half(values, m, "dst", "src").withColumnRenamed("av", "v")
-        return half(inner, m, "src", "dst")
+        # The inner product is read twice, so it is written once.
+        return half(cut(half(values, m, "dst", "src", "v")), m, "src", "dst", "a")
 
     known = nb.nodes.select("node", F.lit(1.0).alias("u"))
     found = eigenvectors(nb.nodes.select("node"), multiply, k, 0.0, (1 + out_norm) * (1 + in_norm), False, known,

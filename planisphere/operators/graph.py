@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from planisphere.functions.seeded import normal
 from planisphere.functions.skew import add_salt, hot_keys, repeat_for_salt
-from planisphere.functions.vectors import to_lists, to_matrix
+from planisphere.functions.vectors import to_matrix
 from planisphere.operators.knn import knn
 from planisphere.operators.moments import sum_arrays
 from planisphere.operators.pairs import number_nodes
@@ -26,15 +26,16 @@ class Links:
     tasks, and every look-up is a shuffle join on (end, salt).
     """
 
-    def __init__(self, edges: DataFrame, n: int, row_bytes: int = 32, limit: int = BROADCAST_BYTES):
-        self.n, self.limit, self.hot = n, limit, {}
+    def __init__(self, edges: DataFrame, n: int, row_bytes: int = 32, limit: int | None = None, ends: tuple[str, ...] = ("src", "dst")):
+        limit = BROADCAST_BYTES if limit is None else limit
+        self.n, self.limit, self.hot, self.ends = n, limit, {}, ends
         self.small = n * row_bytes <= limit
         if not self.small:
             base = edges.persist()
             rows = base.count()
-            for end, other in (("src", "dst"), ("dst", "src")):
+            for end in ends:
                 self.hot[end] = cut(hot_keys(base, end, rows))
-                edges = add_salt(edges, end, self.hot[end], other).withColumnRenamed("_salt", f"_salt_{end}")
+                edges = add_salt(edges, end, self.hot[end], *[e for e in ends if e != end]).withColumnRenamed("_salt", f"_salt_{end}")
         self.edges = cut(edges).persist()
         if not self.small:
             base.unpersist()
@@ -146,7 +147,7 @@ def geodesics(links: Links, sources: list[int], weight: str = "w", rounds: int =
 
 @dataclass
 class Eigen:
-    """Eigenvalues, their vectors as node, v array, and the residual norms."""
+    """Eigenvalues, their vectors as node, v0, v1.., and the residual norms over the spectral norm."""
 
     values: np.ndarray
     vectors: DataFrame
@@ -157,49 +158,46 @@ class Eigen:
 
 
 def product(links: Links, values: DataFrame, m: int, weight: str = "w", frm: str = "dst", to: str = "src") -> DataFrame:
-    """Sparse matrix times block: node, av with av = sum of weight * v over the edges of ``to``."""
-    sent = links.attach(links.edges, frm, values, {"v": "v"})
-    sums = [F.sum(F.col(weight) * F.col("v")[i]).alias(f"s{i}") for i in range(m)]
-    return sent.groupBy(F.col(to).alias("node")).agg(*sums).select("node", F.array(*[F.col(f"s{i}") for i in range(m)]).alias("av"))
-
-
-def _combine(a: Column, b: Column, fa: float, fb: float) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.lit(fa) * x + F.lit(fb) * y)
+    """Sparse matrix times block: node, a0.. with a = sum of weight * v over the edges of ``to``."""
+    sent = links.attach(links.edges, frm, values, {f"v{i}": f"v{i}" for i in range(m)})
+    sums = [F.expr(f"sum({weight} * v{i}) AS a{i}") for i in range(m)]
+    return sent.groupBy(F.col(to).alias("node")).agg(*sums)
 
 
 def eigenvectors(nodes: DataFrame, multiply, k: int, low: float, high: float, largest: bool, known: DataFrame | None = None,
                  extra: int = 4, steps: int = 8, max_iter: int = 60, tol: float = 1e-4, seed: int = 42) -> Eigen:
     """The k outermost eigenpairs of a symmetric sparse operator with spectrum inside [low, high].
 
-    ``multiply(df, m)`` maps node, v to node, av. A block of k + extra vectors is
+    ``multiply(df, m)`` maps node, v0.. to node, a0... A block of k + extra vectors is
     expanded by a Chebyshev recurrence, which needs no dot products, so a cycle of
     ``steps`` products ends with one small Gram aggregate; the projected problem is
     solved on the driver and the best vectors start the next cycle. ``known`` holds
     a known eigenvector (node, u) that is kept out.
     """
     m, has_known = k + extra, known is not None
-    block = nodes.select("node", F.array(*[normal(seed, F.col("node"), c) for c in range(m)]).alias("b0"))
-    state = cut(block.join(known, "node") if has_known else block)
+    state = nodes.select("node", *[normal(seed, F.col("node"), c).alias(f"b0_{c}") for c in range(m)])
+    state = cut(state.join(known, "node") if has_known else state)
     lead = ["u"] if has_known else []
-    zero = F.array_repeat(F.lit(0.0), m)
     done = 0
     while True:
         scale, mid = (high - low) / 2.0, (high + low) / 2.0
         for s in range(steps):
             # b1 = A'b0, then 2 A'b - the one before, with A' = (A - mid) / scale.
-            got = multiply(state.select("node", F.col(f"b{s}").alias("v")), m)
-            image = _combine(F.coalesce("av", zero), F.col(f"b{s}"), 1.0 / scale, -mid / scale)
-            new = image if s == 0 else _combine(image, F.col(f"b{s - 1}"), 2.0, -1.0)
-            state = cut(state.join(got, "node", "left").withColumn(f"b{s + 1}", new).drop("av"))
+            got = multiply(state.selectExpr("node", *[f"b{s}_{i} AS v{i}" for i in range(m)]), m)
+            image = [f"(coalesce(a{i}, 0D) - {mid!r}D * b{s}_{i}) / {scale!r}D" for i in range(m)]
+            new = [e if s == 0 else f"2D * ({e}) - b{s - 1}_{i}" for i, e in enumerate(image)]
+            state = cut(state.join(got, "node", "left").selectExpr(
+                *state.columns, *[f"{e} AS b{s + 1}_{i}" for i, e in enumerate(new)]), replaces=state)
             done += 1
-        cols = [*lead, *[f"b{s}" for s in range(steps + 1)]]
-        g = sum_arrays(state.select(*cols), _gram(m))[0]
+        cols = [*lead, *[f"b{s}_{i}" for s in range(steps + 1) for i in range(m)]]
+        g = sum_arrays(state.select(*cols), _gram)[0]
         coef, theta, resid = _ritz(g, m, steps, has_known, largest, m)
         values = mid + scale * theta
+        fresh = ["node", *[f"b0_{i}" for i in range(m)], *lead]
         state = cut(state.select("node", *cols).mapInArrow(
-            _rotate(coef, m, lead), "node bigint, b0 array<double>" + (", u double" if has_known else "")))
+            _rotate(coef, fresh), ", ".join(f"{c} {'bigint' if c == 'node' else 'double'}" for c in fresh)))
         norm = max(abs(high), abs(low), 1e-300)
-        best = Eigen(values[:k], state.select("node", F.slice("b0", 1, k).alias("v")), resid[:k] * scale / norm)
+        best = Eigen(values[:k], state.selectExpr("node", *[f"b0_{i} AS v{i}" for i in range(k)]), resid[:k] * scale / norm)
         if best.converged(tol) or done >= max_iter:
             return best
         if not largest:
@@ -208,30 +206,24 @@ def eigenvectors(nodes: DataFrame, multiply, k: int, low: float, high: float, la
             high = min(high, float(mid + scale * (top[0] + over[0])))
 
 
-def _columns(batch, first: int, m: int) -> np.ndarray:
-    """The numeric and block columns of a batch side by side."""
-    parts = []
-    for c in range(first, batch.num_columns):
-        col = batch.column(c)
-        plain = pa.types.is_floating(col.type)
-        parts.append(col.to_numpy(zero_copy_only=False)[:, None] if plain else to_matrix(col, m))
-    return np.hstack(parts)
+def _matrix(batch, first: int = 0) -> np.ndarray:
+    """The numeric columns of a batch side by side."""
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(first, batch.num_columns)])
 
 
-def _gram(m: int):
-    def run(batch):
-        x = _columns(batch, 0, m)
-        return [x.T @ x]
-
-    return run
+def _gram(batch) -> list[np.ndarray]:
+    x = _matrix(batch)
+    return [x.T @ x]
 
 
-def _rotate(coef: np.ndarray, m: int, lead: list[str]):
+def _rotate(coef: np.ndarray, names: list[str]):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                arrays = [batch.column(0), to_lists(_columns(batch, 1, m) @ coef)] + ([batch.column(1)] if lead else [])
-                yield pa.RecordBatch.from_arrays(arrays, names=["node", "b0", *lead])
+                new = _matrix(batch, 1) @ coef
+                arrays = [batch.column(0), *[pa.array(new[:, i]) for i in range(new.shape[1])]]
+                arrays += [batch.column(1)] * (len(names) - len(arrays))
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 

@@ -2,7 +2,7 @@
 
 
 def all_queries():
-    from planisphere.plans import catalog_queries, linear_queries, neighbour_queries  # noqa: F401
+    from planisphere.plans import catalog_queries, graph_queries, linear_queries, neighbour_queries  # noqa: F401
     from planisphere.plans.base import QUERIES
 
     return dict(QUERIES)

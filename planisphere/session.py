@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,13 +45,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read back.
 
-    Survives the loss of executors, unlike a local checkpoint.
+    Survives the loss of executors, ends the lineage, and gives the optimiser the
+    true size of the result; a loop that joins its own state would otherwise carry
+    ever larger size estimates from step to step. ``replaces`` is an earlier result
+    of this function that nothing refers to any more; its files are deleted.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._cut_folder = folder
+    old = getattr(replaces, "_cut_folder", None)
+    if old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(old)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
 
 
 @contextmanager
