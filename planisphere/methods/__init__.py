@@ -1,3 +1,3 @@
 """All projection methods; importing this package registers them."""
 
-from planisphere.methods import graph, linear, stress  # noqa: F401
+from planisphere.methods import graph, layout, linear, parametric, stress, tsne  # noqa: F401

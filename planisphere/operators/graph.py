@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planisphere.functions.seeded import normal
-from planisphere.functions.skew import add_salt, hot_keys, repeat_for_salt
+from planisphere.functions.skew import add_salt, hot_keys, repeat_for_salt, salted_join
 from planisphere.functions.vectors import to_matrix
 from planisphere.operators.knn import knn
 from planisphere.operators.moments import sum_arrays
@@ -44,10 +44,12 @@ class Links:
         """``df`` with the columns of ``values`` (one row per node) of the node at ``end``."""
         names = names or {c: c for c in values.columns if c not in ("node", *also)}
         v = values.select(F.col("node").alias(end), *also, *[F.col(c).alias(a) for c, a in names.items()])
+        # The first look-up of several rows per node brings their key, the later ones match it.
+        shared = [c for c in also if c in df.columns]
         if self.small:
-            return df.join(F.broadcast(v), [end, *also])
+            return df.join(F.broadcast(v), [end, *shared])
         v = repeat_for_salt(v, end, self.hot[end]).withColumnRenamed("_salt", f"_salt_{end}")
-        return df.join(v, [end, f"_salt_{end}", *also])
+        return df.join(v, [end, f"_salt_{end}", *shared])
 
     def close(self) -> None:
         self.edges.unpersist()
@@ -85,13 +87,11 @@ def components(links: Links, nodes: DataFrame, rounds: int = 64) -> DataFrame:
     labels = cut(nodes.select("node", F.col("node").alias("comp")))
     for _ in range(rounds):
         heard = links.attach(links.edges, "dst", labels).groupBy(F.col("src").alias("node")).agg(F.min("comp").alias("c"))
-        near = labels.join(heard, "node", "left").select("node", "comp", F.least("comp", F.coalesce("c", "comp")).alias("c")).persist()
-        # The label of a label: many nodes may share one, so the small side is reduced to used labels first.
-        used = near.select("c").distinct().join(near.select(F.col("node").alias("c"), F.col("c").alias("to")), "c")
-        rows = hot_keys(near, "c", links.n)
-        moved = add_salt(near, "c", rows, "node").join(repeat_for_salt(used, "c", rows), ["c", "_salt"])
-        after = cut(moved.select("node", F.least("c", "to").alias("comp"), (F.least("c", "to") != F.col("comp")).alias("changed")))
-        near.unpersist()
+        near = cut(labels.join(heard, "node", "left").select("node", "comp", F.least("comp", F.coalesce("c", "comp")).alias("c")))
+        # The label of a label. Many nodes may share one, so that side is salted where it is not broadcast.
+        to = near.select(F.col("node").alias("c"), F.col("c").alias("to"))
+        moved = near.join(F.broadcast(to), "c") if links.small else salted_join(near, to, "c", links.n, "node")
+        after = cut(moved.select("node", F.least("c", "to").alias("comp"), (F.least("c", "to") != F.col("comp")).alias("changed")), replaces=near)
         done = after.filter("changed").isEmpty()
         labels = after.select("node", "comp")
         if done:

@@ -79,12 +79,12 @@ def start_random(nb: Neighbours, scale: float, seed) -> DataFrame:
 # --- forces
 
 
-def messages(links: Links, state: DataFrame, coef: str, also: list[str] = ()) -> DataFrame:
+def messages(links: Links, state: DataFrame, coef: str, also: list[str] = (), where: str = "true") -> DataFrame:
     """Per edge the pull coef * (y_src - y_dst) on its source: node, gx, gy.
 
     ``coef`` is SQL over the edge columns and d2, the squared distance of the ends.
     """
-    e = links.attach(links.edges, "dst", state, {"x": "xj", "y": "yj"}, list(also))
+    e = links.attach(links.edges.filter(where), "dst", state, {"x": "xj", "y": "yj"}, list(also))
     e = links.attach(e, "src", state, {"x": "xi", "y": "yi"}, list(also))
     e = e.selectExpr("*", "xi - xj AS dx", "yi - yj AS dy").selectExpr("*", "dx * dx + dy * dy AS d2")
     return e.selectExpr("src AS node", *also, f"({coef}) AS c", "dx", "dy").selectExpr("node", *also, "c * dx AS gx", "c * dy AS gy")
@@ -171,8 +171,9 @@ def repulsion_grid(state: DataFrame, particles: int = 1, cell: float = 0.5, leas
     x0, y0, side = float(low[0]), float(low[1]), float(h)
     placed = state.selectExpr(f"{part} AS p", f"(x - ({x0!r}D)) / {side!r}D AS u", f"(y - ({y0!r}D)) / {side!r}D AS v", "x", "y")
     cells = placed.selectExpr("p", "x", "y", "cast(floor(u) AS int) AS i", "cast(floor(v) AS int) AS j", "u - floor(u) AS fu", "v - floor(v) AS fv")
-    corners = cells.selectExpr("p", "x", "y", """inline(array(struct(i AS ci, j AS cj, (1 - fu) * (1 - fv) AS w),
-        struct(i + 1, j, fu * (1 - fv)), struct(i, j + 1, (1 - fu) * fv), struct(i + 1, j + 1, fu * fv)))""")
+    corner = "named_struct('ci', i + {0}, 'cj', j + {1}, 'w', {2} * {3})"
+    whole = [corner.format(a, b, fu, fv) for a, fu in ((0, "(1 - fu)"), (1, "fu")) for b, fv in ((0, "(1 - fv)"), (1, "fv"))]
+    corners = cells.selectExpr("p", "x", "y", f"inline(array({', '.join(whole)}))")
     rows = corners.groupBy("p", "ci", "cj").agg(F.sum("w").alias("w"), F.expr("sum(w * x)").alias("wx"), F.expr("sum(w * y)").alias("wy")).toPandas()
     mass = np.zeros((particles, 3, m, m))
     mass[rows["p"], :, np.minimum(rows["ci"], m - 1), np.minimum(rows["cj"], m - 1)] = rows[["w", "wx", "wy"]].to_numpy()
