@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,11 +70,35 @@ class Neighbours:
         return self.nodes.select("node", "item_id", "group_key").join(coords, "node").select("item_id", "group_key", "x", "y")
 
 
+_SHARED: ContextVar[dict | None] = ContextVar("shared_neighbours", default=None)
+
+
+@contextmanager
+def share_neighbours():
+    """Inside the block, neighbour joins over one and the same table are made once.
+
+    A join asked for again with no more neighbours than before reads the stored one.
+    """
+    token = _SHARED.set({})
+    try:
+        yield
+    finally:
+        _SHARED.reset(token)
+
+
 def neighbours(df: DataFrame, k: int, backend: str = "exact", metric: str = "euclidean", include_self: bool = False) -> Neighbours:
+    shared, key = _SHARED.get(), (id(df), backend, metric, include_self)
+    if shared is not None and key in shared and shared[key][1] >= k:
+        _, _, nb = shared[key]
+        return Neighbours(nb.nodes, nb.n, nb.knn.filter(F.col("rank") <= k))
     nodes = number_nodes(df.select("item_id", "group_key", "embedding"))
     n = nodes.count()
-    k = min(k, max(n - 1, 1))
-    return Neighbours(nodes, n, cut(knn(nodes, k, backend, key="node", metric=metric, include_self=include_self)))
+    most = min(k, max(n - 1, 1))
+    nb = Neighbours(nodes, n, cut(knn(nodes, most, backend, key="node", metric=metric, include_self=include_self)))
+    if shared is not None:
+        # The table itself is kept with the entry, so its id stays taken.
+        shared[key] = (df, k, nb)
+    return nb
 
 
 # --- connected components

@@ -1,0 +1,70 @@
+"""From a configuration to stored points, and from stored points to a canvas."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from planisphere.functions.canvas import canvas_normalise
+from planisphere.operators.graph import share_neighbours
+from planisphere.operators.lookups import points_for_run
+from planisphere.operators.quality import has_name
+from planisphere.operators.subset import fetch_subset
+from planisphere.registry import METHODS, RunConfig, run_method, schema_of, text_params, typed_params
+from planisphere.session import cut
+from planisphere.sources.catalog import Catalog
+
+
+def recorded(config: RunConfig) -> dict[str, str | None]:
+    """The parameters a run record keeps: catalogue columns, and options only where given."""
+    typed = typed_params(config.method, config.params)
+    listed = {p.name for p in schema_of(config.method)}
+    return text_params({k: v for k, v in typed.items() if k in listed or k in config.params})
+
+
+def run_reduction(catalog: Catalog, embeddings: DataFrame, config: RunConfig, mode: str = "strict", subset: DataFrame | None = None) -> int:
+    """Select the rows of a configuration, place them, store points and run record; returns the config id.
+
+    Every selected row must be placed exactly once, otherwise nothing is stored.
+    """
+    seed = int(config.params.get("random_state", 42))
+    rows = subset if subset is not None else cut(fetch_subset(embeddings, config.subset_strategy, config.subset_size, seed))
+    start = time.time()
+    coords = cut(run_method(rows, config.method, **config.params))
+    runtime = time.time() - start
+    check = rows.select("item_id", F.lit(1).alias("a")).join(coords.select("item_id", F.lit(1).alias("b")), "item_id", "full").agg(
+        F.count("a").alias("a"), F.count("b").alias("b"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("lost")).first()
+    if check["lost"] or check["a"] != rows.count():
+        raise ValueError(f"{config.method} lost or doubled rows: {check['lost']} unmatched of {check['a']}")
+    return catalog.save_run(config.method, recorded(config), config.subset_strategy, config.subset_size, runtime, coords, mode,
+                            [p.name for p in schema_of(config.method) if p.name != "random_state"])
+
+
+def sweep(catalog: Catalog, embeddings: DataFrame, configs: Iterable[RunConfig], mode: str = "strict") -> DataFrame:
+    """Run many configurations; one row per configuration with its run id, or the reason it was left out.
+
+    Rows are selected once per (strategy, size, seed), and methods on the same rows
+    share one neighbour join per metric. The loop runs over configurations, each of
+    which is a set of distributed jobs.
+    """
+    subsets: dict[tuple, DataFrame] = {}
+    done = []
+    with share_neighbours():
+        for c in configs:
+            if c.method not in METHODS:
+                done.append((c.method, c.name, None, "not supported"))
+                continue
+            key = (c.subset_strategy, c.subset_size, int(c.params.get("random_state", 42)) if c.subset_strategy == "random" else None)
+            if key not in subsets:
+                subsets[key] = cut(fetch_subset(embeddings, c.subset_strategy, c.subset_size, key[2] or 42))
+            done.append((c.method, c.name, run_reduction(catalog, embeddings, c, mode, subsets[key]), "stored"))
+    return embeddings.sparkSession.createDataFrame(done, "method string, name string, config_id bigint, outcome string")
+
+
+def visualise(catalog: Catalog, method: str, config_id: int) -> int:
+    """Normalise the points of a run to the canvas and store them as a visualisation."""
+    points = points_for_run(catalog.read("points"), method, config_id).filter(has_name(F.col("item_id")))
+    return catalog.save_viz(method, config_id, f"{method}_{config_id}.avif", canvas_normalise(points))
