@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +28,13 @@ def oriented(vectors: DataFrame, k: int, scale: float = 1.0) -> DataFrame:
     return vectors.select("node", *[(F.col(f"v{i}") * F.lit(signs[i] * scale)).alias(c) for i, c in zip(range(k), "xy", strict=False)])
 
 
+def warn_open(found: Eigen, tol: float, name: str) -> Eigen:
+    """Say so when the eigenpairs did not reach the tolerance within the allowed products."""
+    if not found.converged(tol):
+        warnings.warn(f"{name}: eigenvector residuals {found.residuals.tolist()} exceed {tol}; raise max_iter", stacklevel=2)
+    return found
+
+
 # --- isometric maps
 
 def undirected(nb: Neighbours) -> DataFrame:
@@ -84,6 +92,7 @@ def spectral(df: DataFrame, params: dict) -> DataFrame:
     # The affinity counts the row itself among its neighbours.
     nb = neighbours(df, params["n_neighbors"] - 1, params["backend"])
     found, degrees = fit_spectral(nb, params)
+    warn_open(found, params["tol"], "spectral")
     xy = oriented(found.vectors, params["n_components"])
     scaled = xy.join(degrees, "node").select("node", (F.col("x") / F.sqrt("deg")).alias("x"), (F.col("y") / F.sqrt("deg")).alias("y"))
     return nb.back(scaled)
@@ -117,6 +126,7 @@ def lle(df: DataFrame, params: dict) -> DataFrame:
     nb = neighbours(df, params["n_neighbors"], params["backend"])
     weights = barycentre_weights(nb, params["reg"])
     found = bottom_vectors(nb, weights, params["n_components"], params["max_iter"], params["tol"], params["random_state"])
+    warn_open(found, params["tol"], "lle")
     return nb.back(oriented(found.vectors, params["n_components"]))
 
 
@@ -166,7 +176,7 @@ def glle(df: DataFrame, params: dict) -> DataFrame:
     nb = neighbours(df, params["k_neighbors"], params["backend"])
     solve = generative_solver(params["method"], params["reg"], params["max_iterations"], params["random_state"])
     weights = barycentre_weights(nb, params["reg"], solve)
-    found = bottom_vectors(nb, weights, 2, params["max_iter"], params["tol"], params["random_state"])
+    found = warn_open(bottom_vectors(nb, weights, 2, params["max_iter"], params["tol"], params["random_state"]), params["tol"], "glle")
     return nb.back(oriented(found.vectors, 2))
 
 

@@ -119,14 +119,21 @@ def attract_repel(links: Links, state: DataFrame, n: int, epoch: int, rate: floa
     not edges * negatives.
     """
     hash01 = f"(pmod(xxhash64({seed}, {epoch}, src, dst), 1000003) / 1000003D)"
-    pull = messages(links, state, f"greatest(least({attract}, 4D / (sqrt(d2) + 1e-9D)), -4D / (sqrt(d2) + 1e-9D))", where=f"{hash01} < w")
+    e = links.attach(links.edges.filter(f"{hash01} < w"), "dst", state, {"x": "xj", "y": "yj"})
+    e = links.attach(e, "src", state, {"x": "xi", "y": "yi"}).selectExpr("src AS node", "xj - xi AS dx", "yj - yi AS dy")
+    pull = e.selectExpr("node", "dx", "dy", "dx * dx + dy * dy AS d2").selectExpr("node", f"{attract} AS c", "dx", "dy").selectExpr(
+        "node", "c * dx AS gx", "c * dy AS gy", "c AS gc")
     drawn = state.selectExpr("node AS src", "x AS xi", "y AS yi", "deg", f"explode(sequence(0, {negatives - 1})) AS slot").selectExpr(
         "*", f"pmod(src + 1 + pmod(xxhash64({seed}, {epoch}, src, slot), {max(n - 1, 1)}), {n}) AS dst")
     other = state.selectExpr("node AS dst", "x AS xj", "y AS yj")
     met = drawn.join(F.broadcast(other) if links.small else other, "dst").selectExpr(
         "src AS node", "xi - xj AS dx", "yi - yj AS dy", "deg").selectExpr("*", "dx * dx + dy * dy AS d2")
-    push = met.selectExpr("node", f"deg * least({repel}, 4D / (sqrt(d2) + 1e-9D)) AS c", "dx", "dy").selectExpr("node", "c * dx AS gx", "c * dy AS gy")
-    return step(state, gather(pull, push), ["node"], {"x": f"x + {rate!r}D * gx", "y": f"y + {rate!r}D * gy"})
+    push = met.selectExpr("node", f"deg * least({repel}, 4D / (sqrt(d2) + 1e-9D)) AS c", "dx", "dy").selectExpr(
+        "node", "c * dx AS gx", "c * dy AS gy", "0D AS gc")
+    sums = pull.unionByName(push).groupBy("node").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"), F.sum("gc").alias("gc"))
+    # All edges act at once, so the step is the semi-implicit one: many pulls end at their mean and never beyond.
+    moved = {c: f"{c} + greatest(least({rate!r}D * coalesce(g{c}, 0D) / (1D + {rate!r}D * coalesce(gc, 0D)), 4D), -4D)" for c in "xy"}
+    return cut(state.join(sums, "node", "left").selectExpr("node", *[f"{v} AS {c}" for c, v in moved.items()], "deg"), replaces=state)
 
 
 def fit_umap(df: DataFrame, params: dict) -> tuple[Neighbours, DataFrame]:
@@ -140,7 +147,7 @@ def fit_umap(df: DataFrame, params: dict) -> tuple[Neighbours, DataFrame]:
     links = Links(scaled, nb.n, 32)
     deg = links.edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
     state = cut(start.join(deg, "node", "left").select("node", "x", "y", F.coalesce("deg", F.lit(0.0)).alias("deg")))
-    attract = f"CASE WHEN d2 > 0 THEN -2D * {a!r}D * {b!r}D * pow(d2, {b - 1!r}D) / (1D + {a!r}D * pow(d2, {b!r}D)) ELSE 0D END"
+    attract = f"CASE WHEN d2 > 0 THEN 2D * {a!r}D * {b!r}D * pow(d2, {b - 1!r}D) / (1D + {a!r}D * pow(d2, {b!r}D)) ELSE 0D END"
     repel = f"2D * {b!r}D / ((0.001D + d2) * (1D + {a!r}D * pow(d2, {b!r}D)))"
     for e in range(epochs):
         rate = params["learning_rate"] * (1.0 - e / epochs)
@@ -367,7 +374,7 @@ def fit_spacemap(df: DataFrame, params: dict) -> tuple[Neighbours, DataFrame]:
     state = cut(start.join(deg, "node", "left").select("node", "x", "y", F.coalesce("deg", F.lit(0.0)).alias("deg")))
     for e in range(params["n_epochs"]):
         rate = 1.0 - e / params["n_epochs"]
-        state = attract_repel(links, state, nb.n, e, rate, "-2D / (1D + d2)", "2D / ((0.001D + d2) * (1D + d2))", 5, seed)
+        state = attract_repel(links, state, nb.n, e, rate, "2D / (1D + d2)", "2D / ((0.001D + d2) * (1D + d2))", 5, seed)
     links.close()
     return nb, state
 

@@ -84,7 +84,7 @@ def q_lle(spark, sf):
 def q_spectral(spark, sf):
     """Residuals of both eigenpairs, and orthogonality to the trivial vector under the degrees."""
     v = vectors(spark, sf)
-    params = typed_params("spectral", {"max_iter": 16, "tol": 1e-2})
+    params = typed_params("spectral", {"max_iter": 12, "tol": 1e-2})
     nb = neighbours(v, params["n_neighbors"] - 1)
     found, degrees = G.fit_spectral(nb, params)
     both = found.vectors.join(degrees, "node").select("deg", F.col("v0").alias("x"), F.col("v1").alias("y"))
