@@ -15,7 +15,7 @@ from planisphere.methods.linear import fix_signs, landmark_matrix, place, top_ei
 from planisphere.operators.moments import sum_arrays
 from planisphere.operators.subset import random_subset
 from planisphere.registry import method
-from planisphere.session import cut
+from planisphere.session import cut, spread
 
 
 def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,22 +65,29 @@ def random_start(n: int, k: int, seed) -> np.ndarray:
 def rows_by_majorisation(marks: np.ndarray, y: np.ndarray, first: Callable, max_iter: int, eps: float, weights: bool = False) -> Callable:
     """Every row placed against fixed landmarks: y_i <- weighted mean of y_l + delta_il (y_i - y_l) / d_il."""
 
-    def run(x: np.ndarray) -> np.ndarray:
+    def chunk(x: np.ndarray) -> np.ndarray:
         delta = gaps(x, marks)
         at = first(delta * delta)
         w = np.where(delta > 1e-12, 1.0 / np.maximum(delta, 1e-12), 0.0) if weights else np.ones_like(delta)
         w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
-        before = np.full(len(x), np.inf)
+        pull = w @ y
+        before, live = np.full(len(x), np.inf), np.arange(len(x))
         for _ in range(max_iter):
-            d = gaps(at, y)
-            ratio = np.where(d > 1e-12, delta / np.where(d > 1e-12, d, 1.0), 0.0) * w
-            at = (w @ y) + at * ratio.sum(axis=1, keepdims=True) - ratio @ y
-            now = (w * (gaps(at, y) - delta) ** 2).sum(axis=1)
-            if len(x) == 0 or np.max(before - now) <= eps * max(float(now.max()), 1e-300):
+            # Rows settle one by one; only those still moving are computed.
+            d = gaps(at[live], y)
+            ratio = delta[live] / np.maximum(d, 1e-12) * w[live]
+            at[live] = pull[live] + at[live] * ratio.sum(axis=1, keepdims=True) - ratio @ y
+            now = (w[live] * (d - delta[live]) ** 2).sum(axis=1)
+            moving = before[live] - now > eps * now
+            before[live] = now
+            live = live[moving]
+            if len(live) == 0:
                 break
-            before = now
         return at
 
+    def run(x: np.ndarray) -> np.ndarray:
+        return np.vstack([chunk(x[i:i + 512]) for i in range(0, len(x), 512)]) if len(x) else np.zeros((0, y.shape[1]))
+
     return run
 
 
@@ -108,12 +115,12 @@ def fit_mds(df: DataFrame, params: dict) -> tuple[Callable, list[float]]:
     def first(d2):
         return np.hstack([tri(d2), np.ones((len(d2), 1))]) @ affine
 
-    return rows_by_majorisation(marks, y, first, params["max_iter"], params["eps"] / 100), history
+    return rows_by_majorisation(marks, y, first, params["max_iter"], params["eps"]), history
 
 
 @method("mds")
 def mds(df: DataFrame, params: dict) -> DataFrame:
-    return place(df, fit_mds(df, params)[0])
+    return place(spread(df), fit_mds(df, params)[0])
 
 
 # --- Sammon mapping
@@ -165,14 +172,14 @@ def fit_sammon(df: DataFrame, params: dict) -> tuple[Callable, list[float]]:
     def first(d2):
         return np.hstack([tri(d2), np.ones((len(d2), 1))]) @ affine
 
-    return rows_by_majorisation(marks, y, first, params["n_iter"], 1e-6, weights=True), history
+    return rows_by_majorisation(marks, y, first, params["n_iter"], 1e-4, weights=True), history
 
 
 @method("sammon_random")
 def sammon(df: DataFrame, params: dict) -> DataFrame:
     if params["input_type"] != "vector":
         raise ValueError("input_type is 'vector': distances are never stored as a matrix")
-    return place(df, fit_sammon(df, params)[0])
+    return place(spread(df), fit_sammon(df, params)[0])
 
 
 # --- cluster scaling

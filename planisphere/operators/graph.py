@@ -226,8 +226,8 @@ def eigenvectors(nodes: DataFrame, multiply, k: int, low: float, high: float, la
         best = Eigen(values[:k], state.selectExpr("node", *[f"b0_{i} AS v{i}" for i in range(k)]), resid[:k] * scale / norm)
         if best.converged(tol) or done >= max_iter:
             return best
-        if not largest:
-            # A tighter upper bound makes the next cycle more selective.
+        if not largest and done == steps:
+            # The random start of the first cycle sees the whole spectrum, so its top bounds it more tightly.
             _, top, over = _ritz(g, m, steps, has_known, True, 1)
             high = min(high, float(mid + scale * (top[0] + over[0])))
 
@@ -276,7 +276,7 @@ def _basis(g: np.ndarray, m: int, steps: int, has_known: bool):
 def _whiten(g: np.ndarray, t: np.ndarray, q: int):
     d = np.sqrt(np.maximum(np.diag(g)[:q], 1e-300))
     values, vectors = np.linalg.eigh(g[:q, :q] / np.outer(d, d))
-    ok = values > 1e-9 * values.max()
+    ok = values > 1e-12 * values.max()
     return (vectors[:, ok] / np.sqrt(values[ok])) / d[:, None]
 
 

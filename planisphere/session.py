@@ -87,3 +87,9 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     Beyond the limit the join stays a shuffle join chosen by the optimiser.
     """
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core for rows that are costly to compute; larger inputs stay as they are."""
+    cores = parallelism(df.sparkSession)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
