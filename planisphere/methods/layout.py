@@ -28,15 +28,17 @@ def smooth_distances(d: np.ndarray, local: float, rounds: int = 64) -> tuple[np.
     """rho and sigma per row of sorted neighbour distances, so that sum exp(-(d - rho) / sigma) = log2 k."""
     n, k = d.shape
     whole, part = int(math.floor(local)), local - math.floor(local)
-    rho = np.zeros(n)
-    for i in range(n):
-        positive = d[i][d[i] > 0]
-        if len(positive) >= local and whole > 0:
-            rho[i] = positive[whole - 1]
-            if part > 1e-5 and whole < len(positive):
-                rho[i] += part * (positive[whole] - positive[whole - 1])
-        elif len(positive):
-            rho[i] = part * positive[0] if whole == 0 else positive.max()
+    zeros, rows = (d <= 0).sum(axis=1), np.arange(n)
+
+    def positive(nth):
+        """The nth positive distance of every row, counted from one, 0 for none."""
+        at = zeros + nth - 1
+        return np.where((nth > 0) & (at < k), d[rows, np.clip(at, 0, k - 1)], 0.0)
+
+    following = positive(whole + 1)
+    exact = positive(whole) + np.where((part > 1e-5) & (following > 0), part * (following - positive(whole)), 0.0)
+    short = part * positive(1) if whole == 0 else np.maximum(d[:, -1], 0.0)
+    rho = np.where((k - zeros >= local) & (whole > 0), exact, np.where(zeros < k, short, 0.0))
     target = math.log2(max(k, 2))
     low, high, mid = np.zeros(n), np.full(n, np.inf), np.ones(n)
     gap = np.maximum(d - rho[:, None], 0.0)
@@ -275,7 +277,7 @@ def triplets(nb: Neighbours, inliers: int, outliers: int, randoms: int, temp: fl
 def trimap_state(links: Links, state: DataFrame) -> DataFrame:
     """Triplets with all three positions and q = 1 / (1 + d^2) of both pairs."""
     e = links.edges
-    for end in "ijk":
+    for end in reversed(links.ends):
         e = links.attach(e, end, state, {"x": f"x{end}", "y": f"y{end}"})
     return e.selectExpr("i", "j", "k", "w", "xi - xj AS ax", "yi - yj AS ay", "xi - xk AS bx", "yi - yk AS by").selectExpr(
         "*", "1 + ax * ax + ay * ay AS dj", "1 + bx * bx + by * by AS dk")

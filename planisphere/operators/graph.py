@@ -38,9 +38,14 @@ class Links:
             for end in ends:
                 self.hot[end] = cut(hot_keys(base, end, rows))
                 edges = add_salt(edges, end, self.hot[end], *[e for e in ends if e != end]).withColumnRenamed("_salt", f"_salt_{end}")
-        self.edges = cut(edges).persist()
+        table = cut(edges)
         if not self.small:
+            # Stored by its last end: the first look-up, which starts there, moves only the node values.
+            last = ends[-1]
+            parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            table = table.repartition(parts, F.col(last), F.col(f"_salt_{last}"))
             base.unpersist()
+        self.edges = table.persist()
 
     def attach(self, df: DataFrame, end: str, values: DataFrame, names: dict[str, str] | None = None, also: list[str] = ()) -> DataFrame:
         """``df`` with the columns of ``values`` (one row per node) of the node at ``end``."""

@@ -2,7 +2,7 @@
 
 
 def all_queries():
-    from planisphere.plans import catalog_queries, graph_queries, layout_queries, linear_queries, neighbour_queries, pipeline_queries  # noqa: F401
+    from planisphere.plans import catalog_queries, graph_queries, layout_queries, linear_queries, neighbour_queries, run_queries  # noqa: F401
     from planisphere.plans.base import QUERIES
 
     return dict(QUERIES)

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planisphere.functions.canvas import canvas_normalise
 from planisphere.functions.vectors import distance
 from planisphere.methods import linear as L
 from planisphere.operators import moments as M
-from planisphere.operators.lookups import attach_coords
 from planisphere.operators.prepare import preprocess_pca
-from planisphere.operators.subset import fetch_subset
 from planisphere.plans.base import query, r6, table, vectors
 from planisphere.registry import run_method
 
@@ -261,13 +258,3 @@ def q_nystroem(spark, sf):
 def _kernel_cert(made):
     return cert(made, n=F.count(F.lit(1)), finite=FINITE, centred=near_zero(F.avg("x")) & near_zero(F.avg("y")),
                 uncorrelated=near_zero(F.covar_samp("x", "y")), ordered=F.var_samp("x") >= F.var_samp("y"))
-
-
-@query("first_map", None)
-def q_first_map(spark, sf):
-    """First five per label, placed by PCA on the canvas, with the uniqueness of every item checked."""
-    sub = fetch_subset(vectors(spark, sf), "artist_first5", 250)
-    coords = run_method(sub, "pca").drop("group_key")
-    canvas = canvas_normalise(attach_coords(sub.select("item_id", "group_key"), coords))
-    counts = canvas.groupBy("item_id").count().agg((F.max("count") == 1).alias("u")).scalar()
-    return canvas.select("item_id", "group_key", "viz_x", "viz_y", counts.alias("all_unique"))

@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from planisphere.functions.canvas import canvas_normalise
 from planisphere.functions.vectors import doubles
 from planisphere.methods.linear import place
-from planisphere.operators.lookups import points_for_run
-from planisphere.pipeline import run_reduction, sweep, visualise
+from planisphere.operators.lookups import attach_coords, points_for_run
+from planisphere.operators.subset import fetch_subset
+from planisphere.runs import run_reduction, sweep, visualise
 from planisphere.plans.base import query, r6, table, vectors
 from planisphere.plans.linear_queries import PCA_SQL, placed
-from planisphere.registry import RunConfig
+from planisphere.registry import RunConfig, run_method
 from planisphere.session import checkpoint_dir
 from planisphere.sources.catalog import Catalog
 from planisphere.streaming.moments_stream import MomentStream
@@ -28,6 +30,20 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+PLACED = f"""p AS ({_on_subset(PCA_SQL).replace(', 6)', ', 12)')}), e AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM p)"""
+CANVAS = """CAST(round_even((x - a) / (b - a) * 16383, 0) AS INTEGER) AS viz_x, CAST(round_even((y - c) / (d - c) * 16383, 0) AS INTEGER) AS viz_y"""
+
+
+@query("first_map", f"WITH {PLACED} SELECT item_id, group_key, {CANVAS}, true AS all_unique FROM p, e")
+def q_first_map(spark, sf):
+    """First five per label, placed by PCA on the canvas, with the uniqueness of every item checked."""
+    sub = fetch_subset(vectors(spark, sf), "artist_first5", 250)
+    coords = run_method(sub, "pca").drop("group_key")
+    canvas = canvas_normalise(attach_coords(sub.select("item_id", "group_key"), coords))
+    counts = canvas.groupBy("item_id").count().agg((F.max("count") == 1).alias("u")).scalar()
+    return canvas.select("item_id", "group_key", "viz_x", "viz_y", counts.alias("all_unique"))
+
+
 @query("run_reduction", f"""SELECT CAST(row_number() OVER (ORDER BY CAST(item_id AS BIGINT)) AS BIGINT) AS point_id, CAST(item_id AS VARCHAR) AS item_id,
   CAST(group_key AS VARCHAR) AS group_key, x, y FROM ({_on_subset(PCA_SQL)})""")
 def q_run(spark, sf):
@@ -55,10 +71,8 @@ def q_sweep(spark, sf):
     return done.join(counts, ["method", "config_id"], "left").select("method", "name", "config_id", "outcome", F.coalesce("points", F.lit(0)).alias("points"))
 
 
-@query("visualise", f"""WITH p AS ({_on_subset(PCA_SQL).replace(', 6)', ', 12)')}), e AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM p)
-  SELECT CAST(row_number() OVER (ORDER BY CAST(item_id AS BIGINT)) AS BIGINT) AS point_id,
-  CAST(round_even((x - a) / (b - a) * 16383, 0) AS INTEGER) AS viz_x, CAST(round_even((y - c) / (d - c) * 16383, 0) AS INTEGER) AS viz_y,
-  1::BIGINT AS viz_id FROM p, e""")
+@query("visualise", f"""WITH {PLACED} SELECT CAST(row_number() OVER (ORDER BY CAST(item_id AS BIGINT)) AS BIGINT) AS point_id,
+  {CANVAS}, 1::BIGINT AS viz_id FROM p, e""")
 def q_visualise(spark, sf):
     catalog = Catalog(spark, _folder(spark, "catalog"))
     viz_id = visualise(catalog, "pca", run_reduction(catalog, vectors(spark, sf), RunConfig("pca")))

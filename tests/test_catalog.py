@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from planisphere.functions import canvas as C
 from planisphere.operators import lookups, quality, subset
-from planisphere.pipeline import run_reduction, sweep, visualise
+from planisphere.runs import run_reduction, sweep, visualise
 from planisphere.registry import METHODS, RunConfig, configs_from, method, method_names, typed_params
 from planisphere.sources.catalog import Catalog, upsert_runs
 from planisphere.sources.embeddings import decode_blob, encode_blob, ingest_ignore, scan_embeddings
