@@ -10,7 +10,7 @@ from planisphere.methods.linear import place
 from planisphere.operators.graph import Links, barycentre_weights, components, geodesics, neighbours
 from planisphere.operators.knn import symmetrise
 from planisphere.plans.base import query, r6, vectors
-from planisphere.plans.linear_queries import COUNT, FINITE, _falling, cert, near_zero
+from planisphere.plans.linear_queries import COUNT, finite, _falling, cert, near_zero
 from planisphere.plans.neighbour_queries import knn_cte
 from planisphere.registry import run_method, typed_params
 
@@ -57,7 +57,7 @@ def q_isomap(spark, sf):
     """The map of n landmarks is centred; with fewer the centre stays near the origin."""
     made = run_method(vectors(spark, sf), "isomap", landmarks=60)
     spread = F.sqrt(F.var_pop("x") + F.var_pop("y"))
-    return cert(made, n=F.count(F.lit(1)), finite=FINITE, centred=(F.abs(F.avg("x")) < spread) & (F.abs(F.avg("y")) < spread))
+    return cert(made, n=F.count(F.lit(1)), finite=finite(), centred=(F.abs(F.avg("x")) < spread) & (F.abs(F.avg("y")) < spread))
 
 
 @query("lle_weights", """SELECT vec_id AS item_id, 15::BIGINT AS k, 1.0::DOUBLE AS total FROM embeddings""")
@@ -69,7 +69,7 @@ def q_lle_weights(spark, sf):
 
 def _orthonormal(made):
     """Unit length, mutually orthogonal, orthogonal to the constant."""
-    return {"n": F.count(F.lit(1)), "finite": FINITE,
+    return {"n": F.count(F.lit(1)), "finite": finite(),
             "unit": near_zero(F.sum(F.col("x") * F.col("x")) - 1, 1e-6) & near_zero(F.sum(F.col("y") * F.col("y")) - 1, 1e-6),
             "orthogonal": near_zero(F.sum(F.col("x") * F.col("y"))) & near_zero(F.sum("x")) & near_zero(F.sum("y"))}
 
@@ -88,7 +88,7 @@ def q_spectral(spark, sf):
     nb = neighbours(v, params["n_neighbors"] - 1)
     found, degrees = G.fit_spectral(nb, params)
     both = found.vectors.join(degrees, "node").select("deg", F.col("v0").alias("x"), F.col("v1").alias("y"))
-    return cert(both, n=F.count(F.lit(1)), finite=FINITE, small_residual=F.lit(found.converged(5e-2)),
+    return cert(both, n=F.count(F.lit(1)), finite=finite(), small_residual=F.lit(found.converged(5e-2)),
                 weighted_centre=near_zero(F.sum(F.col("x") * F.sqrt("deg"))) & near_zero(F.sum(F.col("y") * F.sqrt("deg"))))
 
 
@@ -109,7 +109,7 @@ def q_phate_kernel(spark, sf):
 @query("phate", f"{COUNT}, true AS spread FROM embeddings")
 def q_phate(spark, sf):
     made = run_method(vectors(spark, sf), "phate", landmarks=60)
-    return cert(made, n=F.count(F.lit(1)), finite=FINITE, spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
+    return cert(made, n=F.count(F.lit(1)), finite=finite(), spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
 
 
 # --- stress
@@ -118,17 +118,17 @@ def q_phate(spark, sf):
 def q_mds(spark, sf):
     v = vectors(spark, sf)
     run, history = S.fit_mds(v, typed_params("mds", {"landmarks": 200, "n_init": 2}))
-    return cert(place(v, run), n=F.count(F.lit(1)), finite=FINITE, falling=F.lit(_falling(history)))
+    return cert(place(v, run), n=F.count(F.lit(1)), finite=finite(), falling=F.lit(_falling(history)))
 
 
 @query("sammon_random", f"{COUNT}, true AS falling FROM embeddings")
 def q_sammon(spark, sf):
     v = vectors(spark, sf)
     run, history = S.fit_sammon(v, typed_params("sammon_random", {"landmarks": 200, "n_iter": 100}))
-    return cert(place(v, run), n=F.count(F.lit(1)), finite=FINITE, falling=F.lit(_falling(history)))
+    return cert(place(v, run), n=F.count(F.lit(1)), finite=finite(), falling=F.lit(_falling(history)))
 
 
 @query("clmds", f"{COUNT}, true AS spread FROM embeddings")
 def q_clmds(spark, sf):
     made = run_method(vectors(spark, sf), "clmds", landmarks=100, candidates=64)
-    return cert(made, n=F.count(F.lit(1)), finite=FINITE, spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
+    return cert(made, n=F.count(F.lit(1)), finite=finite(), spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))

@@ -11,7 +11,7 @@ from planisphere.operators.graph import neighbours
 from planisphere.operators.layout import near_pairs
 from planisphere.plans.base import query, r6, vectors
 from planisphere.plans.graph_queries import NODES
-from planisphere.plans.linear_queries import COUNT, FINITE, cert
+from planisphere.plans.linear_queries import COUNT, finite, cert
 from planisphere.plans.neighbour_queries import knn_cte
 from planisphere.registry import run_method, typed_params
 
@@ -42,7 +42,7 @@ def q_pacmap_pairs(spark, sf):
 def q_pacmap(spark, sf):
     nb, links, start, state = Y.fit_pacmap(vectors(spark, sf), typed_params("pacmap", {"num_iters": STEPS}))
     falling = Y.pacmap_loss(links, state) < Y.pacmap_loss(links, start)
-    return cert(state, n=F.count(F.lit(1)), finite=FINITE, falling=F.lit(falling))
+    return cert(state, n=F.count(F.lit(1)), finite=finite(), falling=F.lit(falling))
 
 
 @query("umap_graph", """SELECT vec_id AS item_id, true AS in_range, true AS near_one, true AS log_sum FROM embeddings""")
@@ -60,7 +60,7 @@ def q_umap_graph(spark, sf):
 @query("umap", f"{COUNT}, true AS spread FROM embeddings")
 def q_umap(spark, sf):
     _, state = Y.fit_umap(vectors(spark, sf), typed_params("umap", {"n_epochs": STEPS, "init": "pca"}))
-    return cert(state, n=F.count(F.lit(1)), finite=FINITE, spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
+    return cert(state, n=F.count(F.lit(1)), finite=finite(), spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
 
 
 @query("trimap_triplets", f"""WITH {near_cte(12, 62)} SELECT src AS i, dst AS j, 4::BIGINT AS triplets, true AS outside FROM near WHERE rank <= 12""")
@@ -77,13 +77,13 @@ def q_triplets(spark, sf):
 def q_trimap(spark, sf):
     nb, links, start, state = Y.fit_trimap(vectors(spark, sf), typed_params("trimap", {"n_iters": STEPS}))
     falling = Y.trimap_loss(links, state) < Y.trimap_loss(links, start)
-    return cert(state, n=F.count(F.lit(1)), finite=FINITE, falling=F.lit(falling))
+    return cert(state, n=F.count(F.lit(1)), finite=finite(), falling=F.lit(falling))
 
 
 @query("spacemap", f"{COUNT}, true AS spread FROM embeddings")
 def q_spacemap(spark, sf):
     _, state = Y.fit_spacemap(vectors(spark, sf), typed_params("spacemap", {"n_epochs": STEPS, "init": "random"}))
-    return cert(state, n=F.count(F.lit(1)), finite=FINITE, spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
+    return cert(state, n=F.count(F.lit(1)), finite=finite(), spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
 
 
 @query("tsne_affinities", """SELECT vec_id AS item_id, true AS entropy, 1.0::DOUBLE AS total, 1.0::DOUBLE AS all_pairs FROM embeddings""")
@@ -103,23 +103,23 @@ def q_tsne(spark, sf):
     params = typed_params("tsne", {"n_iter": 10, "early_exaggeration_iter": 0, "learning_rate": 50.0})
     nb, links, start, state = T.fit_tsne(vectors(spark, sf), params)
     falling = T.divergence(links, state, nb.n)[0] < T.divergence(links, start, nb.n)[0]
-    return cert(state, n=F.count(F.lit(1)), finite=FINITE, falling=F.lit(falling))
+    return cert(state, n=F.count(F.lit(1)), finite=finite(), falling=F.lit(falling))
 
 
 @query("tsne_pso", f"{COUNT}, true AS falling FROM embeddings")
 def q_swarm(spark, sf):
     _, coords, history = T.fit_swarm(vectors(spark, sf), typed_params("tsne_pso", {"n_iter": 4, "n_particles": 4, "learning_rate": 50.0}))
     never_up = all(b <= a for a, b in zip(history, history[1:], strict=False)) and history[-1] < history[0]
-    return cert(coords, n=F.count(F.lit(1)), finite=FINITE, falling=F.lit(never_up))
+    return cert(coords, n=F.count(F.lit(1)), finite=finite(), falling=F.lit(never_up))
 
 
 @query("paramrepulsor", f"{COUNT}, true AS falling FROM embeddings")
 def q_repulsor(spark, sf):
     nb, w, history = P.fit_repulsor(vectors(spark, sf), typed_params("paramrepulsor", {"n_epochs": STEPS}))
-    return cert(P.positions(nb.nodes, w), n=F.count(F.lit(1)), finite=FINITE, falling=F.lit(history[-1] < history[0]))
+    return cert(P.positions(nb.nodes, w), n=F.count(F.lit(1)), finite=finite(), falling=F.lit(history[-1] < history[0]))
 
 
 @query("slisemap", "SELECT count(*) AS n, count(*) AS finite, 3.5::DOUBLE AS radius FROM embeddings")
 def q_slisemap(spark, sf):
     made = run_method(vectors(spark, sf), "slisemap", max_iter=4)
-    return cert(made, n=F.count(F.lit(1)), finite=FINITE, radius=r6(F.sqrt(F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y")))))
+    return cert(made, n=F.count(F.lit(1)), finite=finite(), radius=r6(F.sqrt(F.avg(F.col("x") * F.col("x") + F.col("y") * F.col("y")))))

@@ -67,7 +67,8 @@ def near_zero(c: Column, tol: float = 1e-6) -> Column:
     return F.abs(c) < tol
 
 
-FINITE = F.count(F.when(~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < 1e300) & (F.abs("y") < 1e300), 1))
+def finite() -> Column:
+    return F.count(F.when(~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < 1e300) & (F.abs("y") < 1e300), 1))
 
 
 # --- vector preparation
@@ -192,14 +193,14 @@ def q_fa(spark, sf):
     v = vectors(spark, sf)
     model = L.fit_fa(v)
     rising = all(b >= a - 1e-6 * abs(a) for a, b in zip(model.likelihood, model.likelihood[1:], strict=False))
-    return cert(L.place(v, model.apply), n=F.count(F.lit(1)), finite=FINITE,
+    return cert(L.place(v, model.apply), n=F.count(F.lit(1)), finite=finite(),
                 centred=near_zero(F.avg("x")) & near_zero(F.avg("y")), rising=F.lit(rising),
                 noise_positive=F.lit(bool((model.noise > 0).all())))
 
 
 @query("ica", "SELECT count(*) AS n, count(*) AS finite, true AS centred, 1.0::DOUBLE AS var_x, 1.0::DOUBLE AS var_y, true AS uncorrelated FROM embeddings")
 def q_ica(spark, sf):
-    return cert(run_method(vectors(spark, sf), "ica"), n=F.count(F.lit(1)), finite=FINITE,
+    return cert(run_method(vectors(spark, sf), "ica"), n=F.count(F.lit(1)), finite=finite(),
                 centred=near_zero(F.avg("x")) & near_zero(F.avg("y")), var_x=r6(F.var_pop("x")), var_y=r6(F.var_pop("y")),
                 uncorrelated=near_zero(F.covar_pop("x", "y")))
 
@@ -212,7 +213,7 @@ def _falling(values: list[float]) -> bool:
 def q_nmf(spark, sf):
     v = M.minmax_shift(vectors(spark, sf))
     model = L.fit_nmf(v, max_iter=30)
-    return cert(L.place(v, model.apply), n=F.count(F.lit(1)), finite=FINITE,
+    return cert(L.place(v, model.apply), n=F.count(F.lit(1)), finite=finite(),
                 nonnegative=(F.min("x") >= 0) & (F.min("y") >= 0) & F.lit(bool((model.atoms >= 0).all())), falling=F.lit(_falling(model.objective)))
 
 
@@ -221,7 +222,7 @@ def q_dictlearn(spark, sf):
     v = vectors(spark, sf)
     model = L.fit_dictionary(v, alpha=0.1, max_iter=20)
     norms = ((model.atoms ** 2).sum(axis=1) ** 0.5).max()
-    return cert(L.place(v, model.apply), n=F.count(F.lit(1)), finite=FINITE, unit_ball=F.lit(bool(norms <= 1 + 1e-9)),
+    return cert(L.place(v, model.apply), n=F.count(F.lit(1)), finite=finite(), unit_ball=F.lit(bool(norms <= 1 + 1e-9)),
                 falling=F.lit(_falling(model.objective)))
 
 
@@ -256,5 +257,5 @@ def q_nystroem(spark, sf):
 
 
 def _kernel_cert(made):
-    return cert(made, n=F.count(F.lit(1)), finite=FINITE, centred=near_zero(F.avg("x")) & near_zero(F.avg("y")),
+    return cert(made, n=F.count(F.lit(1)), finite=finite(), centred=near_zero(F.avg("x")) & near_zero(F.avg("y")),
                 uncorrelated=near_zero(F.covar_samp("x", "y")), ordered=F.var_samp("x") >= F.var_samp("y"))
