@@ -46,6 +46,9 @@ class Links:
             table = table.repartition(parts, F.col(last), F.col(f"_salt_{last}"))
             base.unpersist()
         self.edges = table.persist()
+        if not self.small:
+            # The stored partitioning is known to later plans only once the table is filled.
+            self.edges.count()
 
     def attach(self, df: DataFrame, end: str, values: DataFrame, names: dict[str, str] | None = None, also: list[str] = ()) -> DataFrame:
         """``df`` with the columns of ``values`` (one row per node) of the node at ``end``."""

@@ -1,5 +1,7 @@
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -7,6 +9,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 CHEAP = ["extent", "first_n_per_group", "random_subset", "canvas_normalise", "hit_test", "pca", "grp", "knn_exact", "upsert_run"]
 
 
@@ -15,6 +18,11 @@ def test_every_sql_belongs_to_a_query():
     assert len(queries()) >= 100
 
 
+def test_registry_needs_no_session():
+    code = "import __spark_entry__ as e; assert e.queries().keys() == e.oracle_sql().keys()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 @pytest.mark.parametrize("name", CHEAP)
 def test_query_equals_sql(spark, name):
