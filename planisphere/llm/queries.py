@@ -59,3 +59,34 @@ def op10(spark, sf_dir):
     from planisphere.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_simhash_neardup")
+def op4(spark, sf_dir):
+    from planisphere.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
+
+
+@query("op8_embedding_neardup")
+def op8(spark, sf_dir):
+    from planisphere.llm.rangejoin import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query("op2_learned_partitions")
+def op2(spark, sf_dir):
+    from planisphere.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    from planisphere.llm.toxicity import fit, toxicity
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity(docs, fit(docs, labels.filter(~held_out)), threshold=0.7)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
