@@ -90,3 +90,19 @@ def op7(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity(docs, fit(docs, labels.filter(~held_out)), threshold=0.7)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op1_quality_bayes")
+def op1(spark, sf_dir):
+    from planisphere.llm.quality import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    judged = judge(docs, fit(docs, table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
+    return judged.select("doc_id", "host", "path", "evidence", "path_rate", "posterior", "kept")
+
+
+@query("op3_html_layout")
+def op3(spark, sf_dir):
+    from planisphere.llm.html import visible_text
+
+    return visible_text(table(spark, sf_dir, "pages"))

@@ -14,7 +14,7 @@ on the landmark features. As the decision is linear in the triples, it is folded
 weight per triple, and a window is scored by a weighted look-up of its own triples.
 
 A window is a white-space-free token without outer punctuation, or a run of single
-letters. Tokens above ``WINDOW`` letters are cut into overlapping windows that cover them
+letters; a token with separators inside is read without them as well. Tokens above ``WINDOW`` letters are cut into overlapping windows that cover them
 whole. A document scores by its worst window, through a logistic curve fitted on the training
 documents.
 
@@ -45,11 +45,12 @@ CACHE_WORDS = 400_000
 EDGE = ".,;:!?\"'()[]{}<>|*-_#$%&/\\~`^+="
 #: Four or more single letters with white space between them.
 SPELLED = regex.compile(r"(?<!\S)(?:\w\s+){3,}\w(?!\S)")
-LANDMARKS = 128
+LANDMARKS = 160
+FIRST, LAST = "\x02", "\x03"
 
 
 class SubsequenceKernel:
-    def __init__(self, letters: str, decay: float = 0.75):
+    def __init__(self, letters: str, decay: float = 0.8):
         self.decay = decay
         self.letter = {c: i + 3 for i, c in enumerate(letters)}  # 0 digits, 1 other letters, 2 the rest
         self.size = len(letters) + 3
@@ -107,10 +108,13 @@ class SubsequenceKernel:
 
 
 def windows(token: str) -> list[str]:
+    """The token between marks of its start and end; without its separators as well if it holds any."""
     word = token.strip(EDGE)
-    if len(word) <= WINDOW:
-        return [word]
-    return [word[s : s + WINDOW] for s in range(0, len(word) - WINDOW + STEP, STEP)]
+    out = []
+    for w in [word] if word.isalnum() else [word, "".join(filter(str.isalnum, word))]:
+        w = FIRST + w + LAST
+        out += [w] if len(w) <= WINDOW else [w[s : s + WINDOW] for s in range(0, len(w) - WINDOW + STEP, STEP)]
+    return out
 
 
 def tokens(text: str) -> list[str]:
@@ -119,21 +123,22 @@ def tokens(text: str) -> list[str]:
     return low.split() + ["".join(m.group().split()) for m in SPELLED.finditer(low)]
 
 
-def disturbed(word: str, rng) -> list[str]:
+def disturbed(window: str, rng) -> list[str]:
     """Variants with separators, inserted, doubled and replaced letters."""
-    out = [".".join(word), "-".join(word), "*".join(word)]
+    word = window[1:-1]
+    out = [".".join(word), "-".join(word)]
     if len(word) > 3:
         for _ in range(3):
             i = int(rng.integers(1, len(word)))
             out.append(word[:i] + word[i - 1] + word[i:])
             out.append(word[:i] + str(rng.choice(list(".-_*x1"))) + word[i:])
-    if len(word) > 5:
-        i = int(rng.integers(1, len(word) - 1))
-        out.append(word[:i] + str(rng.choice(list("01*@$"))) + word[i + 1 :])
-    return out
+    if len(word) > 4:
+        for i in rng.permutation(len(word))[:4].tolist():
+            out.append(word[:i] + str(rng.choice(list("013457*@$!"))) + word[i + 1 :])
+    return [FIRST + w + LAST for w in out]
 
 
-def linear_machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60, seed: int = 0) -> np.ndarray:
+def linear_machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25, seed: int = 0) -> np.ndarray:
     """Weights (the last for a constant) of a linear support vector machine; dual coordinate descent."""
     z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
     w, alpha = np.zeros(z.shape[1]), np.zeros(len(z))
@@ -158,7 +163,7 @@ def witnesses(toxic: list[set[str]], clean: list[set[str]], most: int = 256) ->
     toxic = [set(x) for x in {frozenset(s) for s in toxic}]
     inside, outside = Counter(w for s in toxic for w in s), Counter(w for s in clean for w in s)
     least = 2 if len(toxic) < 400 else 3
-    pure = {w for w, n in inside.items() if len(w) >= 3 and n >= least and n / len(toxic) >= 20 * outside[w] / max(len(clean), 1)}
+    pure = {w for w, n in inside.items() if len(w) >= 5 and n >= least and n / len(toxic) >= 20 * outside[w] / max(len(clean), 1)}
     owners: dict[str, set[int]] = {}
     for i, s in enumerate(toxic):
         for w in s & pure:
@@ -192,14 +197,14 @@ class ToxicModel:
         rng = np.random.default_rng(seed)
         self.found = found
         common = Counter(c for s in good + bad for w in s for c in w if c.isalpha())
-        self.kernel = SubsequenceKernel("".join(sorted(c for c, _ in common.most_common(44))))
+        self.kernel = SubsequenceKernel(FIRST + LAST + "".join(sorted(c for c, _ in common.most_common(44))))
         positives = [w for f in found for w in [f] * 3 + disturbed(f, rng)]
         outside = Counter(w for s in good for w in s)
-        usual = sorted(w for w in outside if len(w) >= 3)
+        usual = sorted(w for w in outside if len(w) >= 4)
         often = [w for w, _ in outside.most_common(1000) if len(w) >= 3]
-        negatives = sorted({*often, *(usual[i] for i in rng.choice(len(usual), min(2000, len(usual)), replace=False))}) if usual else ["   "]
+        negatives = sorted({*often, *(usual[i] for i in rng.choice(len(usual), min(2000, len(usual)), replace=False))}) if usual else [FIRST + "  " + LAST]
         hard: list[str] = []
-        for _ in range(4):
+        for _ in range(6):
             marks = list(dict.fromkeys(found[: LANDMARKS * 2 // 3] + hard[: LANDMARKS // 3]))
             dense = self.kernel.dense(marks)
             size, axis = np.linalg.eigh(self.kernel.against(marks, dense) + 1e-6 * np.eye(len(marks)))
@@ -209,7 +214,7 @@ class ToxicModel:
             w = linear_machine(self.kernel.against(rows, dense) @ root, y, np.where(y > 0, 10.0, 30.0))
             self.weight, self.constant = (dense @ (root @ w[:-1])).astype(np.float32), float(w[-1])
             score = self.windows_score(usual)
-            worst = [usual[i] for i in np.argsort(-score)[:200] if score[i] > -0.8]
+            worst = [usual[i] for i in np.argsort(-score)[:400] if score[i] > -0.9]
             new = [x for x in worst if x not in set(hard)]
             if not new:
                 break
