@@ -106,3 +106,11 @@ def op3(spark, sf_dir):
     from planisphere.llm.html import visible_text
 
     return visible_text(table(spark, sf_dir, "pages"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark, sf_dir):
+    from planisphere.llm.suffix import deduplicate
+
+    done = deduplicate(table(spark, sf_dir, "documents"), span=50)
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
