@@ -190,3 +190,17 @@ def evidence(docs: DataFrame, model: TextClassifier, host: Column, path: Column,
 def judge(docs: DataFrame, model: TextClassifier, host: Column, path: Column, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, host, path, evidence, host_rate, path_rate, posterior, kept`` of every row."""
     return posterior(cut(evidence(docs, model, host, path, id_col, text_col))).withColumn("kept", F.col("posterior") >= threshold)
+
+
+def keep_good(docs: DataFrame, model: TextClassifier, host: Column, path: Column, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows whose posterior reaches ``threshold``, with the columns they came with."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch):
+        for part in slices(batch, "text"):
+            x = np.array([features(t) for t in part.column(3).to_pylist()]).reshape(-1, 14)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(shared.value.evidence(x))], ["row", "host", "path", "evidence"])
+
+    packed = docs.select(F.struct(*docs.columns).alias("row"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    schema = f"row {packed.schema['row'].dataType.simpleString()}, host string, path string, evidence double"
+    return posterior(cut(map_batches(packed, run, schema))).filter(F.col("posterior") >= threshold).select("row.*")

@@ -222,3 +222,22 @@ def near_duplicates(df: DataFrame, width: int = 3, radius: int = 3, id_col: str
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     table = named.join(lowest, "component").select("fp", "component_id")
     return docs.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, the one of the smallest id (nulls last), with the columns it came with."""
+
+    def run(batch):
+        for part in slices(batch, "text"):
+            fps = fingerprint([shingle_hashes(t, width) for t in part.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64))], ["row", "at", "fp"])
+
+    packed = df.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("at"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = cut(map_batches(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, at bigint, fp bigint"))
+    order = F.struct(F.col(f"row.{id_col}").isNull().alias("n"), F.col(f"row.{id_col}").alias("i"), "at")
+    classes = cut(rows.groupBy("fp").agg(F.min(order).alias("first")))
+    linked = components(links(classes, radius)).withColumnRenamed("node", "fp")
+    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
+    # the rows that stay: one per component, each in its own class
+    stay = named.groupBy("component").agg(F.min(F.struct("first", "fp")).alias("m")).select(F.col("m.fp").alias("fp"), F.col("m.first.at").alias("stays"))
+    return rows.join(stay, (rows["fp"] == stay["fp"]) & (rows["at"] == stay["stays"]), "left_semi").select("row.*")

@@ -225,7 +225,9 @@ class Shard:
     """Texts of one shard in a fixed order, and the runs of windows in them."""
 
     def __init__(self, ids, texts):
-        rows = sorted(((i, (t or "").encode("utf-8")) for i, t in zip(ids, texts)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        rows = [(i, (t or "").encode("utf-8")) for i, t in zip(ids, texts)]
+        self.order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][1]))
+        rows = [rows[k] for k in self.order]
         self.null = sum(i is None for i, _ in rows)
         self.rows = rows
         known = rows[: len(rows) - self.null]
@@ -398,15 +400,19 @@ def decide(text: np.ndarray, start: np.ndarray, length: np.ndarray, anchor: np.n
 # ---- Spark -----------------------------------------------------------------------------------------
 
 
-def deduplicate(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, spans (array of [start, stop)), kept (binary)`` of every row."""
+def deduplicate(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, spans (array of [start, stop)), kept (binary)`` of every row, and a struct ``carried`` of the columns named in ``carry``.
+
+    With ``as_text``, ``kept`` is a string; what a cut leaves of a letter of several bytes goes too.
+    """
     if not KEY + 8 <= span <= KEY + 31:
         raise ValueError(f"a span from {KEY + 8} to {KEY + 31} bytes is supported")
     spark = docs.sparkSession
     count = shards or parts(spark)
     shard = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(count)).cast("int")
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = base.select("doc_id", "text", shard.alias("shard")).repartition(count, "shard")
+    also = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *also)
+    dealt = base.select("*", shard.alias("shard")).repartition(count, "shard")
 
     def load(t: pa.Table) -> Shard:
         return Shard(t.column("doc_id").to_pylist(), t.column("text").to_pylist())
@@ -528,9 +534,25 @@ def deduplicate(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_
                 kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
             else:
                 spans.append([]), kept.append(raw)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "kept": pa.array(kept, pa.binary())})
+        rest = {"carried": t.column("carried").take(pa.array(me.order))} if carry else {}
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())} | rest)
+
+    more = f", carried {dealt.schema['carried'].dataType.simpleString()}" if carry else ""
+    return dealt.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(cut_out, f"doc_id bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept {'string' if as_text else 'binary'}" + more)
 
-    return dealt.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary")
+
+def keep_new(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with repeated text cut out, and the columns they came with; rows that repeat as a whole go.
+
+    A column ``n_chars`` is counted anew where text was cut; a null text stays null.
+    """
+    done = deduplicate(docs, span, id_col, text_col, carry=docs.columns, as_text=True).filter("n_removed = 0 OR n_removed < n_bytes")
+    was_cut = F.col("n_removed") > 0
+    columns = {c: F.col(f"carried.{c}") for c in docs.columns}
+    columns[text_col] = F.when(was_cut, F.col("kept")).otherwise(columns[text_col])
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(was_cut, F.length("kept")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def brute_force(rows, span: int = SPAN) -> dict:
