@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
-    """Consecutive parts of a batch, each with about ``limit`` bytes in ``column`` or a single row."""
+    """Consecutive parts of a batch, each with about ``limit`` bytes (of a list: entries) in ``column`` or a single row."""
     column = batch.column(batch.schema.get_field_index(column))
     if len(column) == 0:
         return
@@ -30,6 +30,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         at = to
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with every nested field nullable, as a schema string declares it."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind])
+    if pa.types.is_map(kind):
+        return pa.map_(nullable(kind.key_type), nullable(kind.item_type))
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, nullable(kind.value_type)))
+    return kind
+
+
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one record batch that yields record batches."""
 

@@ -33,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planisphere.llm.common import parts
+from planisphere.llm.common import nullable, parts
 
 KEY = 24
 SPAN = 50
 BLOCK_BYTES = 1 << 20
+RUN_BUCKETS = 4
 CHUNK = 1 << 16
 LOW = (1 << 17) - 1
 END = 0xFF  # never a byte of UTF-8
@@ -280,6 +281,16 @@ def _gather(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
     return text[at]
 
 
+def _covered(starts: np.ndarray, n: int, span: int) -> np.ndarray:
+    """Which of ``n`` places the windows from these starts (ascending) cover."""
+    change = np.zeros(n + 1, np.int8)
+    if len(starts):
+        apart = np.diff(starts) > span
+        change[starts[np.append(True, apart)]] = 1
+        change[starts[np.append(apart, True)] + span] -= 1
+    return np.cumsum(change[:n], dtype=np.int8) > 0
+
+
 def pack(columns: list[np.ndarray], text: np.ndarray) -> bytes:
     import zstandard
 
@@ -409,8 +420,9 @@ def deduplicate(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_
         raise ValueError(f"a span from {KEY + 8} to {KEY + 31} bytes is supported")
     spark = docs.sparkSession
     count = shards or parts(spark)
+    slots = RUN_BUCKETS * count  # the runs that repeat, with their text, go to smaller buckets than the anchors
     shard = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(count)).cast("int")
-    also = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
+    also = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []  # without the text, which travels anyway
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *also)
     dealt = base.select("*", shard.alias("shard")).repartition(count, "shard")
 
@@ -477,13 +489,13 @@ def deduplicate(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_
         rows = []
         if later.any():
             width = (last - first + 1)[later].astype(np.uint64)
-            rows.append((own % count, 1, pack([first[later], ((np.uint64(1) << width) - np.uint64(1)).astype("<u4")], np.empty(0, np.uint8))))
+            rows.append((own, 1, pack([first[later], ((np.uint64(1) << width) - np.uint64(1)).astype("<u4")], np.empty(0, np.uint8))))
         stay = np.flatnonzero(~later)
-        b = _bucket(run_hash[stay], count)
+        b = _bucket(run_hash[stay], slots)
         order = np.argsort(b, kind="stable")
         stay, b = stay[order], b[order]
-        edges = np.searchsorted(b, np.arange(count + 1))
-        for k in range(count):
+        edges = np.searchsorted(b, np.arange(slots + 1))
+        for k in range(slots):
             some = np.sort(stay[edges[k] : edges[k + 1]])
             if len(some):
                 length = last[some] - first[some] + span
@@ -516,13 +528,12 @@ def deduplicate(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_
     def cut_out(t: pa.Table, windows: pa.Table):
         me = load(t)
         n = int(me.ends[-1]) if len(me.ends) else 0
-        gone = np.zeros(n + 1, np.int32)
+        begins = np.zeros(n + 1, bool)
         for data in windows.column("data").to_pylist() if windows.num_rows else []:
             (first, mask), _ = unpack(data, ["<i8", "<u4"])
             for k in range(span - KEY + 1):
-                s = first[(mask >> np.uint32(k)) & np.uint32(1) > 0] + k
-                gone += np.bincount(s, minlength=n + 1).astype(np.int32) - np.bincount(s + span, minlength=n + 1).astype(np.int32)
-        gone = np.cumsum(gone)[:n] > 0
+                begins[first[(mask >> np.uint32(k)) & np.uint32(1) > 0] + k] = True
+        gone = _covered(np.flatnonzero(begins), n, span)
         ids, sizes, removed, spans, kept = [], [], [], [], []
         starts = np.concatenate([[0], me.ends[:-1]]).astype(np.int64) if len(me.ends) else me.ends
         for k, (i, raw) in enumerate(me.rows):
@@ -534,7 +545,7 @@ def deduplicate(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_
                 kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
             else:
                 spans.append([]), kept.append(raw)
-        rest = {"carried": t.column("carried").take(pa.array(me.order))} if carry else {}
+        rest = {"carried": t.column("carried").cast(nullable(t.schema.field("carried").type)).take(pa.array(me.order, pa.int64()))} if carry else {}
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())} | rest)
 
     more = f", carried {dealt.schema['carried'].dataType.simpleString()}" if carry else ""
@@ -546,13 +557,14 @@ def keep_new(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col
 
     A column ``n_chars`` is counted anew where text was cut; a null text stays null.
     """
-    done = deduplicate(docs, span, id_col, text_col, carry=docs.columns, as_text=True).filter("n_removed = 0 OR n_removed < n_bytes")
-    was_cut = F.col("n_removed") > 0
-    columns = {c: F.col(f"carried.{c}") for c in docs.columns}
-    columns[text_col] = F.when(was_cut, F.col("kept")).otherwise(columns[text_col])
+    marked = docs.withColumn("_null_text", F.col(text_col).isNull())
+    carry = [c for c in marked.columns if c != text_col]
+    done = deduplicate(marked, span, id_col, text_col, carry=carry, as_text=True).filter("n_removed = 0 OR n_removed < n_bytes")
+    columns = {c: F.col(f"carried.{c}") for c in docs.columns if c != text_col}
+    columns[text_col] = F.when(~F.col("carried._null_text"), F.col("kept"))
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(was_cut, F.length("kept")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    return done.select(*[v.alias(c) for c, v in columns.items()])
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def brute_force(rows, span: int = SPAN) -> dict:
