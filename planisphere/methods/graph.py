@@ -255,11 +255,25 @@ def potential(op: np.ndarray, t: int, gamma: float) -> np.ndarray:
     return 2.0 / (1.0 - gamma) * power ** ((1.0 - gamma) / 2.0)
 
 
+def kernel_neighbours(df: DataFrame, knn: int, decay: float, backend: str = "exact", floor: float = 1e-4) -> Neighbours:
+    """All neighbours that the kernel lifts above half its floor from either end.
+
+    The list doubles until every row's last entry lies outside its own reach; a pair is
+    in the list of at least one end wherever its weight reaches the floor.
+    """
+    reach = math.log(1 / floor) ** (1.0 / decay)
+    k = 4 * knn
+    while True:
+        nb = neighbours(df, k, backend)
+        ends = nb.knn.groupBy("src").agg(F.max(F.when(F.col("rank") <= knn, F.col("dist"))).alias("eps"), F.max("dist").alias("last"))
+        if k >= nb.n - 1 or ends.filter(F.col("last") <= F.col("eps") * reach).isEmpty():
+            return nb
+        k = min(2 * k, nb.n - 1)
+
+
 @method("phate")
 def phate(df: DataFrame, params: dict) -> DataFrame:
-    # Beyond the knn-th neighbour the kernel only falls to its floor: a few times more neighbours hold it all.
-    reach = max(1.0, math.log(1e4) ** (1.0 / params["decay"]))
-    nb = neighbours(df, int(math.ceil(params["knn"] * min(reach * 3, 10))), params["backend"])
+    nb = kernel_neighbours(df, params["knn"], params["decay"], params["backend"])
     kernel = decay_kernel(nb, params["knn"], params["decay"])
     p_nl, op = phate_operator(nb, kernel, params["landmarks"], params["random_state"])
     t = entropy_knee(op) if str(params["t"]) == "auto" else int(float(params["t"]))

@@ -24,8 +24,8 @@ from planisphere.session import cut
 # --- UMAP
 
 
-def smooth_distances(d: np.ndarray, local: float, rounds: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """rho and sigma per row of sorted neighbour distances, so that sum exp(-(d - rho) / sigma) = log2 k."""
+def smooth_distances(d: np.ndarray, local: float, rounds: int = 64, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """rho and sigma per row of sorted neighbour distances, so that sum exp(-(d - rho) / sigma) = log2 of ``size`` (k where unset)."""
     n, k = d.shape
     whole, part = int(math.floor(local)), local - math.floor(local)
     zeros, rows = (d <= 0).sum(axis=1), np.arange(n)
@@ -39,7 +39,7 @@ def smooth_distances(d: np.ndarray, local: float, rounds: int = 64) -> tuple[np.
     exact = positive(whole) + np.where((part > 1e-5) & (following > 0), part * (following - positive(whole)), 0.0)
     short = part * positive(1) if whole == 0 else np.maximum(d[:, -1], 0.0)
     rho = np.where((k - zeros >= local) & (whole > 0), exact, np.where(zeros < k, short, 0.0))
-    target = math.log2(max(k, 2))
+    target = math.log2(max(size or k, 2))
     low, high, mid = np.zeros(n), np.full(n, np.inf), np.ones(n)
     gap = np.maximum(d - rho[:, None], 0.0)
     for _ in range(rounds):
@@ -51,7 +51,7 @@ def smooth_distances(d: np.ndarray, local: float, rounds: int = 64) -> tuple[np.
     return rho, np.maximum(mid, 1e-3 * np.maximum(d.mean(axis=1), 1e-12))
 
 
-def membership(nb: Neighbours, local: float) -> DataFrame:
+def membership(nb: Neighbours, local: float, size: int | None = None) -> DataFrame:
     """src, dst, w: the directed fuzzy strengths of the neighbour edges."""
     lists = nb.knn.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", "dst", "dist"))).alias("near")).select(
         "src", F.col("near.dst").alias("dst"), F.col("near.dist").alias("dist"))
@@ -62,10 +62,10 @@ def membership(nb: Neighbours, local: float) -> DataFrame:
             flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             first = np.concatenate([[0], np.cumsum(counts)])
             w = np.zeros(len(flat))
-            for size in np.unique(counts):
-                at = np.flatnonzero(counts == size)
-                where = first[at][:, None] + np.arange(size)[None, :]
-                rho, sigma = smooth_distances(flat[where], local)
+            for many in np.unique(counts):
+                at = np.flatnonzero(counts == many)
+                where = first[at][:, None] + np.arange(many)[None, :]
+                rho, sigma = smooth_distances(flat[where], local, size=size)
                 w[where] = np.exp(-np.maximum(flat[where] - rho[:, None], 0.0) / sigma[:, None])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(batch.column(0).to_numpy(), counts)), batch.column(1).flatten(), pa.array(w)], names=["src", "dst", "w"])
@@ -73,8 +73,8 @@ def membership(nb: Neighbours, local: float) -> DataFrame:
     return lists.mapInArrow(run, "src bigint, dst bigint, w double")
 
 
-def fuzzy_graph(nb: Neighbours, local: float, mix: float) -> DataFrame:
-    return symmetrise(membership(nb, local), "fuzzy", mix=mix)
+def fuzzy_graph(nb: Neighbours, local: float, mix: float, size: int | None = None) -> DataFrame:
+    return symmetrise(membership(nb, local, size), "fuzzy", mix=mix)
 
 
 def curve(min_dist: float, spread: float) -> tuple[float, float]:
@@ -140,12 +140,12 @@ def attract_repel(links: Links, state: DataFrame, n: int, epoch: int, rate: floa
 
 def fit_umap(df: DataFrame, params: dict) -> tuple[Neighbours, DataFrame]:
     nb = neighbours(df, params["n_neighbors"] - 1, params["backend"], params["metric"])
-    edges = cut(fuzzy_graph(nb, params["local_connectivity"], params["set_op_mix_ratio"]).filter(F.col("w") > 0))
+    edges = cut(fuzzy_graph(nb, params["local_connectivity"], params["set_op_mix_ratio"], params["n_neighbors"]).filter(F.col("w") > 0))
     start = umap_start(nb, edges, params)
     a, b = curve(params["min_dist"], params["spread"])
     epochs = params["n_epochs"]
     top = edges.agg(F.max("w")).first()[0] or 1.0
-    scaled = edges.select("src", "dst", (F.col("w") / top).alias("w")).filter(F.col("w") >= 1.0 / max(epochs, 1))
+    scaled = edges.select("src", "dst", (F.col("w") / top).alias("w"))
     links = Links(scaled, nb.n, 32)
     deg = links.edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
     state = cut(start.join(deg, "node", "left").select("node", "x", "y", F.coalesce("deg", F.lit(0.0)).alias("deg")))

@@ -201,7 +201,7 @@ def fit_medoids(df: DataFrame, count: int, candidates: int, max_iter: int, seed)
     ``candidates`` members per cluster compete; their distance sums run over all rows.
     """
     medoids = landmark_matrix(df, count, seed)
-    for step in range(min(max_iter, 20)):
+    for step in range(max_iter):
         tagged = _clusters(df, medoids)
         from planisphere.operators.subset import first_n_per_group
         from planisphere.functions.seeded import hash_order

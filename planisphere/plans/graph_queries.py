@@ -98,11 +98,11 @@ def q_glle(spark, sf):
     return cert(made, **_orthonormal(made))
 
 
-@query("phate_kernel", f"""WITH {edge_cte(15)}, eps AS (SELECT s.node, dist AS eps FROM knn JOIN node s ON s.vec_id = src WHERE rank = 5),
+@query("phate_kernel", f"""WITH {edge_cte(1_000_000)}, eps AS (SELECT s.node, dist AS eps FROM knn JOIN node s ON s.vec_id = src WHERE rank = 5),
   k AS (SELECT src, dst, 0.5 * exp(-pow(w / a.eps, 40)) + 0.5 * exp(-pow(w / b.eps, 40)) AS w FROM edge JOIN eps a ON a.node = src JOIN eps b ON b.node = dst)
   SELECT src, dst, round(w, 6) + 0.0 AS w FROM k WHERE w >= 1e-4 UNION ALL SELECT node, node, 1.0 FROM node""")
 def q_phate_kernel(spark, sf):
-    nb = neighbours(vectors(spark, sf), 15)
+    nb = G.kernel_neighbours(vectors(spark, sf), 5, 40.0)
     return G.decay_kernel(nb, 5, 40.0).select("src", "dst", r6("w").alias("w"))
 
 

@@ -47,14 +47,14 @@ def q_pacmap(spark, sf):
 
 @query("umap_graph", """SELECT vec_id AS item_id, true AS in_range, true AS near_one, true AS log_sum FROM embeddings""")
 def q_umap_graph(spark, sf):
-    """Strengths lie in (0, 1], the nearest neighbour has strength 1, and they sum to log2 k."""
+    """Strengths lie in (0, 1], the nearest neighbour has strength 1, and they sum to log2 of n_neighbors = 15, the row itself counted."""
     nb = neighbours(vectors(spark, sf), 14)
-    w = Y.membership(nb, 1.0).groupBy(F.col("src").alias("node")).agg(
+    w = Y.membership(nb, 1.0, 15).groupBy(F.col("src").alias("node")).agg(
         (F.min("w") > 0).alias("positive"), F.max("w").alias("top"), F.sum("w").alias("total"))
     import math
 
     return nb.nodes.join(w, "node").select("item_id", (F.col("positive") & (F.col("top") <= 1)).alias("in_range"),
-                                           (F.col("top") == 1).alias("near_one"), (F.abs(F.col("total") - math.log2(14)) < 1e-5).alias("log_sum"))
+                                           (F.col("top") == 1).alias("near_one"), (F.abs(F.col("total") - math.log2(15)) < 1e-5).alias("log_sum"))
 
 
 @query("umap", f"{COUNT}, true AS spread FROM embeddings")

@@ -9,7 +9,7 @@ rows that others refer to are written first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planisphere.operators.subset import assign_ids
@@ -42,12 +42,13 @@ def identity(params, strategy, size, skip=("random_state",), listed: list[str] |
     return F.when(~F.exists(entries, lambda e: e["value"].isNull()), whole)
 
 
-def upsert_runs(runs: DataFrame, incoming: DataFrame, mode: str = "strict", listed: list[str] | None = None) -> DataFrame:
+def upsert_runs(runs: DataFrame, incoming: DataFrame, mode: str = "strict", listed: list[str] | None = None, few: bool = False) -> DataFrame:
     """The runs table after one method's incoming rows are matched by identity.
 
     A match takes over runtime and seed and keeps its id; a miss gets the next id.
     ``mode='strict'`` compares every parameter but the seed, null equal to null;
-    ``mode='reference'`` compares the listed ones and null matches nothing.
+    ``mode='reference'`` compares the listed ones and null matches nothing. ``few``: the
+    incoming rows of one method fit a task, so they are numbered by a window.
     """
     if mode not in ("strict", "reference"):
         raise ValueError("mode is 'strict' or 'reference'")
@@ -77,7 +78,8 @@ def upsert_runs(runs: DataFrame, incoming: DataFrame, mode: str = "strict", list
     )
     top = runs.groupBy("method").agg(F.max("config_id").alias("_top"))
     base = missed.join(top, "method", "left")
-    inserted = number_within(base, "method", "arrival").select(
+    rank = F.row_number().over(Window.partitionBy("method").orderBy("arrival"))
+    inserted = (base.withColumn("_rank", rank) if few else number_within(base, "method", "arrival")).select(
         "method", (F.coalesce("_top", F.lit(0)) + F.col("_rank")).cast("bigint").alias("config_id"),
         "subset_strategy", "subset_size", "runtime", "params",
     )
@@ -180,7 +182,7 @@ class Catalog:
         row = [(method, 0, strategy, size, runtime, params, 0)]
         incoming = self.spark.createDataFrame(row, SCHEMAS["runs"] + ", arrival int")
         runs = self.read("runs").filter(F.col("method") == method)
-        after = upsert_runs(runs, incoming, mode, listed).persist()
+        after = upsert_runs(runs, incoming, mode, listed, few=True).persist()
         key = identity(F.col("params"), F.col("subset_strategy"), F.col("subset_size"),
                        listed=listed if mode == "reference" else None)
         mine = after.withColumn("_key", key).join(incoming.select(key.alias("_key")), "_key")

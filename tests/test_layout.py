@@ -105,6 +105,8 @@ def test_curve_and_smoothing():
     rho, sigma = Y.smooth_distances(d, 1.0)
     np.testing.assert_allclose(rho, d[:, 0])
     np.testing.assert_allclose(np.exp(-np.maximum(d - rho[:, None], 0) / sigma[:, None]).sum(1), np.log2(15), atol=1e-6)
+    rho, sigma = Y.smooth_distances(d, 1.0, size=16)
+    np.testing.assert_allclose(np.exp(-np.maximum(d - rho[:, None], 0) / sigma[:, None]).sum(1), 4.0, atol=1e-6)
 
 
 def test_adam_first_step_is_the_rate(spark):
