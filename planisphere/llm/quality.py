@@ -198,9 +198,11 @@ def keep_good(docs: DataFrame, model: TextClassifier, host: Column, path: Column
 
     def run(batch):
         for part in slices(batch, "text"):
-            x = np.array([features(t) for t in part.column(3).to_pylist()]).reshape(-1, 14)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(shared.value.evidence(x))], ["row", "host", "path", "evidence"])
-
-    packed = docs.select(F.struct(*docs.columns).alias("row"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, host string, path string, evidence double"
-    return posterior(cut(map_batches(packed, run, schema))).filter(F.col("posterior") >= threshold).select("row.*")
+            x = np.array([features(t or "") for t in part.column(1).to_pylist()]).reshape(-1, 14)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.evidence(x))], ["row", "text", "host", "path", "evidence"])
+
+    rest = [c for c in docs.columns if c != text_col]  # the text travels once, beside the other columns
+    packed = docs.select(F.struct(*rest).alias("row"), F.col(text_col).cast("string").alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
+    schema = f"row {packed.schema['row'].dataType.simpleString()}, text string, host string, path string, evidence double"
+    kept = posterior(cut(map_batches(packed, run, schema))).filter(F.col("posterior") >= threshold)
+    return kept.select(*[F.col("text" if c == text_col else f"row.{c}").alias(c) for c in docs.columns])

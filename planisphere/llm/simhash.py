@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planisphere.llm.common import map_batches, parts, slices
+from planisphere.llm.common import give_back, map_batches, parts, slices
 from planisphere.llm.components import components, local_roots
 from planisphere.session import cut
 
@@ -204,6 +204,7 @@ def links(classes: DataFrame, radius: int = 3, fp_col: str = "fp") -> DataFrame:
         if n:
             work(*(np.concatenate(x) for x in zip(*held)))
         a, b = found_a[0], found_b[0]
+        give_back()
         for at in range(0, len(a), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 65536]), pa.array(b[at : at + 65536])], ["a", "b"])
 
@@ -229,15 +230,16 @@ def keep_one(df: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_
 
     def run(batch):
         for part in slices(batch, "text"):
-            fps = fingerprint([shingle_hashes(t, width) for t in part.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64))], ["row", "at", "fp"])
+            fps = fingerprint([shingle_hashes(t or "", width) for t in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], ["row", "text", "at", "fp"])
 
-    packed = df.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("at"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = cut(map_batches(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, at bigint, fp bigint"))
+    rest = [c for c in df.columns if c != text_col]  # the text travels once, beside the other columns
+    packed = df.select(F.struct(*rest).alias("row"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("at"))
+    rows = cut(map_batches(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, text string, at bigint, fp bigint"))
     order = F.struct(F.col(f"row.{id_col}").isNull().alias("n"), F.col(f"row.{id_col}").alias("i"), "at")
     classes = cut(rows.groupBy("fp").agg(F.min(order).alias("first")))
     linked = components(links(classes, radius)).withColumnRenamed("node", "fp")
     named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
     # the rows that stay: one per component, each in its own class
     stay = named.groupBy("component").agg(F.min(F.struct("first", "fp")).alias("m")).select(F.col("m.fp").alias("fp"), F.col("m.first.at").alias("stays"))
-    return rows.join(stay, (rows["fp"] == stay["fp"]) & (rows["at"] == stay["stays"]), "left_semi").select("row.*")
+    return rows.join(stay, (rows["fp"] == stay["fp"]) & (rows["at"] == stay["stays"]), "left_semi").select(*[F.col("text" if c == text_col else f"row.{c}").alias(c) for c in df.columns])

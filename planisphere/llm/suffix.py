@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planisphere.llm.common import nullable, parts
+from planisphere.llm.common import lean, nullable, parts
 
 KEY = 24
 SPAN = 50
@@ -440,7 +440,7 @@ def deduplicate(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_
         rows = [(k, _short(h[order[s:e]], several[order[s:e]])) for k, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s]
         return pa.table({"bucket": pa.array([k for k, _ in rows], pa.int32()), "shard": pa.array([one_shard(t)] * len(rows), pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
 
-    anchors = dealt.groupBy("shard").applyInArrow(send_anchors, "bucket int, shard int, data binary")
+    anchors = dealt.groupBy("shard").applyInArrow(lean(send_anchors), "bucket int, shard int, data binary")
 
     def shared_bits(t: pa.Table) -> pa.Table:
         lists = [_long(d) for d in t.column("data").to_pylist()]
@@ -458,7 +458,7 @@ def deduplicate(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_
         ends = np.cumsum([len(x) for x in lists])
         return pa.table({"shard": t.column("shard").cast(pa.int32()), "bucket": t.column("bucket").cast(pa.int32()), "data": pa.array([np.packbits(x).tobytes() for x in np.split(bits, ends[:-1])], pa.binary())})
 
-    bits = anchors.groupBy("bucket").applyInArrow(shared_bits, "shard int, bucket int, data binary")
+    bits = anchors.groupBy("bucket").applyInArrow(lean(shared_bits), "shard int, bucket int, data binary")
 
     def send_runs(t: pa.Table, answer: pa.Table) -> pa.Table:
         empty = {"bucket": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "data": pa.array([], pa.binary())}
@@ -504,7 +504,7 @@ def deduplicate(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_
                 rows.append((k, 0, pack(columns, _gather(me.text, first[some], length))))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([own] * len(rows), pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
-    sent = dealt.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(send_runs, "bucket int, shard int, kind int, data binary")
+    sent = dealt.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(lean(send_runs), "bucket int, shard int, kind int, data binary")
 
     def find(t: pa.Table) -> pa.Table:
         shard, kind, data = (t.column(c).to_pylist() for c in ("shard", "kind", "data"))
@@ -523,7 +523,7 @@ def deduplicate(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_
                 at += len(columns[0])
         return pa.table({"shard": pa.array([s for s, _ in rows], pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
 
-    found = sent.groupBy("bucket").applyInArrow(find, "shard int, data binary")
+    found = sent.groupBy("bucket").applyInArrow(lean(find), "shard int, data binary")
 
     def cut_out(t: pa.Table, windows: pa.Table):
         me = load(t)
@@ -549,7 +549,7 @@ def deduplicate(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())} | rest)
 
     more = f", carried {dealt.schema['carried'].dataType.simpleString()}" if carry else ""
-    return dealt.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(cut_out, f"doc_id bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept {'string' if as_text else 'binary'}" + more)
+    return dealt.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(lean(cut_out), f"doc_id bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept {'string' if as_text else 'binary'}" + more)
 
 
 def keep_new(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
