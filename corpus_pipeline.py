@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planisphere.llm.bpe import bpe_decode, bpe_encode
+from planisphere.llm.bpe import bpe_encode
 from planisphere.llm.mixing import take
 from planisphere.llm.quality import fit, keep_good
 from planisphere.llm.queries import tokenizer
@@ -36,8 +36,7 @@ def mixing(spark, docs, sf_dir):
 
 def tokens(spark, docs, sf_dir):
     """Ids of each text taken, and a digest of what they decode to."""
-    path = tokenizer("word_bpe_49k.json")
-    coded = bpe_decode(bpe_encode(docs, path), path)
+    coded = bpe_encode(docs, tokenizer("word_bpe_49k.json"), decode=True)
     return coded.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from planisphere.llm.common import map_batches, slices
 
 #: Distinct words kept per Python worker; the memory of a worker stays bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: The white space that the normaliser of the file replaces.
 SPACE = regex.compile("[" + "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
 #: Characters that ``str.split`` takes for white space and the normaliser does not.
@@ -168,23 +168,31 @@ class _File:
         return self.shared.value
 
 
-def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
-    """``doc_id`` and ``ids``: array<int>, or with ``packed`` the little-endian 32-bit integers as binary."""
+def _ids(coded: list[bytes], packed: bool) -> pa.Array:
+    if packed:
+        return pa.array(coded, pa.binary())
+    ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+
+
+def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, decode: bool = False) -> DataFrame:
+    """``doc_id`` and ``ids``: array<int>, or with ``packed`` the little-endian 32-bit integers as binary.
+
+    With ``decode`` a column ``decoded`` is made of the ids as well, in the same worker and pass.
+    """
     content = _File(df.sparkSession, path)
 
     def run(batch):
         model = _model(content)
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             coded = [model.encode(t) for t in part.column(1).to_pylist()]
-            if packed:
-                ids = pa.array(coded, pa.binary())
-            else:
-                ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-            yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+            columns = {"doc_id": part.column(0), "ids": _ids(coded, packed)}
+            if decode:
+                columns["decoded"] = pa.array([model.decode(np.frombuffer(c, "<u4")) for c in coded], pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return map_batches(rows, run, f"doc_id bigint, ids {'binary' if packed else 'array<int>'}")
+    return map_batches(rows, run, f"doc_id bigint, ids {'binary' if packed else 'array<int>'}" + (", decoded string" if decode else ""))
 
 
 def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -193,13 +201,11 @@ def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     packed = dict(df.dtypes)[ids_col] == "binary"
 
     def run(batch):
-        model, ids = _model(content), batch.column(1)
-        step = 256
-        for at in range(0, batch.num_rows, step):
-            some = ids.slice(at, step)
-            lists = (np.frombuffer(x, "<u4") if packed else np.array(x, np.int64) for x in (y.as_py() or b"" for y in some))
-            text = pa.array([model.decode(x) for x in lists], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, step), some, text], ["doc_id", "ids", "decoded"])
+        model = _model(content)
+        for part in slices(batch, "ids", 1 << 20):
+            ids = part.column(1)
+            lists = (np.frombuffer(x.as_py() or b"", "<u4") if packed else np.asarray(x.values) if x.is_valid else () for x in ids)
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(map(model.decode, lists), pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(ids_col).alias("ids"))
     return map_batches(rows, run, f"doc_id bigint, ids {'binary' if packed else 'array<int>'}, decoded string")

@@ -29,10 +29,9 @@ def tokenizer(name: str) -> str:
 
 @query("op9_bpe_codec")
 def op9(spark, sf_dir):
-    from planisphere.llm.bpe import bpe_decode, bpe_encode
+    from planisphere.llm.bpe import bpe_encode
 
-    path = tokenizer("word_bpe_49k.json")
-    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path, packed=True), path)
+    coded = bpe_encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), packed=True, decode=True)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
