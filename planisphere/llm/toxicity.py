@@ -27,6 +27,7 @@ row); repeated rows score each; other columns do not matter.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -45,7 +46,8 @@ CACHE_WORDS = 400_000
 EDGE = ".,;:!?\"'()[]{}<>|*-_#$%&/\\~`^+="
 #: Four or more single letters with white space between them.
 SPELLED = regex.compile(r"(?<!\S)(?:\w\s+){3,}\w(?!\S)")
-LANDMARKS = 160
+LANDMARKS, ROUNDS, COST = 600, 8, 10.0
+COVER = 5
 FIRST, LAST = "\x02", "\x03"
 
 
@@ -89,21 +91,30 @@ class SubsequenceKernel:
         sums = np.add.reduceat(w, at)
         return np.sqrt(np.bincount(at // code.shape[1], sums.astype(np.float64) ** 2, minlength=len(code)))
 
-    def dense(self, words: list[str]) -> np.ndarray:
-        """Normalised features, one column per word."""
-        out = np.zeros((self.size**3, len(words)), np.float32)
-        for rows, code, weight in self.triples(words):
-            scaled = weight[None, :] / self.norms(code, weight)[:, None]
-            np.add.at(out, (code, rows[:, None]), scaled)
-        return out
-
-    def against(self, words: list[str], dense: np.ndarray) -> np.ndarray:
-        """Kernel of each word with each column of ``dense``."""
+    def dense(self, words: list[str]):
+        """Normalised features, one column per word, and the row of each triple that occurs (-1: none)."""
+        found = [(rows, code, weight[None, :] / self.norms(code, weight)[:, None]) for rows, code, weight in self.triples(words)]
+        codes = np.unique(np.concatenate([code.ravel() for _, code, _ in found])) if found else np.empty(0, np.int64)
+        row = np.full(self.size**3, -1, np.int32)
+        row[codes] = np.arange(len(codes))
+        out = np.zeros((len(codes), len(words)), np.float32)
+        for rows, code, scaled in found:
+            np.add.at(out, (row[code], rows[:, None]), scaled)
+        return out, row
+
+    def against(self, words: list[str], columns) -> np.ndarray:
+        """Kernel of each word with each column of :meth:`dense`."""
+        dense, row = columns
         out = np.zeros((len(words), dense.shape[1]))
         for rows, code, weight in self.triples(words):
+            norm = self.norms(code, weight)
             for s in range(0, len(rows), 64):
-                some = code[s : s + 64]
-                out[rows[s : s + 64]] = np.einsum("btl,t->bl", dense[some], weight) / self.norms(some, weight)[:, None]
+                some = row[code[s : s + 64]]
+                i, j = np.nonzero(some >= 0)
+                if len(i):
+                    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                    sums = np.add.reduceat(dense[some[i, j]] * weight[j, None], first, axis=0)
+                    out[rows[s + i[first]]] = sums / norm[s + i[first], None]
         return out
 
 
@@ -124,9 +135,9 @@ def tokens(text: str) -> list[str]:
 
 
 def disturbed(window: str, rng) -> list[str]:
-    """Variants with separators, inserted, doubled and replaced letters."""
+    """Variants with inserted, doubled and replaced letters; separators are read without as well."""
     word = window[1:-1]
-    out = [".".join(word), "-".join(word)]
+    out = []
     if len(word) > 3:
         for _ in range(3):
             i = int(rng.integers(1, len(word)))
@@ -138,38 +149,50 @@ def disturbed(window: str, rng) -> list[str]:
     return [FIRST + w + LAST for w in out]
 
 
-def linear_machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25, seed: int = 0) -> np.ndarray:
-    """Weights (the last for a constant) of a linear support vector machine; dual coordinate descent."""
+def linear_machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Weights (the last for a constant) of a linear support vector machine with squared hinge loss; Newton steps on its margin violators."""
     z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-    w, alpha = np.zeros(z.shape[1]), np.zeros(len(z))
-    square = np.einsum("ij,ij->i", z, z)
-    rng = np.random.default_rng(seed)
+    ridge = np.eye(z.shape[1])
+    ridge[-1, -1] = 1e-3
+    loss = lambda v: 0.5 * v @ ridge @ v + cost @ np.maximum(1 - y * (z @ v), 0) ** 2
+    w = np.zeros(z.shape[1])
     for _ in range(rounds):
-        change = 0.0
-        for i in rng.permutation(len(z)):
-            g = y[i] * (z[i] @ w) - 1
-            new = min(max(alpha[i] - g / square[i], 0.0), cost[i])
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * z[i]
-                change = max(change, abs(new - alpha[i]))
-                alpha[i] = new
-        if change < 1e-3:
+        active = y * (z @ w) < 1
+        za, ca = z[active], cost[active]
+        target = np.linalg.solve(ridge + 2 * (za * ca[:, None]).T @ za, 2 * za.T @ (ca * y[active]))
+        step, now = 1.0, loss(w)
+        while step > 1e-4 and loss(w + step * (target - w)) > now:
+            step /= 2
+        new = w + step * (target - w)
+        done = np.abs(new - w).max() < 1e-7
+        w = new
+        if done:
             break
     return w
 
 
 def witnesses(toxic: list[set[str]], clean: list[set[str]], most: int = 256) -> list[str]:
-    """Words that cover the toxic documents and hardly occur in clean ones, by greedy cover."""
-    toxic = [set(x) for x in {frozenset(s) for s in toxic}]
+    """Words that cover the toxic documents and hardly occur in clean ones, by greedy cover.
+
+    Near copies (the same three smallest word hashes) count once; a document is covered by
+    ``COVER`` witnesses, as most hold several and one may be chance.
+    """
+    hashes = lambda s: tuple(sorted(zlib.crc32(w.encode()) for w in s)[:3])
+    toxic = list({hashes(s): s for s in toxic}.values())
     inside, outside = Counter(w for s in toxic for w in s), Counter(w for s in clean for w in s)
-    least = 2 if len(toxic) < 400 else 3
-    pure = {w for w, n in inside.items() if len(w) >= 5 and n >= least and n / len(toxic) >= 20 * outside[w] / max(len(clean), 1)}
+    share = len(toxic) / max(len(toxic) + len(clean), 1)
+    pure = {w: n for w, n in inside.items() if len(w) >= 5 and n >= 2 and n / len(toxic) >= 20 * outside[w] / max(len(clean), 1)}
+    chance = Counter(inside[w] + outside[w] for w in inside if len(w) >= 5)
+    for least in range(2, max(pure.values(), default=1) + 1):
+        pure = {w: n for w, n in pure.items() if n >= least}
+        # words of so many documents that only chance put into toxic ones: at most a tenth of those found
+        if sum(m * share**n for n, m in chance.items() if n >= least) <= len(pure) / 10:
+            break
     owners: dict[str, set[int]] = {}
     for i, s in enumerate(toxic):
-        for w in s & pure:
+        for w in s & pure.keys():
             owners.setdefault(w, set()).add(i)
     out, open_docs = [], set(range(len(toxic)))
-    # A document is covered by its second witness: most hold several, and one may be chance.
     times = Counter()
     while owners and open_docs and len(out) < most:
         word = max(owners, key=lambda w: (len(owners[w] & open_docs), len(owners[w]), w))
@@ -177,7 +200,7 @@ def witnesses(toxic: list[set[str]], clean: list[set[str]], most: int = 256) ->
             break
         for i in owners.pop(word):
             times[i] += 1
-            if times[i] >= 2:
+            if times[i] >= COVER:
                 open_docs.discard(i)
         out.append(word)
     return out
@@ -189,51 +212,54 @@ class ToxicModel:
     def __init__(self, texts: list[str], toxic: list[int], seed: int = 42):
         self.share = float(np.mean(toxic)) if len(toxic) else 0.5
         self.kernel = None
-        split = [[w for t in set(tokens(x)) for w in windows(t)] for x in texts]
-        bad, good = [set(s) for s, y in zip(split, toxic) if y], [set(s) for s, y in zip(split, toxic) if not y]
-        found = witnesses(bad, good) if bad and good else []
+        split = [sorted({w for t in set(tokens(x)) for w in windows(t)}) for x in texts]  # sorted: no rerun may differ
+        bad, good = [s for s, y in zip(split, toxic) if y], [s for s, y in zip(split, toxic) if not y]
+        found = witnesses([set(s) for s in bad], [set(s) for s in good]) if bad and good else []
         if not found:
             return
         rng = np.random.default_rng(seed)
         self.found = found
         common = Counter(c for s in good + bad for w in s for c in w if c.isalpha())
-        self.kernel = SubsequenceKernel(FIRST + LAST + "".join(sorted(c for c, _ in common.most_common(44))))
+        self.kernel = SubsequenceKernel(FIRST + LAST + "".join(sorted(c for c, _ in common.most_common(42))))
         positives = [w for f in found for w in [f] * 3 + disturbed(f, rng)]
         outside = Counter(w for s in good for w in s)
         usual = sorted(w for w in outside if len(w) >= 4)
         often = [w for w, _ in outside.most_common(1000) if len(w) >= 3]
-        negatives = sorted({*often, *(usual[i] for i in rng.choice(len(usual), min(2000, len(usual)), replace=False))}) if usual else [FIRST + "  " + LAST]
+        negatives = sorted({*often, *(usual[i] for i in rng.choice(len(usual), min(1500, len(usual)), replace=False))}) if usual else [FIRST + "  " + LAST]
         hard: list[str] = []
-        for _ in range(6):
-            marks = list(dict.fromkeys(found[: LANDMARKS * 2 // 3] + hard[: LANDMARKS // 3]))
-            dense = self.kernel.dense(marks)
-            size, axis = np.linalg.eigh(self.kernel.against(marks, dense) + 1e-6 * np.eye(len(marks)))
-            root = axis / np.sqrt(np.maximum(size, 1e-6)) @ axis.T
-            rows = positives + negatives
-            y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
-            w = linear_machine(self.kernel.against(rows, dense) @ root, y, np.where(y > 0, 10.0, 30.0))
-            self.weight, self.constant = (dense @ (root @ w[:-1])).astype(np.float32), float(w[-1])
+        for _ in range(ROUNDS):
+            marks = list(dict.fromkeys([*found, *hard, *negatives]))[:LANDMARKS]
+            columns = self.kernel.dense(marks)
+            size, axis = np.linalg.eigh(self.kernel.against(marks, columns) + 1e-6 * np.eye(len(marks)))
+            strong = size > 1e-3 * size.max()  # directions in which the landmarks hardly differ are left out
+            root = axis[:, strong] / np.sqrt(size[strong])
+            rows = positives + sorted(set(negatives) | set(hard))
+            y = np.where(np.arange(len(rows)) < len(positives), 1.0, -1.0)
+            w = linear_machine(self.kernel.against(rows, columns) @ root, y, np.where(y > 0, COST, 3 * COST))
+            self.weight, self.constant = np.zeros(self.kernel.size**3, np.float32), float(w[-1])
+            used = columns[1] >= 0
+            self.weight[used] = (columns[0] @ (root @ w[:-1]))[columns[1][used]]
             score = self.windows_score(usual)
-            worst = [usual[i] for i in np.argsort(-score)[:400] if score[i] > -0.9]
-            new = [x for x in worst if x not in set(hard)]
+            known = set(rows)
+            new = [usual[i] for i in np.argsort(-score)[:600] if score[i] > -0.5 and usual[i] not in known][:150]
             if not new:
                 break
             hard = new + hard
-            negatives = sorted(set(negatives) | set(new))
-        self._curve(split, toxic)
+        self.hard = hard
+        self._curve(split, toxic, positives)
 
     def windows_score(self, words: list[str]) -> np.ndarray:
-        """Decision per window; windows without any toxic triple get the constant."""
+        """Decision per window; windows without any toxic triple, or with fewer than three letters, get the constant."""
         out = np.full(len(words), self.constant)
-        for rows, code, weight in self.kernel.triples(words):
+        for rows, code, weight in self.kernel.triples([w if sum(map(str.isalpha, w)) >= 3 else "" for w in words]):
             total = self.weight[code] @ weight
             some = np.flatnonzero(total > 0)
             if len(some):
                 out[rows[some]] = total[some] / self.kernel.norms(code[some], weight) + self.constant
         return out
 
-    def _curve(self, split, toxic):
-        """Boundary between both labels' worst windows, where the score is 0.7."""
+    def _curve(self, split, toxic, positives):
+        """Boundary between both labels' worst windows, below most disturbed witnesses; there the score is 0.7."""
         words = sorted({w for s in split for w in s})
         value = dict(zip(words, self.windows_score(words)))
         top = np.array([max([value[w] for w in s], default=self.constant) for s in split])
@@ -241,8 +267,9 @@ class ToxicModel:
         edges = np.unique(np.concatenate([top, [self.constant]]))
         middle = (edges[1:] + edges[:-1]) / 2 if len(edges) > 1 else edges
         right = np.array([((top >= m) & y).sum() / max(y.sum(), 1) - ((top >= m) & ~y).sum() / max((~y).sum(), 1) for m in middle])
-        good = middle[right >= right.max() - 1e-9]
-        self.cut = float(min(max((good.min() + good.max()) / 2, self.constant + 1e-3), 1.0))
+        good = middle[right >= right.max() - 0.003]
+        upper = min(good.max(), max(np.quantile(self.windows_score(positives), 0.1), good.min()))
+        self.cut = float(min(max((good.min() + upper) / 2, self.constant + 1e-3), 1.0))
         self.steep = 4.0
 
     def curve(self, top: float) -> float:
