@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from planisphere.functions.canvas import canvas_normalise
 from planisphere.operators.graph import share_neighbours
 from planisphere.operators.lookups import points_for_run
-from planisphere.operators.quality import has_name
 from planisphere.operators.subset import fetch_subset
 from planisphere.registry import METHODS, RunConfig, run_method, schema_of, text_params, typed_params
 from planisphere.session import cut
@@ -30,6 +29,9 @@ def run_reduction(catalog: Catalog, embeddings: DataFrame, config: RunConfig, mo
 
     Every selected row must be placed exactly once, otherwise nothing is stored.
     """
+    size = typed_params(config.method, config.params).get("n_components", 2)
+    if size != 2:
+        raise ValueError(f"a stored map has two components; {config.method} was asked for {size}")
     seed = int(config.params.get("random_state", 42))
     rows = subset if subset is not None else cut(fetch_subset(embeddings, config.subset_strategy, config.subset_size, seed))
     start = time.time()
@@ -65,6 +67,15 @@ def sweep(catalog: Catalog, embeddings: DataFrame, configs: Iterable[RunConfig],
 
 
 def visualise(catalog: Catalog, method: str, config_id: int) -> int:
-    """Normalise the points of a run to the canvas and store them as a visualisation."""
-    points = points_for_run(catalog.read("points"), method, config_id).filter(has_name(F.col("item_id")))
+    """Normalise all points of a run to the canvas and store them as a visualisation."""
+    points = points_for_run(catalog.read("points"), method, config_id)
     return catalog.save_viz(method, config_id, f"{method}_{config_id}.avif", canvas_normalise(points))
+
+
+def visualise_all(catalog: Catalog, wanted: Iterable[tuple[str, int]]) -> list[tuple[str, int, int | None]]:
+    """Visualise a list of runs; (method, config id, viz id), where a run without points is skipped with no viz id."""
+    out = []
+    for method, config_id in wanted:
+        found = method in METHODS and not points_for_run(catalog.read("points"), method, config_id).isEmpty()
+        out.append((method, config_id, visualise(catalog, method, config_id) if found else None))
+    return out

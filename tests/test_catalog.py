@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from planisphere.functions import canvas as C
 from planisphere.operators import lookups, quality, subset
-from planisphere.runs import run_reduction, sweep, visualise
+from planisphere.runs import run_reduction, sweep, visualise, visualise_all
 from planisphere.registry import METHODS, RunConfig, configs_from, method, method_names, typed_params
 from planisphere.sources.catalog import Catalog, upsert_runs
 from planisphere.sources.embeddings import decode_blob, encode_blob, ingest_ignore, scan_embeddings
@@ -29,6 +29,9 @@ def test_run_is_stored_updated_and_replaced(spark, rows, tmp_path):
     viz = visualise(cat, "pca", 2)
     canvas = cat.read("viz_points").filter(F.col("viz_id") == viz)
     assert canvas.agg(F.min("viz_x"), F.max("viz_x")).first() == (0, 16383)
+    assert visualise_all(cat, [("pca", 77), ("nothing", 1)]) == [("pca", 77, None), ("nothing", 1, None)]
+    with pytest.raises(ValueError, match="two components"):
+        run_reduction(cat, rows, RunConfig("pca", params={"n_components": 3}))
     cat.update_viz_image(viz, "other.avif")
     assert cat.read("viz").first().low_res == "other.avif"
     assert quality.orphan_viz_points(cat.read("viz_points"), cat.read("points"), cat.read("viz")).isEmpty()
