@@ -33,6 +33,12 @@ def _to_canvas(v: Column, lo: Column, hi: Column, side: int) -> Column:
 def canvas_normalise(points: DataFrame, side: int = CANVAS) -> DataFrame:
     """Integer canvas position viz_x, viz_y in [0, side-1], rounding halves to even."""
     e = _extent_value(points)
+    return canvas_positions(points, {c: e[c] for c in ("min_x", "max_x", "min_y", "max_y")}, side)
+
+
+def canvas_positions(points: DataFrame, e: dict[str, Column] | None = None, side: int = CANVAS) -> DataFrame:
+    """Canvas positions by a given extent, or by the columns of one beside every point."""
+    e = e or {c: F.col(c) for c in ("min_x", "max_x", "min_y", "max_y")}
     return points.withColumns({
         "viz_x": _to_canvas(F.col("x"), e["min_x"], e["max_x"], side),
         "viz_y": _to_canvas(F.col("y"), e["min_y"], e["max_y"], side),

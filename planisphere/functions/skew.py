@@ -25,9 +25,9 @@ def hot_keys(df: DataFrame, key: str, rows: int, share: int = HOT_SHARE) -> Data
 def add_salt(df: DataFrame, key: str, hot: DataFrame, *spread: str) -> DataFrame:
     """Many-side: ``_salt`` spreads the rows of a hot key over its salts, 0 elsewhere."""
     joined = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.col("_salts").cast("bigint")).cast("int")
-    )
+    # Rows without a key match nothing; they are spread as widely as the hottest key could be.
+    salts = F.when(F.col(key).isNull(), F.lit(HOT_SHARE)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), salts.cast("bigint")).cast("int")
     return joined.withColumn("_salt", salt).drop("_hot", "_salts")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
@@ -78,7 +79,16 @@ class Neighbours:
         return self.nodes.select("node", "item_id", "group_key").join(coords, "node").select("item_id", "group_key", "x", "y")
 
 
-_SHARED: ContextVar[dict | None] = ContextVar("shared_neighbours", default=None)
+@dataclass
+class _Shared:
+    """Neighbour joins made so far, and a lock per join so that of several threads one makes it."""
+
+    made: dict
+    locks: dict
+    lock: threading.Lock
+
+
+_SHARED: ContextVar[_Shared | None] = ContextVar("shared_neighbours", default=None)
 
 
 @contextmanager
@@ -87,26 +97,34 @@ def share_neighbours():
 
     A join asked for again with no more neighbours than before reads the stored one.
     """
-    token = _SHARED.set({})
+    token = _SHARED.set(_Shared({}, {}, threading.Lock()))
     try:
         yield
     finally:
         _SHARED.reset(token)
 
 
-def neighbours(df: DataFrame, k: int, backend: str = "exact", metric: str = "euclidean", include_self: bool = False) -> Neighbours:
-    shared, key = _SHARED.get(), (id(df), backend, metric, include_self)
-    if shared is not None and key in shared and shared[key][1] >= k:
-        _, _, nb = shared[key]
-        return Neighbours(nb.nodes, nb.n, nb.knn.filter(F.col("rank") <= k))
+def neighbours(df: DataFrame, k: int, backend: str = "exact", metric: str = "euclidean", include_self: bool = False, **options) -> Neighbours:
+    """The numbered rows and their k nearest; ``options`` go to the backend's join."""
+    shared = _SHARED.get()
+    if shared is None:
+        return _neighbours(df, k, backend, metric, include_self, options)
+    key = (id(df), backend, metric, include_self, tuple(sorted(options.items())))
+    with shared.lock:
+        mine = shared.locks.setdefault(key, threading.Lock())
+    with mine:
+        if key not in shared.made or shared.made[key][1] < k:
+            # The table itself is kept with the entry, so its id stays taken.
+            shared.made[key] = (df, k, _neighbours(df, k, backend, metric, include_self, options))
+        nb = shared.made[key][2]
+    return Neighbours(nb.nodes, nb.n, nb.knn.filter(F.col("rank") <= k))
+
+
+def _neighbours(df: DataFrame, k: int, backend: str, metric: str, include_self: bool, options: dict) -> Neighbours:
     nodes = number_nodes(df.select("item_id", "group_key", "embedding"))
     n = nodes.count()
     most = min(k, max(n - 1, 1))
-    nb = Neighbours(nodes, n, cut(knn(nodes, most, backend, key="node", metric=metric, include_self=include_self)))
-    if shared is not None:
-        # The table itself is kept with the entry, so its id stays taken.
-        shared[key] = (df, k, nb)
-    return nb
+    return Neighbours(nodes, n, cut(knn(nodes, most, backend, key="node", metric=metric, include_self=include_self, **options)))
 
 
 # --- connected components

@@ -42,9 +42,15 @@ def viz_by_id(viz: DataFrame, viz_id: int) -> DataFrame:
     return viz.filter(F.col("viz_id") == viz_id)
 
 
-def viz_points_by_id(viz_points: DataFrame, points: DataFrame, viz_id: int) -> DataFrame:
-    """Canvas points of one visualisation with the item id the viewer needs."""
+def viz_points_by_id(viz_points: DataFrame, points: DataFrame, viz_id: int, viz: DataFrame | None = None) -> DataFrame:
+    """Canvas points of one visualisation with the item id the viewer needs.
+
+    ``viz`` says which run the visualisation shows, so that only the points of that run are read.
+    """
     chosen = viz_points.filter(F.col("viz_id") == viz_id)
+    shown = viz_by_id(viz, viz_id).first() if viz is not None else None
+    if shown:
+        points = points.filter((F.col("method") == shown["method"]) & (F.col("config_id") == shown["config_id"]))
     return chosen.join(points.select("point_id", "item_id", "group_key"), "point_id", "left")
 
 
@@ -108,15 +114,18 @@ def hit_test(boxes: DataFrame, clicks: DataFrame, k: float = 1.0, tx: float = 0.
         .withColumn("cx", _cells(F.col("x0"), F.col("x1")))
         .withColumn("cy", _cells(F.col("y0"), F.col("y1")))
     )
+    cell = F.struct("cx", "cy")
     places = at.select("pos").distinct().select(
         "pos", F.floor(F.col("pos.x") / CELL).alias("cx"), F.floor(F.col("pos.y") / CELL).alias("cy")
-    )
+    ).withColumn("cell", cell).drop("cx", "cy")
     inside = (
         (F.col("pos.x") >= F.col("x0")) & (F.col("pos.x") <= F.col("x1"))
         & (F.col("pos.y") >= F.col("y0")) & (F.col("pos.y") <= F.col("y1"))
     )
-    hits = places.join(wide, ["cx", "cy"]).filter(inside).groupBy("pos").agg(F.min("point_id").alias("point_id"))
     rows = clicks_n if clicks_n is not None else clicks.count()
+    # A cell may be clicked in very many places: those rows are spread, the boxes of the cell follow.
+    met = salted_join(places, wide.withColumn("cell", cell).drop("cx", "cy"), "cell", rows, "pos")
+    hits = met.filter(inside).groupBy("pos").agg(F.min("point_id").alias("point_id"))
     return salted_join(at, hits, "pos", rows, "click_id", how="left").select("click_id", "point_id")
 
 

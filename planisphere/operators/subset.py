@@ -9,6 +9,8 @@ from planisphere.functions.seeded import hash_order
 from planisphere.session import cut, parallelism
 
 STRATEGIES = ("artist_first5", "random")
+#: Rows that a heap per partition may hold, and how the hash is divided beyond that.
+HEAP_ROWS, CODE_BITS, BUCKET_BITS = 10_000, 60, 12
 
 
 def first_n_per_group(df: DataFrame, group: str, order: str, n: int = 5) -> DataFrame:
@@ -22,8 +24,38 @@ def first_n_per_group(df: DataFrame, group: str, order: str, n: int = 5) -> Data
 
 
 def random_subset(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
-    """``size`` rows in seeded hash order; the plan keeps a bounded heap per partition."""
-    return df.orderBy(hash_order(seed, F.col(key)), F.col(key)).limit(size)
+    """``size`` rows in seeded hash order, equal hashes by key.
+
+    Small sizes come from bounded heaps per partition. Larger ones come from a filter: counts of the
+    leading bits of the hash tell in which bucket the last row lies, and that bucket is divided
+    further until it is small. The rows keep their partitions, and nothing is sorted but the last bucket.
+    """
+    if size <= HEAP_ROWS:
+        return df.orderBy(hash_order(seed, F.col(key)), F.col(key)).limit(size)
+    coded = df.withColumn("_code", F.conv(F.substring(hash_order(seed, F.col(key)), 1, CODE_BITS // 4), 16, 10).cast("bigint"))
+    low, bits, left = 0, CODE_BITS, size  # the rows from ``low`` in a bucket of so many bits hold the last one
+    inside = coded
+    while bits:
+        bits -= BUCKET_BITS
+        counts = inside.groupBy(F.shiftright("_code", bits).alias("b")).count().orderBy("b").collect()
+        if bits == CODE_BITS - BUCKET_BITS and sum(r["count"] for r in counts) <= size:
+            return df
+        for r in counts:
+            if r["count"] > left:
+                break
+            left -= r["count"]
+        low = r["b"] << bits
+        inside = coded.filter((F.col("_code") >= low) & (F.col("_code") < low + (1 << bits)))
+        if left == 0 or r["count"] <= HEAP_ROWS:
+            break
+    below = coded.filter(F.col("_code") < low).drop("_code")
+    if left == 0:
+        return below
+    if r["count"] <= HEAP_ROWS:
+        return below.unionByName(inside.drop("_code").orderBy(hash_order(seed, F.col(key)), F.col(key)).limit(left))
+    # Many copies of one key: numbered by a distributed sort.
+    copies = assign_ids(inside.withColumn("_hash", hash_order(seed, F.col(key))), ["_hash", key], "_no")
+    return below.unionByName(copies.filter(F.col("_no") < left).drop("_code", "_hash", "_no"))
 
 
 def head_sample(df: DataFrame, key: str, size: int = 100) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from planisphere.functions import canvas as C
 from planisphere.functions.seeded import u01
 from planisphere.operators import lookups, quality, subset
-from planisphere.plans.base import CTE, ORDER_POINTS, order_points, points, query, r6, runs, table, vectors, viz, viz_points
+from planisphere.plans.base import CTE, ORDER_POINTS, folder, order_points, points, query, r6, runs, table, vectors, viz, viz_points
 from planisphere.sources import catalog
 from planisphere.sources.embeddings import decode_blob, encode_blob, ingest_ignore, scan_embeddings
 
@@ -57,20 +57,44 @@ SELECT 1000 + row_number() OVER (ORDER BY vec_id) AS point_id, CAST(vec_id AS VA
        round(CAST(embedding[2] AS DOUBLE), 6) + 0.0 AS y, 'pca' AS method, CAST(7 AS BIGINT) AS config_id FROM embeddings""")
 def q_save_points(spark, sf):
     coords = vectors(spark, sf).select("item_id", "group_key", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
-    out = catalog.new_points(coords, "pca", 7, top=1000)
-    return out.withColumns({"x": r6("x"), "y": r6("y")})
+    kept = catalog.Catalog(spark, folder(spark, "catalog"))
+    kept.save_points(coords, "pca", 7, above=1000)
+    return kept.read("points").withColumns({"x": r6("x"), "y": r6("y")})
 
 
 @query("save_viz", f"WITH {ORDER_POINTS} SELECT CAST(11 AS BIGINT) AS viz_id, point_id, viz_x, viz_y FROM canvas")
 def q_save_viz(spark, sf):
-    placed = C.canvas_normalise(order_points(spark, sf))
-    return placed.select(F.lit(11).cast("bigint").alias("viz_id"), "point_id", "viz_x", "viz_y")
+    kept, viz_id = _pictured(spark, sf)
+    return kept.read("viz_points").filter(F.col("viz_id") == viz_id).select("viz_id", "point_id", "viz_x", "viz_y")
+
+
+def _pictured(spark, sf):
+    """A catalogue that already lists visualisations, and one more of all orders; its id."""
+    kept = catalog.Catalog(spark, folder(spark, "catalog"))
+    kept.write_version("viz", _stored_viz(spark, sf))
+    return kept, kept.save_viz("pca", 1, "pca_1.avif", C.canvas_normalise(order_points(spark, sf)), "orders")
+
+
+def _stored_viz(spark, sf):
+    return viz(spark, sf).select("viz_id", "method", "config_id", "low_res", F.lit("").alias("caption"), F.lit(1.0).alias("scale"), F.to_timestamp("created_at").alias("created_at"))
+
+
+@query("viz_point_ids", """WITH p AS (SELECT o_orderkey AS point_id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 65536 AS chunk FROM orders)
+SELECT CAST(11 AS BIGINT) AS viz_id, CAST(chunk AS INTEGER) AS chunk, list(point_id ORDER BY point_id) AS point_ids, 'orders' AS caption FROM p GROUP BY chunk""")
+def q_viz_ids(spark, sf):
+    """The ordered ids that a stored visualisation keeps, in arrays of bounded length, beside its caption."""
+    kept, viz_id = _pictured(spark, sf)
+    listed = kept.read("viz_ids").filter(F.col("viz_id") == viz_id)
+    return listed.join(F.broadcast(kept.read("viz").filter(F.col("viz_id") == viz_id).select("viz_id", "caption")), "viz_id").select("viz_id", "chunk", "point_ids", "caption")
 
 
 @query("update_viz_image", f"""WITH {CTE} SELECT viz_id, method, config_id,
   CASE WHEN viz_id = 4 THEN 'new.avif' ELSE low_res END AS low_res, created_at FROM viz""")
 def q_update_image(spark, sf):
-    return catalog.with_image(viz(spark, sf), 4, "new.avif")
+    kept = catalog.Catalog(spark, folder(spark, "catalog"))
+    kept.write_version("viz", _stored_viz(spark, sf))
+    kept.update_viz_image(4, "new.avif")
+    return kept.read("viz").select("viz_id", "method", "config_id", "low_res", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"))
 
 
 # --- lookups
@@ -107,7 +131,7 @@ def q_viz(spark, sf):
 @query("viz_points_by_id", f"""WITH {CTE} SELECT v.point_id, v.viz_id, viz_x, viz_y, item_id, group_key
   FROM viz_points v LEFT JOIN points p ON v.point_id = p.point_id WHERE viz_id = 3""")
 def q_viz_points(spark, sf):
-    return lookups.viz_points_by_id(viz_points(spark, sf), points(spark, sf), 3)
+    return lookups.viz_points_by_id(viz_points(spark, sf), points(spark, sf), 3, viz(spark, sf))
 
 
 @query("artists_all", "SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS nationality FROM nation")
@@ -404,7 +428,10 @@ def q_replace(spark, sf):
     fresh = p.filter((F.col("config_id") == 5) & (F.col("x") > 0)).select(
         (F.col("point_id") + 100000).alias("point_id"), F.concat(F.lit("item_"), F.col("point_id").cast("string")).alias("item_id"),
         "group_key", F.col("y").alias("x"), F.col("x").alias("y"), "method", "config_id")
-    return catalog.replace_points(p, fresh, "umap", 5)
+    kept = catalog.Catalog(spark, folder(spark, "catalog"))
+    kept.write_partitions("points", p)
+    kept.replace_points(fresh, "umap", 5)
+    return kept.read("points")
 
 
 @query("identity_collisions", f"""WITH {CTE}, c AS (SELECT method, 'cfg_' || label AS name, label % 2 AS g FROM runs)

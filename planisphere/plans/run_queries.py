@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from planisphere.functions.canvas import canvas_normalise
@@ -12,10 +10,9 @@ from planisphere.methods.linear import place
 from planisphere.operators.lookups import attach_coords, points_for_run
 from planisphere.operators.subset import fetch_subset
 from planisphere.runs import run_reduction, sweep, visualise
-from planisphere.plans.base import query, r6, table, vectors
+from planisphere.plans.base import folder, query, r6, table, vectors
 from planisphere.plans.linear_queries import PCA_SQL, placed
 from planisphere.registry import RunConfig, run_method
-from planisphere.session import checkpoint_dir
 from planisphere.sources.catalog import Catalog
 from planisphere.streaming.moments_stream import MomentStream
 
@@ -26,10 +23,6 @@ def _on_subset(sql: str) -> str:
     return sql.replace("FROM embeddings", "FROM sub").replace("JOIN embeddings", "JOIN sub").replace("WITH RECURSIVE", f"WITH RECURSIVE {FIRST5},")
 
 
-def _folder(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 PLACED = f"""p AS ({_on_subset(PCA_SQL).replace(', 6)', ', 12)')}), e AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM p)"""
 CANVAS = """CAST(round_even((x - a) / (b - a) * 16383, 0) AS INTEGER) AS viz_x, CAST(round_even((y - c) / (d - c) * 16383, 0) AS INTEGER) AS viz_y"""
 
@@ -47,7 +40,7 @@ def q_first_map(spark, sf):
 @query("run_reduction", f"""SELECT CAST(row_number() OVER (ORDER BY CAST(item_id AS BIGINT)) AS BIGINT) AS point_id, CAST(item_id AS VARCHAR) AS item_id,
   CAST(group_key AS VARCHAR) AS group_key, x, y FROM ({_on_subset(PCA_SQL)})""")
 def q_run(spark, sf):
-    catalog = Catalog(spark, _folder(spark, "catalog"))
+    catalog = Catalog(spark, folder(spark, "catalog"))
     config_id = run_reduction(catalog, vectors(spark, sf), RunConfig("pca"))
     found = points_for_run(catalog.read("points"), "pca", config_id)
     return found.select("point_id", "item_id", "group_key", r6("x").alias("x"), r6("y").alias("y"))
@@ -65,7 +58,7 @@ SWEEP = [
   UNION ALL SELECT 'grp', 'five', 1, 'stored', n FROM f UNION ALL SELECT 'grp', 'again', 1, 'stored', n FROM f
   UNION ALL SELECT 'tsimcne', 'basic', NULL, 'not supported', 0""")
 def q_sweep(spark, sf):
-    catalog = Catalog(spark, _folder(spark, "catalog"))
+    catalog = Catalog(spark, folder(spark, "catalog"))
     done = sweep(catalog, vectors(spark, sf), SWEEP)
     counts = catalog.read("points").groupBy("method", "config_id").agg(F.count(F.lit(1)).alias("points"))
     return done.join(counts, ["method", "config_id"], "left").select("method", "name", "config_id", "outcome", F.coalesce("points", F.lit(0)).alias("points"))
@@ -74,7 +67,7 @@ def q_sweep(spark, sf):
 @query("visualise", f"""WITH {PLACED} SELECT CAST(row_number() OVER (ORDER BY CAST(item_id AS BIGINT)) AS BIGINT) AS point_id,
   {CANVAS}, 1::BIGINT AS viz_id FROM p, e""")
 def q_visualise(spark, sf):
-    catalog = Catalog(spark, _folder(spark, "catalog"))
+    catalog = Catalog(spark, folder(spark, "catalog"))
     viz_id = visualise(catalog, "pca", run_reduction(catalog, vectors(spark, sf), RunConfig("pca")))
     return catalog.read("viz_points").filter(F.col("viz_id") == viz_id)
 
@@ -84,6 +77,6 @@ def q_stream(spark, sf):
     """The vectors arrive as a stream of files; the merged moments place all rows."""
     source = table(spark, sf, "embeddings")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf}/embeddings.parque[t]").select(doubles(F.col("embedding")).alias("embedding"))
-    state = MomentStream(spark, _folder(spark, "moments"))
-    state.run(stream, _folder(spark, "offsets")).awaitTermination()
+    state = MomentStream(spark, folder(spark, "moments"))
+    state.run(stream, folder(spark, "offsets")).awaitTermination()
     return placed(place(vectors(spark, sf), state.model(2).apply))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -65,16 +66,29 @@ def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     return out
 
 
+_BATCHES: dict[str, object] = {"lock": threading.Lock(), "wanted": [], "before": None}
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, row_bytes: int, batch_bytes: int = 64 * 1024 * 1024):
-    """Arrow batches of about ``batch_bytes`` for jobs started inside the block."""
+    """Arrow batches of about ``batch_bytes`` for jobs started inside the block.
+
+    Blocks of several threads share the session's setting; the smallest one holds while any is open.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(max(min(int(before), batch_bytes // max(row_bytes, 1)), 16)))
+    mine = max(batch_bytes // max(row_bytes, 1), 16)
+    state = _BATCHES
+    with state["lock"]:
+        if not state["wanted"]:
+            state["before"] = spark.conf.get(name)
+        state["wanted"].append(mine)
+        spark.conf.set(name, str(min(int(state["before"]), *state["wanted"])))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        with state["lock"]:
+            state["wanted"].remove(mine)
+            spark.conf.set(name, str(min([int(state["before"]), *state["wanted"]])))
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -131,3 +131,84 @@ def test_one_artist_owns_most_points(spark):
     artists = spark.createDataFrame([("hot", "x"), ("hot", "w"), ("7", "y")], "name string, nationality string")
     got = lookups.attach_artist(points, artists)
     assert got.count() == 5000 and got.filter("nationality = 'w'").count() == 1667
+
+
+def test_one_pass_stores_many_runs(spark, rows, tmp_path):
+    """Ids, identities and outcomes of a batch are those of runs stored one after the other."""
+    @method("breaks", "rate:double=0.5")
+    def breaks(df, params):
+        raise RuntimeError("no result")
+
+    configs = [RunConfig("pca", "a"), RunConfig("svd", "b"), RunConfig("pca", "c", params={"random_state": 7}), RunConfig("pca", "d", subset_strategy="random", subset_size=9),
+               RunConfig("breaks", "e"), RunConfig("agg", "f", params={"n_clusters": 3}), RunConfig("sammon_random", "g", params={"n_dims": 3})]
+    cat = Catalog(spark, str(tmp_path))
+    try:
+        got = {r.name: (r.config_id, r.outcome) for r in sweep(cat, rows, configs).collect()}
+    finally:
+        METHODS.pop("breaks")
+    assert [got[n] for n in "abcd"] == [(1, "stored"), (1, "stored"), (1, "stored"), (2, "stored")]
+    assert got["e"] == (None, "failed: no result") and all(got[n][0] is None and "two components" in got[n][1] for n in "fg")
+    points = cat.read("points")
+    assert {(r.method, r.config_id): r["count"] for r in points.groupBy("method", "config_id").count().collect()} == {("pca", 1): 18, ("svd", 1): 18, ("pca", 2): 9}
+    ids = [r.point_id for r in points.select("point_id").collect()]
+    assert sorted(ids) == list(range(1, 46)) and cat.last_id("points", "point_id") == 45
+    assert lookups.config_by_id(cat.read("runs"), "pca", 1).first().random_state == 7
+    # Ids are never given out twice, also not those of points that were replaced.
+    assert run_reduction(cat, rows, RunConfig("svd")) == 1
+    assert cat.read("points").filter("method = 'svd'").agg(F.min("point_id")).first()[0] == 46
+
+
+def test_two_writers_take_turns(spark, rows, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def save(i):
+        return run_reduction(Catalog(spark, str(tmp_path)), rows, RunConfig("svd", subset_strategy="random", subset_size=5 + i))
+
+    with ThreadPoolExecutor(4) as threads:
+        assert sorted(threads.map(save, range(4))) == [1, 2, 3, 4]
+    cat = Catalog(spark, str(tmp_path), wait=0.2)
+    assert cat.read("runs").count() == 4 and cat.read("points").agg(F.count_distinct("point_id")).first()[0] == 5 + 6 + 7 + 8
+    with cat.writing(), pytest.raises(TimeoutError):
+        cat.update_viz_image(1, "x")
+    left = Catalog(spark, str(tmp_path), lease=-1)  # the claim of a writer that died
+    assert cat._claim(*cat._fs(f"{tmp_path}/_writer"))
+    with left.writing():
+        pass
+
+
+def test_visualisation_keeps_ids_caption_and_scale(spark, rows, tmp_path):
+    cat = Catalog(spark, str(tmp_path))
+    run_reduction(cat, rows, RunConfig("pca", subset_strategy="random", subset_size=40))
+    run_reduction(cat, rows, RunConfig("svd"))
+    assert visualise_all(cat, [("svd", 1), ("pca", 9), ("pca", 1)]) == [("svd", 1, 1), ("pca", 9, None), ("pca", 1, 2)]
+    stored = {r.viz_id: r for r in cat.read("viz").collect()}
+    assert stored[2].caption.startswith("PCA (config 1): subset_strategy=random, subset_size=40, runtime=") and stored[2].scale == 1.0
+    lists = {r.viz_id: r.point_ids for r in cat.read("viz_ids").collect()}
+    points = {m: sorted(r.point_id for r in cat.read("points").filter(F.col("method") == m).collect()) for m in ("svd", "pca")}
+    assert lists == {1: points["svd"], 2: points["pca"]}
+    for viz_id in (1, 2):
+        canvas = cat.read("viz_points").filter(F.col("viz_id") == viz_id)
+        assert canvas.agg(F.min("viz_x"), F.max("viz_x")).first() == (0, 16383)
+    plan = lookups.viz_points_by_id(cat.read("viz_points"), cat.read("points"), 2, cat.read("viz"))
+    assert plan.count() == 40
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert any("PartitionFilters" in line and "= pca)" in line for line in shown.splitlines())
+
+
+def test_large_random_subset_is_a_filter(spark, monkeypatch):
+    from planisphere.functions.seeded import hash_order
+
+    monkeypatch.setattr(subset, "HEAP_ROWS", 50)
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("k"))
+    for size in (51, 7000, 13_400, 19_999, 20_000, 10**9):
+        got = subset.random_subset(df, "k", size, 7)
+        want = df.orderBy(hash_order(7, F.col("k")), F.col("k")).limit(size)
+        assert sorted(got.collect()) == sorted(want.collect())
+        assert got.rdd.getNumPartitions() > 1
+
+
+def test_points_without_artist_are_spread(spark):
+    points = spark.range(4000).selectExpr("id AS point_id", "if(id % 2 = 0, NULL, 'a') AS group_key")
+    artists = spark.createDataFrame([("a", "x")], "name string, nationality string")
+    got = lookups.attach_artist(points, artists)
+    assert got.filter("nationality IS NULL").count() == 2000 and got.count() == 4000
