@@ -13,8 +13,8 @@ from planisphere.methods.graph import oriented, spectral_vectors
 from planisphere.operators.graph import Links, Neighbours, connect, neighbours
 from planisphere.operators.knn import symmetrise
 from planisphere.operators.layout import (
-    adam, both_ways, delta_bar_delta, gather, messages, mid_pairs, near_pairs, other_node, scaled_distances, start_pca,
-    start_random, step, with_distance, with_state,
+    adam, both_ways, delta_bar_delta, gather, mid_pairs, moved, near_pairs, other_node, scaled_distances, start_pca,
+    start_random, step, update, with_distance, with_state,
 )
 from planisphere.operators.pairs import random_pairs
 from planisphere.operators.prepare import preprocess_pca
@@ -113,29 +113,45 @@ def umap_start(nb: Neighbours, edges: DataFrame, params: dict) -> DataFrame:
                      (F.col("y") * (10.0 / top) + normal(seed, node, "jy") * 1e-4).alias("y"))
 
 
-def attract_repel(links: Links, state: DataFrame, n: int, epoch: int, rate: float, attract: str, repel: str, negatives: int, seed: int) -> DataFrame:
+def attract_repel(links: Links, state: DataFrame, n: int, epochs: int, rate: float, attract: str, repel: str, negatives: int, seed: int) -> DataFrame:
     """One epoch: sampled edges attract, ``negatives`` random nodes per node repel.
 
     An edge takes part with probability w. The repulsion of a node is scaled by its
     expected number of active edges, so the random pairs number n * negatives and
-    not edges * negatives.
+    not edges * negatives. ``t``, a column of the state, counts the epochs; the rate falls to zero with it.
     """
-    hash01 = f"(pmod(xxhash64({seed}, {epoch}, src, dst), 1000003) / 1000003D)"
-    e = links.attach(links.edges.filter(f"{hash01} < w"), "dst", state, {"x": "xj", "y": "yj"})
-    e = links.attach(e, "src", state, {"x": "xi", "y": "yi"}).selectExpr("src AS node", "xj - xi AS dx", "yj - yi AS dy")
-    pull = e.selectExpr("node", "dx", "dy", "dx * dx + dy * dy AS d2").selectExpr("node", f"{attract} AS c", "dx", "dy").selectExpr(
-        "node", "c * dx AS gx", "c * dy AS gy", "c AS gc")
-    drawn = state.selectExpr("node AS src", "x AS xi", "y AS yi", "deg", f"explode(sequence(0, {negatives - 1})) AS slot").selectExpr(
-        "*", f"pmod(src + 1 + pmod(xxhash64({seed}, {epoch}, src, slot), {max(n - 1, 1)}), {n}) AS dst")
-    other = state.selectExpr("node AS dst", "x AS xj", "y AS yj")
-    met = drawn.join(F.broadcast(other) if links.small else other, "dst").selectExpr(
-        "src AS node", "xi - xj AS dx", "yi - yj AS dy", "deg").selectExpr("*", "dx * dx + dy * dy AS d2")
-    push = met.selectExpr("node", f"deg * least({repel}, 4D / (sqrt(d2) + 1e-9D)) AS c", "dx", "dy").selectExpr(
-        "node", "c * dx AS gx", "c * dy AS gy", "0D AS gc")
-    sums = pull.unionByName(push).groupBy("node").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"), F.sum("gc").alias("gc"))
+    active = f"pmod(xxhash64({seed}, cast(t AS int), src, dst), 1000003) / 1000003D < w"
+    partner = f"pmod(src + 1 + pmod(xxhash64({seed}, cast(t AS int), src, slot), {max(n - 1, 1)}), {n})"
+    slots = f"sequence(0, {negatives - 1})" if negatives > 0 else "array()"
+    if links.small:
+        own = state.select(F.col("node").alias("src"), F.struct("node", "x", "y", "deg", "t").alias("own"))
+        e = links.by_source(state).withColumnRenamed("dst", "to").join(F.broadcast(own), "src")
+        # The edge of a node to itself stands for its random partners.
+        e = e.selectExpr("src", "to", "w", "own", "own.t AS t", f"explode(CASE WHEN src = to THEN concat(array(-1), {slots}) ELSE array(-1) END) AS slot")
+        e = e.selectExpr("*", f"CASE WHEN slot < 0 THEN to ELSE {partner} END AS dst")
+        other = state.selectExpr("node AS dst", "x AS xj", "y AS yj")
+        e = e.join(F.broadcast(other), "dst").selectExpr("*", "own.x - xj AS dx", "own.y - yj AS dy", "own.deg AS deg").selectExpr("*", "dx * dx + dy * dy AS d2")
+        pull = f"CASE WHEN slot < 0 AND src <> to AND {active} THEN {attract} ELSE 0D END"
+        e = e.selectExpr("src", "own", "dx", "dy", f"{pull} AS pull", f"CASE WHEN slot < 0 THEN 0D ELSE deg * least({repel}, 4D / (sqrt(d2) + 1e-9D)) END AS push")
+        sums = e.groupBy("src").agg(F.first("own").alias("own"), F.expr("sum((push - pull) * dx) AS gx"), F.expr("sum((push - pull) * dy) AS gy"), F.sum("pull").alias("gc"))
+        joined = sums.selectExpr("own.*", "gx", "gy", "gc")
+    else:
+        at = state.selectExpr("node", "x", "y", "deg", "t")
+        e = links.attach(links.edges, "dst", at, {"x": "xj", "y": "yj"})
+        e = links.attach(e, "src", at, {"x": "xi", "y": "yi", "t": "t"}).filter(active).selectExpr("src AS node", "xj - xi AS dx", "yj - yi AS dy")
+        pull = e.selectExpr("node", "dx", "dy", "dx * dx + dy * dy AS d2").selectExpr("node", f"{attract} AS c", "dx", "dy").selectExpr(
+            "node", "c * dx AS gx", "c * dy AS gy", "c AS gc")
+        drawn = at.selectExpr("node AS src", "x AS xi", "y AS yi", "deg", "t", f"explode({slots}) AS slot").selectExpr("*", f"{partner} AS dst")
+        met = drawn.join(at.selectExpr("node AS dst", "x AS xj", "y AS yj"), "dst").selectExpr(
+            "src AS node", "xi - xj AS dx", "yi - yj AS dy", "deg").selectExpr("*", "dx * dx + dy * dy AS d2")
+        push = met.selectExpr("node", f"deg * least({repel}, 4D / (sqrt(d2) + 1e-9D)) AS c", "dx", "dy").selectExpr(
+            "node", "c * dx AS gx", "c * dy AS gy", "0D AS gc")
+        sums = pull.unionByName(push).groupBy("node").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"), F.sum("gc").alias("gc"))
+        joined = at.join(sums, "node", "left").selectExpr("node", "x", "y", "deg", "t", *[f"coalesce({c}, 0D) AS {c}" for c in ("gx", "gy", "gc")])
     # All edges act at once, so the step is the semi-implicit one: many pulls end at their mean and never beyond.
-    moved = {c: f"{c} + greatest(least({rate!r}D * coalesce(g{c}, 0D) / (1D + {rate!r}D * coalesce(gc, 0D)), 4D), -4D)" for c in "xy"}
-    return cut(state.join(sums, "node", "left").selectExpr("node", *[f"{v} AS {c}" for c, v in moved.items()], "deg"), replaces=state)
+    now = f"({float(rate)!r}D * (1D - t / {float(epochs)!r}D))"
+    places = {c: f"{c} + greatest(least({now} * g{c} / (1D + {now} * gc), 4D), -4D)" for c in "xy"}
+    return cut(joined.selectExpr("node", *[f"{v} AS {c}" for c, v in places.items()], "deg", "t + 1D AS t"), replaces=state)
 
 
 def fit_umap(df: DataFrame, params: dict) -> tuple[Neighbours, DataFrame]:
@@ -148,12 +164,11 @@ def fit_umap(df: DataFrame, params: dict) -> tuple[Neighbours, DataFrame]:
     scaled = edges.select("src", "dst", (F.col("w") / top).alias("w"))
     links = Links(scaled, nb.n, 32)
     deg = links.edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
-    state = cut(start.join(deg, "node", "left").select("node", "x", "y", F.coalesce("deg", F.lit(0.0)).alias("deg")))
+    state = cut(start.join(deg, "node", "left").select("node", "x", "y", F.coalesce("deg", F.lit(0.0)).alias("deg"), F.lit(0.0).alias("t")))
     attract = f"CASE WHEN d2 > 0 THEN 2D * {a!r}D * {b!r}D * pow(d2, {b - 1!r}D) / (1D + {a!r}D * pow(d2, {b!r}D)) ELSE 0D END"
     repel = f"2D * {b!r}D / ((0.001D + d2) * (1D + {a!r}D * pow(d2, {b!r}D)))"
-    for e in range(epochs):
-        rate = params["learning_rate"] * (1.0 - e / epochs)
-        state = attract_repel(links, state, nb.n, e, rate, attract, repel, params["negatives"], params["random_state"])
+    for _ in range(epochs):
+        state = attract_repel(links, state, nb.n, epochs, params["learning_rate"], attract, repel, params["negatives"], params["random_state"])
     links.close()
     return nb, state
 
@@ -189,21 +204,20 @@ def pacmap_pairs(nb: Neighbours, k: int, mn_ratio: float, fp_ratio: float, seed:
     return whole
 
 
-def phase(t: int, total: int) -> tuple[float, float, float]:
-    """Weights of near, mid-near and further pairs at step t; the phases are 100 : 100 : 250 of 450 steps."""
-    first, second = total * 100 / 450, total * 200 / 450
-    if t < first:
-        return 2.0, 1000.0 * (1 - t / first) + 3.0 * (t / first), 1.0
-    if t < second:
-        return 3.0, 3.0, 1.0
-    return 1.0, 0.0, 1.0
+def phase(total: int) -> tuple[str, str, str]:
+    """Weights of near, mid-near and further pairs as SQL over the step t; the phases are 100 : 100 : 250 of 450 steps."""
+    first, second = f"{total * 100 / 450!r}D", f"{total * 200 / 450!r}D"
+    near = f"(CASE WHEN t < {first} THEN 2D WHEN t < {second} THEN 3D ELSE 1D END)"
+    mid = f"(CASE WHEN t < {first} THEN 1000D * (1D - t / {first}) + 3D * (t / {first}) WHEN t < {second} THEN 3D ELSE 0D END)"
+    return near, mid, "1D"
 
 
-def pacmap_pull(near: float, mid: float, far: float) -> str:
+def pacmap_pull(near: float | str, mid: float | str, far: float | str) -> str:
     """Derivative of the pair loss by the position of the source, over d2 + 1."""
+    near, mid, far = (w if isinstance(w, str) else f"{float(w)!r}D" for w in (near, mid, far))
     d = "(d2 + 1D)"
-    return (f"CASE kind WHEN 'near' THEN {near!r}D * 20D / pow(10D + {d}, 2) WHEN 'mid' THEN {mid!r}D * 20000D / pow(10000D + {d}, 2) "
-            f"ELSE -{far!r}D * 2D / pow(1D + {d}, 2) END")
+    return (f"CASE kind WHEN 'near' THEN {near} * 20D / pow(10D + {d}, 2) WHEN 'mid' THEN {mid} * 20000D / pow(10000D + {d}, 2) "
+            f"ELSE -{far} * 2D / pow(1D + {d}, 2) END")
 
 
 def pacmap_loss(links: Links, state: DataFrame, weights=(1.0, 1.0, 1.0)) -> float:
@@ -222,10 +236,9 @@ def fit_pacmap(df: DataFrame, params: dict) -> tuple[Neighbours, Links, DataFram
     pairs = both_ways(pacmap_pairs(nb, min(k, nb.n - 1), params["MN_ratio"], params["FP_ratio"], params["random_state"]), "kind")
     links = Links(pairs, nb.n, 32)
     start = cut(start_random(nb, 1e-4, params["random_state"]) if params["init"] == "random" else start_pca(nb))
-    state = with_state(start, mx=0, my=0, vx=0, vy=0)
-    for t in range(params["num_iters"]):
-        pull = messages(links, state, pacmap_pull(*phase(t, params["num_iters"])))
-        state = step(state, gather(pull), ["node"], adam(params["lr"], t + 1))
+    state = with_state(start, mx=0, my=0, vx=0, vy=0, t=0)
+    for _ in range(params["num_iters"]):
+        state = update(moved(links, state, pacmap_pull(*phase(params["num_iters"]))), adam(params["lr"]), state)
     return nb, links, start, state
 
 
@@ -283,7 +296,7 @@ def trimap_state(links: Links, state: DataFrame) -> DataFrame:
         "*", "1 + ax * ax + ay * ay AS dj", "1 + bx * bx + by * by AS dk")
 
 
-def trimap_step(links: Links, state: DataFrame, rate: float, momentum: float) -> DataFrame:
+def trimap_step(links: Links, state: DataFrame, rate: float, momentum: str) -> DataFrame:
     """Gradient of w dj / (dj + dk) with dj, dk = 1 + squared distances, sent to all three nodes."""
     e = trimap_state(links, state).selectExpr("*", "2D * w / pow(dj + dk, 2) AS c").selectExpr(
         "i", "j", "k", "c * dk * ax AS px", "c * dk * ay AS py", "c * dj * bx AS qx", "c * dj * by AS qy")
@@ -308,14 +321,14 @@ def fit_trimap(df: DataFrame, params: dict) -> tuple[Neighbours, Links, DataFram
     links = Links(t, nb.n, 32, ends=("i", "j", "k"))
     rate = params["lr"] * nb.n / max(t.count(), 1)
     start = cut(start_pca(nb))
-    state = with_state(start, vx=0, vy=0, kx=1, ky=1)
-    for it in range(params["n_iters"]):
-        momentum = 0.5 if it < 250 else 0.8
+    state = with_state(start, vx=0, vy=0, kx=1, ky=1, t=0)
+    momentum = "(CASE WHEN t < 250D THEN 0.5D ELSE 0.8D END)"
+    for _ in range(params["n_iters"]):
         if params["opt_method"] == "dbd":
             state = trimap_step(links, state, rate, momentum)
         else:
-            plain = 0.0 if params["opt_method"] == "sd" else momentum
-            state = trimap_step(links, state.selectExpr("node", "x", "y", "vx", "vy", "1D AS kx", "1D AS ky"), rate, plain)
+            plain = "0D" if params["opt_method"] == "sd" else momentum
+            state = trimap_step(links, state.selectExpr("node", "x", "y", "vx", "vy", "1D AS kx", "1D AS ky", "t"), rate, plain)
     return nb, links, start, state
 
 
@@ -373,10 +386,9 @@ def fit_spacemap(df: DataFrame, params: dict) -> tuple[Neighbours, DataFrame]:
     top = edges.agg(F.max("w")).first()[0] or 1.0
     links = Links(edges.select("src", "dst", (F.col("w") / top).alias("w")), nb.n, 32)
     deg = links.edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
-    state = cut(start.join(deg, "node", "left").select("node", "x", "y", F.coalesce("deg", F.lit(0.0)).alias("deg")))
-    for e in range(params["n_epochs"]):
-        rate = 1.0 - e / params["n_epochs"]
-        state = attract_repel(links, state, nb.n, e, rate, "2D / (1D + d2)", "2D / ((0.001D + d2) * (1D + d2))", 5, seed)
+    state = cut(start.join(deg, "node", "left").select("node", "x", "y", F.coalesce("deg", F.lit(0.0)).alias("deg"), F.lit(0.0).alias("t")))
+    for _ in range(params["n_epochs"]):
+        state = attract_repel(links, state, nb.n, params["n_epochs"], 1.0, "2D / (1D + d2)", "2D / ((0.001D + d2) * (1D + d2))", 5, seed)
     links.close()
     return nb, state
 

@@ -11,11 +11,12 @@ from planisphere.functions.seeded import u01_value
 from planisphere.functions.vectors import as_xy, map_matrix, to_lists, to_matrix
 from planisphere.methods.layout import EXTRA, pacmap_loss, pacmap_pairs, pacmap_pull, phase, reduced
 from planisphere.operators.graph import Links, Neighbours, neighbours
-from planisphere.operators.layout import both_ways, gather, messages
+from planisphere.operators.layout import both_ways, moved
 from planisphere.operators.moments import moments, standardise, sum_arrays
 from planisphere.operators.prepare import preprocess_pca
 from planisphere.operators.subset import label_encode
 from planisphere.registry import method
+from planisphere.session import cut
 
 # --- network map
 
@@ -60,9 +61,8 @@ def fit_repulsor(df: DataFrame, params: dict) -> tuple[Neighbours, list[np.ndarr
     m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
     history = []
     for t in range(params["n_epochs"]):
-        weights = phase(t, params["n_epochs"])
-        y = positions(nb.nodes, w)
-        pull = gather(messages(links, y, pacmap_pull(*weights)))
+        y = cut(positions(nb.nodes, w).withColumn("t", F.lit(float(t))))
+        pull = moved(links, y, pacmap_pull(*phase(params["n_epochs"]))).select("node", "gx", "gy")
 
         def part(batch, w=w):
             g = np.column_stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()])

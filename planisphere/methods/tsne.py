@@ -1,4 +1,4 @@
-"""t-SNE with grid repulsion, and its particle-swarm form."""
+"""t-SNE with repulsion from a grid or a quadtree, and its particle-swarm form."""
 
 from __future__ import annotations
 
@@ -13,8 +13,9 @@ from planisphere.functions.seeded import normal
 from planisphere.operators.graph import Links, Neighbours, neighbours
 from planisphere.operators.knn import symmetrise
 from planisphere.operators.layout import (
-    delta_bar_delta, gather, messages, read_repulsion, repulsion_grid, start_pca, start_random, step,
+    delta_bar_delta, gather, messages, moved, read_repulsion, repulsion_grid, start_pca, start_random, take_repulsion, update,
 )
+from planisphere.operators.quadtree import tree_repulsion
 from planisphere.registry import method
 from planisphere.session import cut
 
@@ -81,37 +82,61 @@ def totals(links: Links, state: DataFrame, sum_q: np.ndarray) -> dict[int, float
     return {r["c"]: r["k"] + r["s"] * math.log(max(sum_q[r["c"]], 1e-300)) for r in rows}
 
 
-def divergence(links: Links, state: DataFrame, n: int, particles: int = 1) -> dict[int, float]:
-    _, total = repulsion_grid(state, particles)
+def divergence(links: Links, state: DataFrame, n: int, particles: int = 1, repulsion: str = "fft", theta: float = 0.5) -> dict[int, float]:
+    if repulsion == "bh":
+        total = np.array([tree_repulsion(state, theta).agg(F.sum("q")).first()[0] or 0.0])
+    else:
+        _, total = repulsion_grid(state, particles)
     return totals(links, state, total - n)
 
 
-def gradient(links: Links, state: DataFrame, n: int, exaggeration: float, particles: int = 1) -> tuple[DataFrame, np.ndarray]:
+def pushed(pulled: DataFrame, state: DataFrame, n: int, repulsion: str = "fft", theta: float = 0.5) -> tuple[DataFrame, float]:
+    """``pulled`` with the repulsion of all points taken off gx and gy, and the pair sum of q.
+
+    ``fft`` reads it from a grid, in the same pass that sums the pulls; ``bh`` from a quadtree opened by ``theta``.
+    """
+    if repulsion == "bh":
+        push = cut(tree_repulsion(state, theta))
+        z = max((push.agg(F.sum("q")).first()[0] or 0.0) - n, 1e-12)
+        share = F.lit(4.0 / z)
+        joined = pulled.join(push.drop("q"), "node", "left")
+        whole = joined.withColumns({f"g{c}": F.col(f"g{c}") - share * F.col(f"r{c}") for c in "xy"})
+        return whole.select(*pulled.columns), z
+    grid, total = repulsion_grid(state)
+    z = max(float(total[0]) - n, 1e-12)
+    return take_repulsion(pulled, grid, 4.0 / z), z
+
+
+def gradient(links: Links, state: DataFrame, n: int, exaggeration: float, particles: int = 1, repulsion: str = "fft", theta: float = 0.5) -> tuple[DataFrame, np.ndarray]:
     """Keys, gx, gy for every row of the state, and the pair sum of q per particle."""
-    also = ["particle"] if "particle" in state.columns else []
-    keys = ["node", *also]
+    pull = f"4D * {float(exaggeration)!r}D * p / (1D + d2)"
+    if "particle" not in state.columns:
+        whole, z = pushed(moved(links, state, pull), state, n, repulsion, theta)
+        return whole.select("node", "gx", "gy"), np.array([z])
+    keys = ["node", "particle"]
     grid, total = repulsion_grid(state, particles)
     z = np.maximum(total - n, 1e-12)
-    pull = gather(messages(links, state, f"4D * {float(exaggeration)!r}D * p / (1D + d2)", also))
-    share = "element_at(array(" + ", ".join(f"{4.0 / float(v)!r}D" for v in z) + "), " + ("particle + 1" if also else "1") + ")"
+    pulls = gather(messages(links, state, pull, ["particle"]))
+    share = "element_at(array(" + ", ".join(f"{4.0 / float(v)!r}D" for v in z) + "), particle + 1)"
     push = read_repulsion(state, grid).selectExpr(*keys, f"-rx * {share} AS rx", f"-ry * {share} AS ry")
-    both = push.join(pull, keys, "left").selectExpr(*keys, "rx + coalesce(gx, 0D) AS gx", "ry + coalesce(gy, 0D) AS gy")
-    return both, z
+    return push.join(pulls, keys, "left").selectExpr(*keys, "rx + coalesce(gx, 0D) AS gx", "ry + coalesce(gy, 0D) AS gy"), z
 
 
 def fit_tsne(df: DataFrame, params: dict) -> tuple[Neighbours, Links, DataFrame, DataFrame]:
-    if params["negative_gradient_method"] not in ("fft", "bh"):
-        raise ValueError(f"unknown negative_gradient_method {params['negative_gradient_method']!r}")
+    repulsion, theta = params["negative_gradient_method"], params["theta"]
+    if repulsion not in ("fft", "bh"):
+        raise ValueError(f"unknown negative_gradient_method {repulsion!r}")
     nb, links = prepare(df, params)
     start = start_random(nb, 1e-4, params["random_state"]) if params["initialization"] == "random" else start_pca(nb, 1e-4)
     start = cut(start)
-    state = cut(start.selectExpr("node", "x", "y", "0D AS vx", "0D AS vy", "1D AS kx", "1D AS ky"))
-    early = params["early_exaggeration_iter"]
+    state = cut(start.selectExpr("node", "x", "y", "0D AS vx", "0D AS vy", "1D AS kx", "1D AS ky", "0D AS t"))
     # The extra rounds of early exaggeration come before n_iter plain ones.
-    for t in range(early + params["n_iter"]):
-        calm = t >= early
-        pulls, _ = gradient(links, state, nb.n, 1.0 if calm else params["early_exaggeration"])
-        state = step(state, pulls, ["node"], delta_bar_delta(params["learning_rate"], 0.8 if calm else 0.5))
+    early = f"t < {float(params['early_exaggeration_iter'])!r}D"
+    pull = f"4D * (CASE WHEN {early} THEN {float(params['early_exaggeration'])!r}D ELSE 1D END) * p / (1D + d2)"
+    change = delta_bar_delta(params["learning_rate"], f"(CASE WHEN {early} THEN 0.5D ELSE 0.8D END)")
+    for _ in range(params["early_exaggeration_iter"] + params["n_iter"]):
+        whole, _ = pushed(moved(links, state, pull), state, nb.n, repulsion, theta)
+        state = update(whole, change, state)
     return nb, links, start, state
 
 

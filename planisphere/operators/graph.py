@@ -21,6 +21,9 @@ from planisphere.operators.pairs import number_nodes
 from planisphere.session import BROADCAST_BYTES, arrow_rows, cut
 
 
+EDGES_PER_TASK = 65536
+
+
 class Links:
     """An edge table prepared for repeated look-ups of node values at both ends.
 
@@ -31,7 +34,7 @@ class Links:
 
     def __init__(self, edges: DataFrame, n: int, row_bytes: int = 32, limit: int | None = None, ends: tuple[str, ...] = ("src", "dst")):
         limit = BROADCAST_BYTES if limit is None else limit
-        self.n, self.limit, self.hot, self.ends = n, limit, {}, ends
+        self.n, self.limit, self.hot, self.ends, self._by_source = n, limit, {}, ends, None
         self.small = n * row_bytes <= limit
         if not self.small:
             base = edges.persist()
@@ -62,8 +65,27 @@ class Links:
         v = repeat_for_salt(v, end, self.hot[end]).withColumnRenamed("_salt", f"_salt_{end}")
         return df.join(v, [end, f"_salt_{end}", *shared])
 
+    def by_source(self, state: DataFrame) -> DataFrame:
+        """The edges stored by their first end, and an edge of every node to itself with null columns.
+
+        A step that looks both ends up in a broadcast table then sums per node without moving an edge;
+        the edge to itself brings nodes along that have no other.
+        """
+        if self._by_source is None:
+            src, dst = self.ends[:2]
+            rest = [c for c in self.edges.columns if c not in (src, dst)]
+            own = state.select(F.col("node").alias(src), F.col("node").alias(dst)).distinct()
+            kinds = dict(self.edges.dtypes)
+            whole = self.edges.unionByName(own.select(src, dst, *[F.lit(None).cast(kinds[c]).alias(c) for c in rest]))
+            parts = max(-(-self.edges.count() // EDGES_PER_TASK), 1)
+            self._by_source = whole.repartition(parts, src).sortWithinPartitions(src).persist()
+            self._by_source.count()  # the stored partitioning is known to later plans only once the table is filled
+        return self._by_source
+
     def close(self) -> None:
         self.edges.unpersist()
+        if self._by_source is not None:
+            self._by_source.unpersist()
 
 
 @dataclass

@@ -80,13 +80,13 @@ def start_random(nb: Neighbours, scale: float, seed) -> DataFrame:
 # --- forces
 
 
-def messages(links: Links, state: DataFrame, coef: str, also: list[str] = (), where: str = "true") -> DataFrame:
+def messages(links: Links, state: DataFrame, coef: str, also: list[str] = (), own: list[str] = ()) -> DataFrame:
     """Per edge the pull coef * (y_src - y_dst) on its source: node, gx, gy.
 
-    ``coef`` is SQL over the edge columns and d2, the squared distance of the ends.
+    ``coef`` is SQL over the edge columns, the ``own`` columns of the source and d2, the squared distance of the ends.
     """
-    e = links.attach(links.edges.filter(where), "dst", state, {"x": "xj", "y": "yj"}, list(also))
-    e = links.attach(e, "src", state, {"x": "xi", "y": "yi"}, list(also))
+    e = links.attach(links.edges, "dst", state, {"x": "xj", "y": "yj"}, list(also))
+    e = links.attach(e, "src", state, {"x": "xi", "y": "yi", **{c: c for c in own}}, list(also))
     e = e.selectExpr("*", "xi - xj AS dx", "yi - yj AS dy").selectExpr("*", "dx * dx + dy * dy AS d2")
     return e.selectExpr("src AS node", *also, f"({coef}) AS c", "dx", "dy").selectExpr("node", *also, "c * dx AS gx", "c * dy AS gy")
 
@@ -100,33 +100,58 @@ def gather(*parts: DataFrame) -> DataFrame:
     return whole.groupBy(*keys).agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
 
 
-def step(state: DataFrame, pulls: DataFrame, keys: list[str], new: dict[str, str]) -> DataFrame:
+def moved(links: Links, state: DataFrame, coef: str) -> DataFrame:
+    """The state with gx, gy: the sum of ``coef`` * (y_src - y_dst) over the edges of every node.
+
+    ``coef`` is SQL over the edge columns, d2 and the columns of the source's state. Where node tables are
+    broadcast, the edges stay where they are and one narrow pass does it all; a state with a ``t`` column
+    keeps the SQL of all steps the same, so it is compiled once. Else the edges meet their ends by shuffle.
+    """
+    columns = state.columns
+    if not links.small:
+        pulls = gather(messages(links, state, coef, own=[c for c in columns if c not in ("node", "x", "y")]))
+        return state.join(pulls, "node", "left").selectExpr(*columns, "coalesce(gx, 0D) AS gx", "coalesce(gy, 0D) AS gy")
+    own = state.select(F.col("node").alias("src"), F.struct(*columns).alias("own"))
+    other = state.selectExpr("node AS dst", "x AS xj", "y AS yj")
+    e = links.by_source(state).join(F.broadcast(own), "src").join(F.broadcast(other), "dst")
+    e = e.selectExpr("*", *[f"own.{c} AS {c}" for c in columns if c not in ("node", "x", "y")], "own.x - xj AS dx", "own.y - yj AS dy").selectExpr("*", "dx * dx + dy * dy AS d2")
+    e = e.selectExpr("src", "own", f"CASE WHEN src = dst THEN 0D ELSE {coef} END AS c", "dx", "dy")
+    return e.groupBy("src").agg(F.first("own").alias("own"), F.expr("sum(c * dx) AS gx"), F.expr("sum(c * dy) AS gy")).selectExpr("own.*", "gx", "gy")
+
+
+def update(pulled: DataFrame, new: dict[str, str], replaces: DataFrame | None = None) -> DataFrame:
     """The next state: SQL of the changed columns over the state and its gradient gx, gy."""
+    columns = [c for c in pulled.columns if c not in ("gx", "gy")]
+    return cut(pulled.selectExpr(*[f"{new[c]} AS {c}" if c in new else c for c in columns]), replaces=replaces)
+
+
+def step(state: DataFrame, pulls: DataFrame, keys: list[str], new: dict[str, str]) -> DataFrame:
+    """:func:`update` for pulls that come as a table of their own."""
     joined = state.join(pulls, keys, "left").selectExpr(
         *state.columns, "coalesce(gx, 0D) AS gx", "coalesce(gy, 0D) AS gy")
-    return cut(joined.selectExpr(*[f"{new[c]} AS {c}" if c in new else c for c in state.columns]), replaces=state)
+    return update(joined, new, state)
 
 
 def with_state(start: DataFrame, **columns: float) -> DataFrame:
     return cut(start.select("*", *[F.lit(float(v)).alias(c) for c, v in columns.items()]))
 
 
-def adam(rate: float, t: int) -> dict[str, str]:
-    """One update of x and y with running moments mx, my, vx, vy."""
-    out = {}
+def adam(rate: float) -> dict[str, str]:
+    """One update of x and y with running moments mx, my, vx, vy; ``t`` counts the steps from 0."""
+    out = {"t": "t + 1D"}
     for c in "xy":
         m, v = f"(0.9D * m{c} + 0.1D * g{c})", f"(0.999D * v{c} + 0.001D * g{c} * g{c})"
         out[f"m{c}"], out[f"v{c}"] = m, v
-        out[c] = f"{c} - {rate!r}D * ({m} / {1 - 0.9 ** t!r}D) / (sqrt({v} / {1 - 0.999 ** t!r}D) + 1e-7D)"
+        out[c] = f"{c} - {rate!r}D * ({m} / (1D - pow(0.9D, t + 1D))) / (sqrt({v} / (1D - pow(0.999D, t + 1D))) + 1e-7D)"
     return out
 
 
-def delta_bar_delta(rate: float, momentum: float) -> dict[str, str]:
-    """Gains grow by 0.2 where gradient and velocity disagree and shrink by 0.8 elsewhere."""
-    out = {}
+def delta_bar_delta(rate: float, momentum: str) -> dict[str, str]:
+    """Gains grow by 0.2 where gradient and velocity disagree and shrink by 0.8 elsewhere; ``momentum``: SQL over t."""
+    out = {"t": "t + 1D"}
     for c in "xy":
         gain = f"greatest(CASE WHEN sign(g{c}) <> sign(v{c}) THEN k{c} + 0.2D ELSE k{c} * 0.8D END, 0.01D)"
-        velocity = f"({momentum!r}D * v{c} - {rate!r}D * {gain} * g{c})"
+        velocity = f"({momentum} * v{c} - {rate!r}D * {gain} * g{c})"
         out[f"k{c}"], out[f"v{c}"], out[c] = gain, velocity, f"{c} + {velocity}"
     return out
 
@@ -157,7 +182,7 @@ class Grid:
         return out
 
 
-def repulsion_grid(state: DataFrame, particles: int = 1, cell: float = 0.5, least: int = 48, most: int = 128) -> tuple[Grid, np.ndarray]:
+def repulsion_grid(state: DataFrame, particles: int = 1, cell: float = 0.5, least: int = 48, most: int = 1024) -> tuple[Grid, np.ndarray]:
     """The grid and, per particle, the sum of q over all ordered pairs (self pairs included).
 
     Points meet on at most particles * most^2 cells, whose sums reach the driver;
@@ -207,3 +232,18 @@ def read_repulsion(state: DataFrame, grid: Grid) -> DataFrame:
 
     kinds = "node bigint, " + ("particle int, " if len(keys) > 1 else "")
     return state.select("x", "y", *keys).mapInArrow(run, kinds + "rx double, ry double")
+
+
+def take_repulsion(pulled: DataFrame, grid: Grid, share: float) -> DataFrame:
+    """``pulled`` with ``share`` times the repulsion read from the grid taken off gx and gy; rows stay where they are."""
+    names = pulled.columns
+
+    def run(batches):
+        for batch in batches:
+            columns = dict(zip(names, batch.columns))
+            x, y, gx, gy = (columns[c].to_numpy(zero_copy_only=False) for c in ("x", "y", "gx", "gy"))
+            f = grid.read(x, y, np.zeros(len(x), int))
+            columns["gx"], columns["gy"] = pa.array(gx - share * (x * f[:, 1] - f[:, 2])), pa.array(gy - share * (y * f[:, 1] - f[:, 3]))
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return pulled.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in pulled.dtypes))

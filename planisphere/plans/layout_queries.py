@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from planisphere.methods import layout as Y
@@ -9,11 +10,15 @@ from planisphere.methods import parametric as P
 from planisphere.methods import tsne as T
 from planisphere.operators.graph import neighbours
 from planisphere.operators.layout import near_pairs
+from planisphere.operators.moments import sum_arrays
+from planisphere.operators.quadtree import tree_repulsion
+from planisphere.operators.subset import head_sample
 from planisphere.plans.base import query, r6, vectors
 from planisphere.plans.graph_queries import NODES
 from planisphere.plans.linear_queries import COUNT, finite, cert
 from planisphere.plans.neighbour_queries import knn_cte
 from planisphere.registry import run_method, typed_params
+from planisphere.session import cut
 
 STEPS = 10
 
@@ -106,6 +111,35 @@ def q_tsne(spark, sf):
     return cert(state, n=F.count(F.lit(1)), finite=finite(), falling=F.lit(falling))
 
 
+@query("tree_repulsion", "SELECT vec_id AS item_id, true AS force, true AS total FROM embeddings ORDER BY vec_id LIMIT 64")
+def q_tree(spark, sf):
+    """Repulsion from the quadtree at an extent of hundreds: within one per cent of the sum over all points, at the first rows."""
+    rows = vectors(spark, sf)
+    state = cut(rows.selectExpr("item_id AS node", "embedding[0] * 600 AS x", "embedding[1] * 600 AS y"))
+    probes = head_sample(state, "node", 64).collect()
+    px, py = (np.array([r[c] for r in probes]) for c in "xy")
+
+    def part(batch):
+        dx, dy = (p[:, None] - batch.column(i).to_numpy()[None] for i, p in enumerate((px, py)))
+        q = 1.0 / (1.0 + dx * dx + dy * dy)
+        return [(q * q * dx).sum(axis=1), (q * q * dy).sum(axis=1), q.sum(axis=1)]
+
+    fx, fy, q = sum_arrays(state.select("x", "y"), part)
+    top = float(np.hypot(fx, fy).max())
+    exact = spark.createDataFrame([(r["node"], float(a), float(b), float(c)) for r, a, b, c in zip(probes, fx, fy, q)], "node bigint, fx double, fy double, total double")
+    met = tree_repulsion(state).join(F.broadcast(exact), "node")
+    return met.select(F.col("node").alias("item_id"), (F.hypot(F.col("rx") - F.col("fx"), F.col("ry") - F.col("fy")) < 0.01 * top).alias("force"),
+                      (F.abs(F.col("q") / F.col("total") - 1) < 0.01).alias("total"))
+
+
+@query("tsne_bh", f"{COUNT}, true AS falling FROM embeddings")
+def q_tsne_bh(spark, sf):
+    params = typed_params("tsne", {"n_iter": 10, "early_exaggeration_iter": 0, "learning_rate": 50.0, "negative_gradient_method": "bh"})
+    nb, links, start, state = T.fit_tsne(vectors(spark, sf), params)
+    falling = T.divergence(links, state, nb.n, repulsion="bh")[0] < T.divergence(links, start, nb.n, repulsion="bh")[0]
+    return cert(state, n=F.count(F.lit(1)), finite=finite(), falling=F.lit(falling))
+
+
 @query("tsne_pso", f"{COUNT}, true AS falling FROM embeddings")
 def q_swarm(spark, sf):
     _, coords, history = T.fit_swarm(vectors(spark, sf), typed_params("tsne_pso", {"n_iter": 4, "n_particles": 4, "learning_rate": 50.0}))

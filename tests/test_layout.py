@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from planisphere.methods import layout as Y
 from planisphere.methods import parametric as P
 from planisphere.methods import tsne as T
+from planisphere.operators import quadtree
 from planisphere.operators.graph import Links, neighbours
-from planisphere.operators.layout import adam, gather, messages, near_pairs, repulsion_grid, step
+from planisphere.operators.layout import adam, gather, messages, moved, near_pairs, repulsion_grid, step, update
 from planisphere.registry import run_method, typed_params
 
 RNG = np.random.default_rng(11)
@@ -43,7 +44,8 @@ def test_pacmap_gradient(spark, limit):
         return total
 
     links = Links(both, 12, limit=limit)
-    got = in_order(gather(messages(links, state_of(spark, y), Y.pacmap_pull(2.0, 5.0, 1.0))), "gx", "gy", key="node")
+    got = in_order(moved(links, state_of(spark, y), Y.pacmap_pull(2.0, 5.0, 1.0)), "gx", "gy", key="node")
+    np.testing.assert_allclose(got, in_order(gather(messages(links, state_of(spark, y), Y.pacmap_pull(2.0, 5.0, 1.0))), "gx", "gy", key="node"))
     np.testing.assert_allclose(got, numeric(loss, y), atol=1e-6)
     assert np.isclose(Y.pacmap_loss(links, state_of(spark, y), (2.0, 5.0, 1.0)), loss(y))
 
@@ -61,9 +63,9 @@ def test_trimap_gradient(spark):
 
     for limit in (None, 0):
         links = Links(spark.createDataFrame(rows, "i bigint, j bigint, k bigint, w double"), 9, limit=limit, ends=("i", "j", "k"))
-        before = state_of(spark, y, vx=0, vy=0, kx=1, ky=1)
+        before = state_of(spark, y, vx=0, vy=0, kx=1, ky=1, t=0)
         assert np.isclose(Y.trimap_loss(links, before), loss(y))
-        after = in_order(Y.trimap_step(links, before, 1.0, 0.5), "x", "y", key="node")
+        after = in_order(Y.trimap_step(links, before, 1.0, "0.5D"), "x", "y", key="node")
         # The first step has gain 1.2 where the gradient is not zero.
         np.testing.assert_allclose((y - after) / 1.2, numeric(loss, y), atol=1e-6)
 
@@ -86,6 +88,49 @@ def test_tsne_gradient_against_all_pairs(spark):
     assert abs(T.divergence(links, state_of(spark, y), n)[0] - kl) < 0.03
 
 
+def points_of(kind):
+    rng = np.random.default_rng(1)
+    if kind == "uniform":
+        return rng.uniform(-250, 250, (1200, 2))
+    if kind == "clusters":
+        return rng.normal(size=(20, 2))[rng.integers(0, 20, 1500)] * 120 + rng.normal(size=(1500, 2)) * 2
+    if kind == "copies":
+        return np.repeat(rng.normal(size=(3, 2)) * 30, 1700, axis=0)
+    return rng.normal(size=(400, 2)) * {"tight": 1e-4, "round": 20.0, "single": 0.0}[kind]
+
+
+@pytest.mark.parametrize("kind,limit", [("uniform", None), ("clusters", None), ("copies", None), ("tight", None), ("single", None), ("round", None), ("round", 0), ("copies", 0)])
+def test_tree_repulsion_against_all_pairs(spark, kind, limit):
+    """Within one per cent of the largest force, whether cells are broadcast or shuffled; crowded cells are split."""
+    y = points_of(kind)
+    d = y[:, None] - y[None]
+    q = 1 / (1 + (d**2).sum(2))
+    want = ((q * q)[:, :, None] * d).sum(1)
+    rows = quadtree.tree_repulsion(state_of(spark, y).repartition(3), limit=limit)
+    got = in_order(rows, "rx", "ry", "q", key="node")
+    assert got.shape == (len(y), 3)
+    assert np.linalg.norm(got[:, :2] - want, axis=1).max() <= 0.01 * np.linalg.norm(want, axis=1).max() + 1e-9
+    np.testing.assert_allclose(got[:, 2], q.sum(1), rtol=0.01)
+
+
+def test_smaller_theta_is_closer(spark):
+    y = points_of("clusters")
+    d = y[:, None] - y[None]
+    q = 1 / (1 + (d**2).sum(2))
+    want = ((q * q)[:, :, None] * d).sum(1)
+    miss = [np.abs(in_order(quadtree.tree_repulsion(state_of(spark, y), theta=t), "rx", "ry", key="node") - want).max() for t in (1.0, 0.5, 0.25)]
+    assert miss[0] > miss[1] > miss[2]
+    assert quadtree.tree_repulsion(state_of(spark, y).limit(0)).count() == 0
+
+
+def test_tsne_by_tree_and_grid(table, blobs):
+    given = {"perplexity": 8, "n_iter": 6, "early_exaggeration_iter": 4, "learning_rate": 20.0}
+    maps = [in_order(run_method(table(*blobs), "tsne", negative_gradient_method=m, **given), "x", "y") for m in ("bh", "fft")]
+    np.testing.assert_allclose(*maps, atol=0.05 * np.abs(maps[0]).max())
+    with pytest.raises(ValueError, match="negative_gradient_method"):
+        run_method(table(*blobs), "tsne", negative_gradient_method="tree")
+
+
 def test_one_cell_may_hold_all_points(spark):
     grid, total = repulsion_grid(state_of(spark, np.zeros((50, 2))))
     assert np.isclose(total[0], 2500)
@@ -110,9 +155,51 @@ def test_curve_and_smoothing():
 
 
 def test_adam_first_step_is_the_rate(spark):
-    moved = step(state_of(spark, np.zeros((2, 2)), mx=0, my=0, vx=0, vy=0),
-                 spark.createDataFrame([(0, 5.0, -3.0)], "node bigint, gx double, gy double"), ["node"], adam(0.5, 1))
-    np.testing.assert_allclose(in_order(moved, "x", "y", key="node"), [[-0.5, 0.5], [0, 0]], atol=1e-6)
+    after = step(state_of(spark, np.zeros((2, 2)), mx=0, my=0, vx=0, vy=0, t=0),
+                 spark.createDataFrame([(0, 5.0, -3.0)], "node bigint, gx double, gy double"), ["node"], adam(0.5))
+    np.testing.assert_allclose(in_order(after, "x", "y", key="node"), [[-0.5, 0.5], [0, 0]], atol=1e-6)
+
+
+def test_step_moves_no_edge(spark):
+    """Where nodes are broadcast, a whole step has no shuffle, nodes without edges are kept, and both forms agree."""
+    edges = spark.createDataFrame([(i, (i * 7 + 1) % 30, "near") for i in range(29)], "src bigint, dst bigint, kind string")
+    y = RNG.normal(size=(31, 2))
+    state = state_of(spark, y, mx=0, my=0, vx=0, vy=0, t=3)
+    after = []
+    for limit in (None, 0):
+        links = Links(edges, 31, limit=limit)
+        pulled = moved(links, state, Y.pacmap_pull(*Y.phase(10)))
+        if limit is None:
+            links.by_source(state)
+            plan = pulled._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+            assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        after.append(in_order(update(pulled, adam(0.1)), "x", "y", "mx", "t", key="node"))
+        assert after[-1].shape == (31, 4) and (after[-1][:, 3] == 4).all()
+        links.close()
+    np.testing.assert_allclose(*after)
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_epoch_attracts_and_repels(spark, limit):
+    """Every active edge and every random partner counts once, whichever way the tables meet."""
+    n, seed = 12, 5
+    edges = spark.createDataFrame([(i, j, 1.0) for i in range(n) for j in range(n) if (i + j) % 3 == 1 and i != j], "src bigint, dst bigint, w double")
+    y = RNG.normal(size=(n, 2))
+    state = state_of(spark, y, deg=2, t=1)
+    links = Links(edges, n, limit=limit)
+    got = in_order(Y.attract_repel(links, state, n, 4, 1.0, "2D / (1D + d2)", "1D / (1D + d2)", 3, seed), "x", "y", "t", key="node")
+    draws = state.selectExpr("node AS src", "explode(sequence(0, 2)) AS slot").selectExpr("src", f"pmod(src + 1 + pmod(xxhash64({seed}, 1, src, slot), {n - 1}), {n}) AS dst").collect()
+    pull, push, c = np.zeros((n, 2)), np.zeros((n, 2)), np.zeros(n)
+    for r in edges.collect():
+        gap = y[r.src] - y[r.dst]
+        c[r.src] += 2 / (1 + gap @ gap)
+        pull[r.src] -= 2 / (1 + gap @ gap) * gap
+    for r in draws:
+        gap = y[r.src] - y[r.dst]
+        push[r.src] += 2 * min(1 / (1 + gap @ gap), 4 / (np.sqrt(gap @ gap) + 1e-9)) * gap
+    rate = 0.75
+    np.testing.assert_allclose(got[:, :2], y + np.clip(rate * (pull + push) / (1 + rate * c[:, None]), -4, 4), atol=1e-9)
+    assert (got[:, 2] == 2).all()
 
 
 def test_near_pairs_follow_scaled_distance(table):
