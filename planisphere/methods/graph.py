@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,9 +16,9 @@ from planisphere.methods.stress import classical_mds, smacof
 from planisphere.operators.graph import (
     Eigen, Links, Neighbours, barycentre_weights, connect, eigenvectors, geodesics, neighbours, product,
 )
-from planisphere.operators.knn import symmetrise
+from planisphere.operators.knn import knn_exact, symmetrise
 from planisphere.operators.subset import landmarks_random
-from planisphere.registry import method
+from planisphere.registry import method, neighbour_options
 from planisphere.session import cut
 
 
@@ -44,7 +45,7 @@ def undirected(nb: Neighbours) -> DataFrame:
 @method("isomap")
 def isomap(df: DataFrame, params: dict) -> DataFrame:
     """Landmark form: paths from L sources, classical scaling of L x L, then each row by itself."""
-    nb = neighbours(df, params["n_neighbors"], params["backend"])
+    nb = neighbours(df, params["n_neighbors"], params["backend"], **neighbour_options(params))
     edges = undirected(nb)
     if params["on_disconnected"] == "join":
         edges = connect(nb, edges)
@@ -90,7 +91,7 @@ def fit_spectral(nb: Neighbours, params: dict) -> tuple[Eigen, DataFrame]:
 @method("spectral")
 def spectral(df: DataFrame, params: dict) -> DataFrame:
     # The affinity counts the row itself among its neighbours.
-    nb = neighbours(df, params["n_neighbors"] - 1, params["backend"])
+    nb = neighbours(df, params["n_neighbors"] - 1, params["backend"], **neighbour_options(params))
     found, degrees = fit_spectral(nb, params)
     warn_open(found, params["tol"], "spectral")
     xy = oriented(found.vectors, params["n_components"])
@@ -123,7 +124,7 @@ def bottom_vectors(nb: Neighbours, weights: DataFrame, k: int, max_iter: int, to
 
 @method("lle")
 def lle(df: DataFrame, params: dict) -> DataFrame:
-    nb = neighbours(df, params["n_neighbors"], params["backend"])
+    nb = neighbours(df, params["n_neighbors"], params["backend"], **neighbour_options(params))
     weights = barycentre_weights(nb, params["reg"])
     found = bottom_vectors(nb, weights, params["n_components"], params["max_iter"], params["tol"], params["random_state"])
     warn_open(found, params["tol"], "lle")
@@ -173,7 +174,7 @@ def glle(df: DataFrame, params: dict) -> DataFrame:
         raise ValueError("glle places rows in two dimensions only")
     if params["method"] not in ("GLLE", "GLLE_DirectSampling"):
         raise ValueError(f"unknown glle method {params['method']!r}")
-    nb = neighbours(df, params["k_neighbors"], params["backend"])
+    nb = neighbours(df, params["k_neighbors"], params["backend"], **neighbour_options(params))
     solve = generative_solver(params["method"], params["reg"], params["max_iterations"], params["random_state"])
     weights = barycentre_weights(nb, params["reg"], solve)
     found = warn_open(bottom_vectors(nb, weights, 2, params["max_iter"], params["tol"], params["random_state"]), params["tol"], "glle")
@@ -255,25 +256,32 @@ def potential(op: np.ndarray, t: int, gamma: float) -> np.ndarray:
     return 2.0 / (1.0 - gamma) * power ** ((1.0 - gamma) / 2.0)
 
 
-def kernel_neighbours(df: DataFrame, knn: int, decay: float, backend: str = "exact", floor: float = 1e-4) -> Neighbours:
+def kernel_neighbours(df: DataFrame, knn: int, decay: float, backend: str = "exact", floor: float = 1e-4, **options) -> Neighbours:
     """All neighbours that the kernel lifts above half its floor from either end.
 
-    The list doubles until every row's last entry lies outside its own reach; a pair is
-    in the list of at least one end wherever its weight reaches the floor.
+    A row asks again, for twice as many, until its last entry lies outside its own reach; rows that are
+    done keep their list. A pair is in the list of at least one end wherever its weight reaches the floor.
     """
     reach = math.log(1 / floor) ** (1.0 / decay)
     k = 4 * knn
-    while True:
-        nb = neighbours(df, k, backend)
-        ends = nb.knn.groupBy("src").agg(F.max(F.when(F.col("rank") <= knn, F.col("dist"))).alias("eps"), F.max("dist").alias("last"))
-        if k >= nb.n - 1 or ends.filter(F.col("last") <= F.col("eps") * reach).isEmpty():
-            return nb
+    nb = neighbours(df, k, backend, **options)
+    found = nb.knn
+    eps = cut(found.filter(F.col("rank") <= knn).groupBy("src").agg(F.max("dist").alias("eps")))
+    while k < nb.n - 1:
+        last = found.groupBy("src").agg(F.max("dist").alias("last"), F.count(F.lit(1)).alias("n"))
+        open_ = cut(last.filter(F.col("n") >= k).join(eps, "src").filter(F.col("last") <= F.col("eps") * reach).select(F.col("src").alias("node")))
+        if open_.isEmpty():
+            break
         k = min(2 * k, nb.n - 1)
+        wider = knn_exact(nb.nodes, k, key="node", n=nb.n, only=open_)
+        done = found.join(open_.select(F.col("node").alias("src")), "src", "left_anti").select("src", "rank", "dst", "dist")
+        found = cut(done.unionByName(wider), replaces=found)
+    return replace(nb, knn=found)
 
 
 @method("phate")
 def phate(df: DataFrame, params: dict) -> DataFrame:
-    nb = kernel_neighbours(df, params["knn"], params["decay"], params["backend"])
+    nb = kernel_neighbours(df, params["knn"], params["decay"], params["backend"], **neighbour_options(params))
     kernel = decay_kernel(nb, params["knn"], params["decay"])
     p_nl, op = phate_operator(nb, kernel, params["landmarks"], params["random_state"])
     t = entropy_knee(op) if str(params["t"]) == "auto" else int(float(params["t"]))

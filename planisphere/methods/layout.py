@@ -18,7 +18,7 @@ from planisphere.operators.layout import (
 )
 from planisphere.operators.pairs import random_pairs
 from planisphere.operators.prepare import preprocess_pca
-from planisphere.registry import method
+from planisphere.registry import method, neighbour_options
 from planisphere.session import cut
 
 # --- UMAP
@@ -155,7 +155,7 @@ def attract_repel(links: Links, state: DataFrame, n: int, epochs: int, rate: flo
 
 
 def fit_umap(df: DataFrame, params: dict) -> tuple[Neighbours, DataFrame]:
-    nb = neighbours(df, params["n_neighbors"] - 1, params["backend"], params["metric"])
+    nb = neighbours(df, params["n_neighbors"] - 1, params["backend"], params["metric"], **neighbour_options(params))
     edges = cut(fuzzy_graph(nb, params["local_connectivity"], params["set_op_mix_ratio"], params["n_neighbors"]).filter(F.col("w") > 0))
     start = umap_start(nb, edges, params)
     a, b = curve(params["min_dist"], params["spread"])
@@ -196,7 +196,7 @@ def pacmap_pairs(nb: Neighbours, k: int, mn_ratio: float, fp_ratio: float, seed:
     if mids > 0:
         parts.append(mid_pairs(nb, mids, f"{seed}:mid").select("src", "dst", F.lit("mid").alias("kind")))
     if far > 0:
-        drawn = random_pairs(nb.nodes.select("node"), nb.n, far, f"{seed}:far", avoid=near)
+        drawn = random_pairs(nb.nodes.select("node"), nb.n, far, f"{seed}:far", avoid=near, short="all")
         parts.append(drawn.select("src", "dst", F.lit("far").alias("kind")))
     whole = parts[0]
     for p in parts[1:]:
@@ -232,7 +232,7 @@ def fit_pacmap(df: DataFrame, params: dict) -> tuple[Neighbours, Links, DataFram
     """Neighbours, pair links, the start and the final state."""
     k = params["n_neighbors"]
     base = preprocess_pca(df, params["preprocess_pca"]) if params["preprocess_pca"] else reduced(df, params, 100)
-    nb = neighbours(base, k + EXTRA, params["backend"])
+    nb = neighbours(base, k + EXTRA, params["backend"], **neighbour_options(params))
     pairs = both_ways(pacmap_pairs(nb, min(k, nb.n - 1), params["MN_ratio"], params["FP_ratio"], params["random_state"]), "kind")
     links = Links(pairs, nb.n, 32)
     start = cut(start_random(nb, 1e-4, params["random_state"]) if params["init"] == "random" else start_pca(nb))
@@ -272,7 +272,7 @@ def triplets(nb: Neighbours, inliers: int, outliers: int, randoms: int, temp: fl
         return d.join(a, "src").join(b, end).withColumn(out, F.col("_d") * F.col("_d") / (F.col("_si") * F.col("_sj"))).drop("_d", "_si", "_sj")
 
     if inliers * outliers > 0:
-        drawn = random_pairs(nb.nodes.select("node"), nb.n, inliers * outliers, f"{seed}:out", avoid=nb.knn)
+        drawn = random_pairs(nb.nodes.select("node"), nb.n, inliers * outliers, f"{seed}:out", avoid=nb.knn, short="all")
         far = drawn.select("src", F.col("dst").alias("k"), (F.floor(F.col("slot") / outliers) + 1).cast("int").alias("rank"))
         met = far.join(near.select("src", "rank", F.col("dst").alias("j"), F.col("scaled").alias("sj")), ["src", "rank"])
         parts.append(scaled(met.select("src", "j", "k", "sj"), "k", "sk").select("src", "j", "k", "sj", "sk"))
@@ -316,7 +316,7 @@ def fit_trimap(df: DataFrame, params: dict) -> tuple[Neighbours, Links, DataFram
     if params["opt_method"] not in ("dbd", "sd", "momentum"):
         raise ValueError(f"unknown opt_method {params['opt_method']!r}")
     base = reduced(df, params, 100)
-    nb = neighbours(base, params["n_inliers"] + EXTRA, params["backend"], params["distance"])
+    nb = neighbours(base, params["n_inliers"] + EXTRA, params["backend"], params["distance"], **neighbour_options(params))
     t = cut(triplets(nb, min(params["n_inliers"], nb.n - 1), params["n_outliers"], params["n_random"], params["weight_temp"], params["random_state"]))
     links = Links(t, nb.n, 32, ends=("i", "j", "k"))
     rate = params["lr"] * nb.n / max(t.count(), 1)
@@ -374,7 +374,7 @@ def spacemap_fields(nb: Neighbours, near: int, middle: int, d_local: float, d_gl
 
 def fit_spacemap(df: DataFrame, params: dict) -> tuple[Neighbours, DataFrame]:
     near, middle, seed = params["n_near_field"], params["n_middle_field"], params["random_state"]
-    nb = neighbours(df, near + middle, params["backend"], params["metric"])
+    nb = neighbours(df, near + middle, params["backend"], params["metric"], **neighbour_options(params))
     fields = spacemap_fields(nb, near, middle, params["d_local"], params["d_global"])
     # Near edges count fully, middle ones by (1 - eta).
     share = F.when(F.col("field") == "near", F.lit(float(params["eta"]))).otherwise(F.lit(1.0 - float(params["eta"])))

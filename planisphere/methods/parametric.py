@@ -15,7 +15,7 @@ from planisphere.operators.layout import both_ways, moved
 from planisphere.operators.moments import moments, standardise, sum_arrays
 from planisphere.operators.prepare import preprocess_pca
 from planisphere.operators.subset import label_encode
-from planisphere.registry import method
+from planisphere.registry import method, neighbour_options
 from planisphere.session import cut
 
 # --- network map
@@ -53,7 +53,7 @@ def fit_repulsor(df: DataFrame, params: dict) -> tuple[Neighbours, list[np.ndarr
     weights, pair forces by a join, and the summed weight gradient.
     """
     base = standardise(reduced(df, params, 100))
-    nb = neighbours(base, params["n_neighbors"] + EXTRA, params["backend"])
+    nb = neighbours(base, params["n_neighbors"] + EXTRA, params["backend"], **neighbour_options(params))
     pairs = pacmap_pairs(nb, min(params["n_neighbors"], nb.n - 1), params["MN_ratio"], params["FP_ratio"], params["random_state"])
     links = Links(both_ways(pairs, "kind"), nb.n, 32)
     d = len(nb.nodes.select("embedding").first()[0])

@@ -16,7 +16,7 @@ from planisphere.operators.layout import (
     delta_bar_delta, gather, messages, moved, read_repulsion, repulsion_grid, start_pca, start_random, take_repulsion, update,
 )
 from planisphere.operators.quadtree import tree_repulsion
-from planisphere.registry import method
+from planisphere.registry import method, neighbour_options
 from planisphere.session import cut
 
 
@@ -67,7 +67,7 @@ def affinities(nb: Neighbours, perplexity: float) -> DataFrame:
 
 def prepare(df: DataFrame, params: dict) -> tuple[Neighbours, Links]:
     listed = int(3 * params["perplexity"])
-    nb = neighbours(df, listed, params["backend"], params["metric"])
+    nb = neighbours(df, listed, params["backend"], params["metric"], **neighbour_options(params))
     return nb, Links(affinities(nb, params["perplexity"]), nb.n, 40)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 from contextlib import contextmanager
 from contextvars import ContextVar
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from planisphere.functions.seeded import normal
 from planisphere.functions.skew import add_salt, hot_keys, repeat_for_salt, salted_join
 from planisphere.functions.vectors import to_matrix
-from planisphere.operators.knn import knn
+from planisphere.operators.knn import knn, knn_exact
 from planisphere.operators.moments import sum_arrays
 from planisphere.operators.pairs import number_nodes
 from planisphere.session import BROADCAST_BYTES, arrow_rows, cut
@@ -95,6 +95,7 @@ class Neighbours:
     nodes: DataFrame
     n: int
     knn: DataFrame
+    metric: str = "euclidean"
 
     def back(self, coords: DataFrame) -> DataFrame:
         """item_id, group_key, x, y from node, x, y."""
@@ -139,14 +140,14 @@ def neighbours(df: DataFrame, k: int, backend: str = "exact", metric: str = "euc
             # The table itself is kept with the entry, so its id stays taken.
             shared.made[key] = (df, k, _neighbours(df, k, backend, metric, include_self, options))
         nb = shared.made[key][2]
-    return Neighbours(nb.nodes, nb.n, nb.knn.filter(F.col("rank") <= k))
+    return replace(nb, knn=nb.knn.filter(F.col("rank") <= k))
 
 
 def _neighbours(df: DataFrame, k: int, backend: str, metric: str, include_self: bool, options: dict) -> Neighbours:
     nodes = number_nodes(df.select("item_id", "group_key", "embedding"))
     n = nodes.count()
     most = min(k, max(n - 1, 1))
-    return Neighbours(nodes, n, cut(knn(nodes, most, backend, key="node", metric=metric, include_self=include_self, **options)))
+    return Neighbours(nodes, n, cut(knn(nodes, most, backend, key="node", metric=metric, include_self=include_self, **options)), metric)
 
 
 # --- connected components
@@ -174,10 +175,11 @@ def components(links: Links, nodes: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def connect(nb: Neighbours, edges: DataFrame, weight: str = "w", close: Column | None = None) -> DataFrame:
-    """Edges (both directions) plus the shortest link of every component to another one, until all is one.
+    """Edges (both directions) plus the shortest link of every component but the largest to another one, until all is one.
 
-    Every round at least halves the number of components. ``close`` turns ``dist``
-    into the weight of an added edge; the distance itself is the default.
+    Every round at least halves the number of components, and only rows outside the largest one ask for
+    neighbours, by the metric of the graph. ``close`` turns ``dist`` into the weight of an added edge; the
+    distance itself is the default.
     """
     while True:
         links = Links(edges, nb.n)
@@ -185,8 +187,9 @@ def connect(nb: Neighbours, edges: DataFrame, weight: str = "w", close: Column |
         links.close()
         if comp.agg(F.max("comp")).first()[0] in (None, 0):
             return edges
+        largest = comp.groupBy("comp").count().agg(F.max_by("comp", F.struct("count", -F.col("comp")))).first()[0]
         tagged = nb.nodes.select("node", "embedding").join(comp, "node")
-        outward = knn(tagged, 1, key="node", tag="comp").join(comp, F.col("src") == F.col("node"))
+        outward = knn_exact(tagged, 1, key="node", tag="comp", metric=nb.metric, n=nb.n, only=comp.filter(F.col("comp") != largest)).join(comp, F.col("src") == F.col("node"))
         best = outward.groupBy("comp").agg(F.min_by(F.struct("src", "dst", "dist"), F.struct("dist", "src", "dst")).alias("b"))
         added = best.select("b.src", "b.dst", F.col("b.dist").alias("dist")).withColumn(weight, F.col("dist") if close is None else close)
         both = added.select("src", "dst", weight).unionByName(added.select(F.col("dst").alias("src"), F.col("src").alias("dst"), weight)).distinct()

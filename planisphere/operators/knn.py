@@ -1,6 +1,6 @@
-"""Nearest-neighbour joins: exact, by cells, and by a forest of random splits.
+"""Nearest-neighbour joins: exact, by cells, by a forest of random splits, and by descent from neighbours to their neighbours.
 
-All three bring bounded groups of vectors together and keep k rows per query and
+All bring bounded groups of vectors together and keep k rows per query and
 group; pairs are never materialised as rows.
 """
 
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planisphere.functions.seeded import normal_matrix
+from planisphere.functions.skew import salted_join
 from planisphere.functions.vectors import map_matrix, to_matrix
 from planisphere.operators.moments import moments
 from planisphere.operators.subset import assign_ids
-from planisphere.session import parallelism
+from planisphere.session import cut, parallelism
 
 BLOCK_BYTES = 32 * 1024 * 1024
 TILE = 1024
@@ -143,13 +144,13 @@ def _grid(df: DataFrame, n: int, dim: int) -> int:
 
 def knn_exact(df: DataFrame, k: int, key: str = "item_id", vec: str = "embedding", metric: str = "euclidean",
               p: float = 2.0, include_self: bool = False, blocks: int | None = None, n: int | None = None,
-              tag: str | None = None) -> DataFrame:
+              tag: str | None = None, only: DataFrame | None = None) -> DataFrame:
     """The k nearest rows of every row: src, rank, dst, dist.
 
     Rows fall into hash blocks of bounded size and every pair of blocks is one
     group, met by an equi-key; each group returns k rows per query. Comparing all
     pairs is what exactness costs; use the other two joins where that is too much.
-    Rows that share ``tag`` are never neighbours.
+    Rows that share ``tag`` are never neighbours. ``only``: a table of keys; only these rows ask.
     """
     extra = [F.col(tag).alias("tag")] if tag else []
     n = df.count() if n is None else n
@@ -158,25 +159,48 @@ def knn_exact(df: DataFrame, k: int, key: str = "item_id", vec: str = "embedding
         blocks = _grid(df, n, first[0] if first else 1)
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    if blocks == 1:
+    if blocks == 1 and only is None:
         grouped = df.select(F.lit(0).alias("i"), F.col(key).alias("id"), F.col(vec).alias("vec"), *extra).groupBy("i")
         return _rank(grouped.applyInArrow(_kernel(k, metric, p, include_self, False), _schema(df, key)), k)
     places = F.concat(
         F.transform(every, lambda j: F.struct(F.col("_b").alias("i"), j.alias("j"), F.lit(True).alias("query"))),
         F.transform(every, lambda i: F.struct(i.alias("i"), F.col("_b").alias("j"), F.lit(False).alias("query"))),
     )
-    copies = df.select(F.col(key).alias("id"), F.col(vec).alias("vec"), *extra, block.alias("_b")).withColumn("at", F.explode(places))
+    rows = df.select(F.col(key).alias("id"), F.col(vec).alias("vec"), *extra, block.alias("_b"))
+    if only is not None:
+        asks = only.select(F.col(key).alias("id"), F.lit(True).alias("_asks"))
+        rows = rows.join(asks, "id", "left")
+        places = F.filter(places, lambda a: ~a["query"] | F.col("_asks").isNotNull())
+    copies = rows.withColumn("at", F.explode(places))
     grouped = copies.select("at.i", "at.j", "at.query", "id", "vec", *(["tag"] if tag else [])).groupBy("i", "j")
     return _rank(grouped.applyInArrow(_kernel(k, metric, p, include_self, True), _schema(df, key)), k)
 
 
-def knn_cells(df: DataFrame, k: int, cells: int = 16, probes: int = 4, key: str = "item_id", vec: str = "embedding",
+def complete(found: DataFrame, df: DataFrame, k: int, key: str, **options) -> DataFrame:
+    """``found`` where every row has its k neighbours: rows that a search left short ask all others."""
+    found = cut(found)
+    counts = found.groupBy(F.col("src").alias(key)).agg(F.count(F.lit(1)).alias("_n"))
+    short = df.select(key).join(counts.filter(F.col("_n") >= k), key, "left_anti")
+    if short.isEmpty():
+        return found
+    short = cut(short)
+    asked = knn_exact(df, k, key=key, only=short, **options)
+    return found.join(short.select(F.col(key).alias("src")), "src", "left_anti").select(*found.columns).unionByName(asked)
+
+
+CELL_ROWS = 4096
+
+
+def knn_cells(df: DataFrame, k: int, cells: int | None = None, probes: int = 4, key: str = "item_id", vec: str = "embedding",
               metric: str = "euclidean", seed: int = 42, include_self: bool = False, block_rows: int = 16384) -> DataFrame:
     """Approximate neighbours: k-means cells, each query looks into its nearest cells.
 
-    A crowded cell is split into hash blocks on both sides, so a group never holds
-    more than about two blocks while every row of the cell is still compared.
+    ``cells`` grows with the rows where it is not given. A crowded cell is split into hash
+    blocks on both sides, so a group never holds more than about two blocks while every row of the cell is
+    still compared. Rows whose cells hold fewer than k others ask all rows.
     """
+    if cells is None:
+        cells = max(-(-df.count() // CELL_ROWS), 16)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -208,18 +232,14 @@ def knn_cells(df: DataFrame, k: int, cells: int = 16, probes: int = 4, key: str
                 F.pmod(h, F.col("xs").cast("bigint")).cast("int").alias("j"), F.lit(False).alias("query"), "id", "vec")
     )
     grouped = q.unionByName(x).groupBy("cell", "i", "j")
-    return _rank(grouped.applyInArrow(_kernel(k, metric, 2.0, include_self, True), _schema(df, key)), k)
+    found = _rank(grouped.applyInArrow(_kernel(k, metric, 2.0, include_self, True), _schema(df, key)), k)
+    n = int(placed.count())
+    return complete(found, df, min(k, n - 1 + include_self), key, vec=vec, metric=metric, include_self=include_self, n=n)
 
 
-def knn_forest(df: DataFrame, k: int, trees: int = 20, leaf: int = 128, key: str = "item_id", vec: str = "embedding",
-               metric: str = "euclidean", seed: int = 42, include_self: bool = False) -> DataFrame:
-    """Approximate neighbours from random hyperplane trees.
-
-    Per tree every row gets a sign code; the sorted codes are cut into leaves of
-    ``leaf`` rows. Leaves have a fixed size whatever the data look like: rows with
-    one code, copies included, are spread by the hash of their id.
-    """
-    m = moments(df, vec)
+def _leaves(points: DataFrame, trees: int, leaf: int, seed: int):
+    """Rows of (id, vec) grouped by the leaves of random hyperplane trees."""
+    m = moments(points, "vec")
     n, mean, bits = m.n, m.mean, 30
     planes = np.concatenate([normal_matrix(f"{seed}:{t}", bits, m.dim) for t in range(trees)])
     weights = 2.0 ** np.arange(bits - 1, -1, -1)
@@ -228,22 +248,159 @@ def knn_forest(df: DataFrame, k: int, trees: int = 20, leaf: int = 128, key: str
         signs = ((x - mean) @ planes.T >= 0).reshape(len(x), trees, bits)
         return signs @ weights
 
-    points = df.select(F.col(key).alias("id"), F.col(vec).alias("vec"))
     coded = map_matrix(points, "vec", codes, out="codes")
     per_tree = coded.select("id", F.posexplode("codes").alias("tree", "code")).select(
         "tree", F.col("code").cast("bigint").alias("code"), F.xxhash64("id").alias("h"), "id")
     placed = assign_ids(per_tree, ["tree", "code", "h", "id"], "at")
     leaves = placed.select("tree", F.floor((F.col("at") - F.col("tree") * F.lit(n)) / leaf).alias("leaf"), "id")
-    grouped = leaves.join(points, "id").groupBy("tree", "leaf")
+    return leaves.join(points, "id").groupBy("tree", "leaf")
+
+
+def knn_forest(df: DataFrame, k: int, trees: int = 20, leaf: int = 128, key: str = "item_id", vec: str = "embedding",
+               metric: str = "euclidean", seed: int = 42, include_self: bool = False) -> DataFrame:
+    """Approximate neighbours from random hyperplane trees.
+
+    Per tree every row gets a sign code; the sorted codes are cut into leaves of
+    ``leaf`` rows. Leaves have a fixed size whatever the data look like: rows with
+    one code, copies included, are spread by the hash of their id.
+    """
+    points = df.select(F.col(key).alias("id"), F.col(vec).alias("vec"))
+    n, grouped = points.count(), _leaves(points, trees, leaf, seed)
     found = grouped.applyInArrow(_kernel(k, metric, 2.0, include_self, False), _schema(df, key))
-    return _rank(found.groupBy("src", "dst").agg(F.min("dist").alias("dist")), k)
+    best = _rank(found.groupBy("src", "dst").agg(F.min("dist").alias("dist")), k)
+    return complete(best, df, min(k, n - 1 + include_self), key, vec=vec, metric=metric, include_self=include_self, n=n)
+
+
+DESCENT_NODES, DESCENT_TILE = 256, 32
+
+
+def _meet(metric: str, kind: str):
+    """Distances among the members of every list of a block, where one of the two is new and better than what it has."""
+
+    def run(table: pa.Table) -> pa.Table:
+        of, ids, fresh, worst = (table.column(c).to_numpy() for c in ("of", "id", "fresh", "worst"))
+        vec = to_matrix(table.column("vec"))
+        order = np.lexsort((ids, of))
+        of, ids, fresh, worst, vec = of[order], ids[order], fresh[order], worst[order], vec[order]
+        begins = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        sizes = np.diff(np.append(begins, len(of)))
+        out = []
+        by_size = np.argsort(sizes, kind="stable")
+        for a in range(0, len(by_size), DESCENT_TILE):
+            lists = by_size[a : a + DESCENT_TILE]
+            m = int(sizes[lists].max())
+            at = begins[lists][:, None] + np.arange(m)[None]
+            real = np.arange(m)[None] < sizes[lists][:, None]
+            at = np.where(real, at, 0)
+            i, j = np.triu_indices(m, 1)
+            use = real[:, i] & real[:, j] & (fresh[at[:, i]] | fresh[at[:, j]]) & (ids[at[:, i]] != ids[at[:, j]])
+            row, col = np.nonzero(use)
+            p, q = at[row, i[col]], at[row, j[col]]
+            for b in range(0, len(p), 1 << 16):
+                u, v = p[b : b + (1 << 16)], q[b : b + (1 << 16)]
+                d = _exact(vec[u], vec[v], metric, 2.0)
+                for s, t in ((u, v), (v, u)):
+                    near = d < worst[s]
+                    out.append((ids[s[near]], ids[t[near]], d[near]))
+        src, dst, dist = (np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))
+        found = pa.table({"src": pa.array(src.astype(ids.dtype)), "dst": pa.array(dst.astype(ids.dtype)), "dist": pa.array(dist.astype(float))})
+        # Lists of one block find the same pair again and again.
+        return found.group_by(["src", "dst"]).aggregate([("dist", "min")]).rename_columns(["src", "dst", "dist"])
+
+    return run
+
+
+def knn_descent(df: DataFrame, k: int, key: str = "item_id", vec: str = "embedding", metric: str = "euclidean", seed: int = 42, include_self: bool = False,
+                rounds: int = 12, trees: int = 4, leaf: int = 64, width: int | None = None, sample: int | None = None, delta: float = 0.002) -> DataFrame:
+    """Approximate neighbours by descent: neighbours of a neighbour are likely neighbours.
+
+    A few random trees and random partners give every row k first neighbours. In each round the lists of neighbours in
+    both directions meet: pairs of which one entered since the last round are measured, and a
+    row keeps its ``width`` nearest (twice k and at least 24 where unset), of which k are returned. ``sample`` (``width``
+    where unset) bounds how many new and how many old members a list takes of each direction, in seeded order; members left
+    out stay new. Rounds end when fewer than ``delta`` of all entries change. The work of a round is proportional to the rows, and no list
+    grows with the data however many rows point at one.
+    """
+    from planisphere.operators.pairs import random_pairs
+
+    points = cut(assign_ids(df.select(F.col(key).alias("_key"), F.col(vec).cast("array<double>").alias("vec")), ["_key"], "node"))
+    n = points.count()
+    want = min(max(width or max(2 * k, 24), k), n - 1)
+    if want < 1:
+        return knn_exact(df, k, key, vec, metric, include_self=include_self)
+    sample = sample or want
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        a, b = points.select(F.col("node").alias("src"), F.col("vec").alias("a")), points.select(F.col("node").alias("dst"), F.col("vec").alias("b"))
+        met = salted_join(salted_join(pairs.select("src", "dst"), a, "src", n * want, "dst"), b, "dst", n * want, "src")
+        return map_matrix_pairs(met, metric)
+
+    drawn = measured(random_pairs(points, n, want, f"{seed}:descent"))
+    near = _forest_lists(points, want, trees, max(leaf, 2 * k), metric, seed)
+    graph = cut(_rank(near.unionByName(drawn).groupBy("src", "dst").agg(F.min("dist").alias("dist")), want).withColumn("fresh", F.lit(True)))
+    for round_ in range(rounds):
+        # New entries that take part in this round, and old ones; both directions, each bounded per list.
+        both = graph.select(F.col("src").alias("of"), F.col("dst").alias("id"), "fresh", F.lit(0).alias("side")).unionByName(
+            graph.select(F.col("dst").alias("of"), F.col("src").alias("id"), "fresh", F.lit(1).alias("side")))
+        w = Window.partitionBy("of", "side", "fresh").orderBy("_draw", "id")
+        members = both.withColumn("_draw", F.xxhash64(F.lit(f"{seed}:{round_}"), "of", "id")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample)
+        members = cut(members.groupBy("of", "id").agg(F.max("fresh").alias("fresh"), F.max(F.when(F.col("side") == 0, F.col("fresh"))).alias("used")))
+        worst = graph.groupBy("src").agg(F.max("dist").alias("worst"))
+        known = points.select(F.col("node").alias("id"), "vec").join(worst.withColumnRenamed("src", "id"), "id")
+        met = salted_join(members.select("of", "id", "fresh"), known, "id", 2 * n * want, "of")
+        block = F.pmod(F.xxhash64("of"), F.lit(max(n // DESCENT_NODES, 1)).cast("bigint")).alias("block")
+        found = met.select(block, "of", "id", "fresh", "worst", "vec").groupBy("block").applyInArrow(_meet(metric, "bigint"), "src bigint, dst bigint, dist double")
+        taken = members.filter("used").select(F.col("of").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("taken"))
+        kept = graph.join(taken, ["src", "dst"], "left").select("src", "dst", "dist", (F.col("fresh") & F.col("taken").isNull()).alias("fresh"), F.lit(False).alias("entered"))
+        both = kept.unionByName(found.select("src", "dst", "dist", F.lit(True).alias("fresh"), F.lit(True).alias("entered")))
+        merged = both.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min(F.struct("entered", "fresh")).alias("s")).select("src", "dst", "dist", "s.fresh", "s.entered")
+        best = Window.partitionBy("src").orderBy("dist", "dst")
+        graph = cut(merged.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= want), replaces=graph)
+        if graph.filter("entered").count() <= delta * n * want:
+            break
+        graph = graph.drop("entered")
+    names = points.select("node", "_key")
+    edges = graph.select("src", "dst", "dist")
+    if include_self:
+        edges = edges.unionByName(points.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("dist")))
+    named = salted_join(edges, names.select(F.col("node").alias("dst"), F.col("_key").alias("to")), "dst", n * want, "src").join(names.select(F.col("node").alias("src"), F.col("_key").alias("from")), "src")
+    return _rank(named.select(F.col("from").alias("src"), F.col("to").alias("dst"), "dist"), k)
+
+
+def map_matrix_pairs(met: DataFrame, metric: str) -> DataFrame:
+    """src, dst, dist of rows with two vectors a and b."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = to_matrix(batch.column(2)), to_matrix(batch.column(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_exact(a, b, metric, 2.0) if len(a) else np.zeros(0))], ["src", "dst", "dist"])
+
+    return met.select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint, dist double")
+
+
+def _forest_lists(points: DataFrame, k: int, trees: int, leaf: int, metric: str, seed: int) -> DataFrame:
+    """src, dst, dist: the k nearest of every row within its leaf of each tree."""
+    grouped = _leaves(points.select(F.col("node").alias("id"), "vec"), trees, leaf, seed)
+    return grouped.applyInArrow(_kernel(k, metric, 2.0, False, False), "src bigint, dst bigint, dist double")
+
+
+#: The names of libraries stand for the join of the same kind: trees, or a graph of neighbours.
+BACKENDS = {"exact": knn_exact, "cells": knn_cells, "descent": knn_descent, "hnswlib": knn_descent, "forest": knn_forest, "annoy": knn_forest}
+#: What may be set of an approximate join, by backend.
+BACKEND_OPTIONS = {knn_exact: (), knn_cells: ("cells", "probes"), knn_descent: ("rounds", "trees", "leaf", "width", "sample", "delta"), knn_forest: ("trees", "leaf")}
 
 
 def knn(df: DataFrame, k: int, backend: str = "exact", **options) -> DataFrame:
-    backends = {"exact": knn_exact, "cells": knn_cells, "hnswlib": knn_cells, "forest": knn_forest, "annoy": knn_forest}
-    if backend not in backends:
-        raise ValueError(f"unknown neighbour backend {backend!r}; known: {', '.join(backends)}")
-    return backends[backend](df, k, **options)
+    """The join of a backend; options that are null are left at their defaults, one that the backend lacks is an error."""
+    if backend not in BACKENDS:
+        raise ValueError(f"unknown neighbour backend {backend!r}; known: {', '.join(BACKENDS)}")
+    join = BACKENDS[backend]
+    tunable = {name for names in BACKEND_OPTIONS.values() for name in names}
+    given = {c: v for c, v in options.items() if v is not None}
+    unknown = sorted(c for c in given if c in tunable and c not in BACKEND_OPTIONS[join])
+    if unknown:
+        raise ValueError(f"neighbour backend {backend!r} has no option {', '.join(unknown)}")
+    return join(df, k, **given)
 
 
 def knn_recall(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:

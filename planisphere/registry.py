@@ -88,6 +88,9 @@ OPTIONS = {
     "pacmap": "",
 }
 
+#: Options of the approximate neighbour joins, for every method with a ``backend``; a backend refuses those of another.
+NEIGHBOUR_OPTIONS = "cells:int probes:int trees:int leaf:int rounds:int width:int sample:int delta:double"
+
 METHODS: dict[str, Callable] = {}
 _EXTRA: dict[str, list[Param]] = {}
 
@@ -114,7 +117,14 @@ def schema_of(method: str) -> list[Param]:
 
 
 def options_of(name: str) -> list[Param]:
-    return _parse(OPTIONS.get(name, ""))
+    own = _parse(OPTIONS.get(name, ""))
+    joins = any(p.name == "backend" for p in [*own, *schema_of(name)])
+    return own + (_parse(NEIGHBOUR_OPTIONS) if joins else [])
+
+
+def neighbour_options(params: dict[str, Any]) -> dict[str, Any]:
+    """The options of the neighbour join among the parameters of a method."""
+    return {p.name: params.get(p.name) for p in _parse(NEIGHBOUR_OPTIONS) if params.get(p.name) is not None}
 
 
 def method(name: str, schema: str | None = None):

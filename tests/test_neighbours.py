@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from planisphere.functions.vectors import distance
-from planisphere.operators.knn import knn, knn_cells, knn_exact, knn_forest, knn_recall, symmetrise
+from planisphere.operators.knn import complete, knn, knn_cells, knn_descent, knn_exact, knn_forest, knn_recall, symmetrise
+from planisphere.registry import neighbour_options, typed_params
 from planisphere.operators.pairs import landmarks_maxmin, number_nodes, random_pairs
 
 
@@ -103,3 +104,73 @@ def test_farthest_landmarks(table):
     for n in range(1, 4):
         gap = np.sqrt(((x[:, None] - x[picked[:n]][None]) ** 2).sum(2)).min(1)
         assert np.isclose(gap[picked[n]], gap.max())
+
+
+def test_pairs_never_repeat(spark):
+    """Twelve rows with twenty slots: every other row once, or an error; long lists are permutations."""
+    nodes = spark.range(12).withColumnRenamed("id", "node")
+    rows = random_pairs(nodes, 12, 20, 3, short="all").collect()
+    assert sorted((r.src, r.dst) for r in rows) == [(i, j) for i in range(12) for j in range(12) if i != j]
+    with pytest.raises(Exception, match="fewer than 20 partners"):
+        random_pairs(nodes, 12, 20, 3).collect()
+    avoid = spark.createDataFrame([(0, j) for j in range(12)] + [(1, 0), (1, 0), (1, 99)], "src bigint, dst bigint")
+    some = random_pairs(nodes, 12, 10, 3, avoid=avoid, short="all").collect()
+    assert not [r for r in some if r.src == 0] and sorted(r.dst for r in some if r.src == 1) == list(range(2, 12))
+    assert random_pairs(nodes, 1, 3, 3, short="all").filter("src = 0").count() == 0
+
+
+def test_pairs_are_even(spark):
+    """Partners and the order in which they come are spread evenly."""
+    # Nodes beyond the partners' range, so that all 3000 of them draw from the same ten.
+    rows = random_pairs(spark.range(100, 3100).withColumnRenamed("id", "node"), 11, 3, 5).collect()
+    firsts = np.bincount([r.dst for r in rows if r.slot == 0], minlength=10)
+    seconds = np.bincount([r.dst for r in rows if r.slot == 1], minlength=10)
+    for counts in (firsts, seconds):
+        assert ((counts - 300) ** 2 / 300).sum() < 27.9  # chi square, nine degrees of freedom, one in a thousand
+
+
+def test_farthest_landmarks_in_batches(table):
+    """The same picks whether a pass brings few rows or all of them."""
+    x = np.random.default_rng(8).normal(size=(300, 3))
+    lists = [[r.item_id for r in landmarks_maxmin(table(x), 40, batch=b).orderBy("pick").collect()] for b in (2, 25, 4096)]
+    assert lists[0] == lists[1] == lists[2] and len(set(lists[0])) == 40
+    assert landmarks_maxmin(table(np.ones((5, 2))), 4).count() == 1
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan"])
+def test_descent_recall(table, metric):
+    x = np.random.default_rng(5).normal(size=(400, 12))
+    truth, found = knn_exact(table(x), 6, metric=metric), knn_descent(table(x), 6, metric=metric).persist()
+    assert found.count() == 2400 and found.filter("src = dst").count() == 0
+    assert knn_recall(truth, found, 6).agg(F.avg("recall")).first()[0] >= 0.95
+
+
+def test_descent_on_few_rows_and_copies(table, spark):
+    assert knn_descent(table(np.ones((1, 3))), 4).count() == 0
+    assert knn_descent(table(np.random.default_rng(1).normal(size=(4, 3))), 9).count() == 12
+    copies = knn_descent(table(np.repeat(np.eye(3), 60, axis=0)), 5)
+    assert copies.count() == 900 and copies.filter("dist > 0").count() == 0
+    own = knn_descent(table(np.random.default_rng(1).normal(size=(30, 3))), 4, include_self=True)
+    assert own.filter("rank = 1 AND src = dst").count() == 30 and own.count() == 120
+    named = spark.createDataFrame([(f"k{i}", [float(i), 0.0]) for i in range(20)], "item_id string, embedding array<double>")
+    assert {r.dst for r in knn_descent(named, 2).filter("src = 'k5'").collect()} == {"k4", "k6"}
+
+
+def test_every_row_gets_k(table):
+    """Rows in cells with fewer than k others ask all rows."""
+    x = np.concatenate([np.random.default_rng(0).normal(size=(40, 3)), np.eye(3) * 500])
+    found = knn_cells(table(x), 5, cells=4, probes=1)
+    assert found.groupBy("src").count().filter("count = 5").count() == 43
+    exact = knn_exact(table(x), 5)
+    part = exact.filter("src <> 7 AND NOT (src = 8 AND rank = 1)")
+    whole = complete(part, table(x), 5, "item_id")
+    assert sorted((r.src, r["rank"], r.dst) for r in whole.collect()) == sorted((r.src, r["rank"], r.dst) for r in exact.collect())
+
+
+def test_backend_options(table):
+    x = table(np.random.default_rng(0).normal(size=(50, 3)))
+    assert knn(x, 3, backend="cells", cells=3, probes=None).count() == 150
+    assert knn(x, 3, backend="hnswlib", rounds=2, width=8).count() == 150
+    with pytest.raises(ValueError, match="no option probes"):
+        knn(x, 3, backend="annoy", probes=3)
+    assert typed_params("umap", {"probes": "7"})["probes"] == 7 and neighbour_options(typed_params("umap", {"probes": 7})) == {"probes": 7}
