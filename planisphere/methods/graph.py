@@ -14,7 +14,7 @@ from planisphere.functions.seeded import normal_value
 from planisphere.functions.vectors import as_xy, map_matrix
 from planisphere.methods.stress import classical_mds, smacof
 from planisphere.operators.graph import (
-    Eigen, Links, Neighbours, barycentre_weights, connect, eigenvectors, geodesics, neighbours, product,
+    EXTRA_VECTORS, Eigen, Links, Neighbours, barycentre_weights, connect, eigenvectors, geodesics, neighbours, product,
 )
 from planisphere.operators.knn import knn_exact, symmetrise
 from planisphere.operators.subset import landmarks_random
@@ -72,7 +72,7 @@ def spectral_vectors(nb: Neighbours, edges: DataFrame, k: int, max_iter: int, to
     raw = Links(edges, nb.n, 16)
     both = raw.attach(raw.attach(raw.edges, "src", degrees, {"deg": "ds"}), "dst", degrees, {"deg": "dd"})
     scaled = both.select("src", "dst", (F.col("w") / F.sqrt(F.col("ds") * F.col("dd"))).alias("w"))
-    links = Links(scaled, nb.n, 16 + 8 * (k + 4))
+    links = Links(scaled, nb.n, 16 + 8 * (k + EXTRA_VECTORS))
     raw.close()
     known = nb.nodes.select("node").join(degrees, "node", "left").select("node", F.sqrt(F.coalesce("deg", F.lit(0.0))).alias("u"))
     found = eigenvectors(nb.nodes.select("node"), lambda v, m: product(links, v, m), k, -1.0, 1.0, True, known,
@@ -103,7 +103,7 @@ def spectral(df: DataFrame, params: dict) -> DataFrame:
 
 def bottom_vectors(nb: Neighbours, weights: DataFrame, k: int, max_iter: int, tol: float, seed: int) -> Eigen:
     """Bottom eigenvectors of (I - W)^T (I - W), the constant one left out."""
-    links = Links(weights, nb.n, 16 + 8 * (k + 4))
+    links = Links(weights, nb.n, 16 + 8 * (k + EXTRA_VECTORS))
     out_norm = weights.groupBy("src").agg(F.sum(F.abs("w")).alias("s")).agg(F.max("s")).first()[0] or 0.0
     in_norm = weights.groupBy("dst").agg(F.sum(F.abs("w")).alias("s")).agg(F.max("s")).first()[0] or 0.0
 
@@ -122,13 +122,21 @@ def bottom_vectors(nb: Neighbours, weights: DataFrame, k: int, max_iter: int, to
     return found
 
 
+def fit_lle(df: DataFrame, params: dict) -> tuple[DataFrame, DataFrame]:
+    """item_id, group_key, node, x, y, and the weights src, dst, w that the map keeps."""
+    nb = neighbours(df, params["n_neighbors"], params["backend"], **neighbour_options(params))
+    return _linear_map(nb, cut(barycentre_weights(nb, params["reg"])), params, "lle")
+
+
+def _linear_map(nb: Neighbours, weights: DataFrame, params: dict, name: str) -> tuple[DataFrame, DataFrame]:
+    found = warn_open(bottom_vectors(nb, weights, params["n_components"], params["max_iter"], params["tol"], params["random_state"]), params["tol"], name)
+    placed = nb.nodes.select("node", "item_id", "group_key").join(oriented(found.vectors, params["n_components"]), "node")
+    return placed.select("item_id", "group_key", "node", "x", "y"), weights
+
+
 @method("lle")
 def lle(df: DataFrame, params: dict) -> DataFrame:
-    nb = neighbours(df, params["n_neighbors"], params["backend"], **neighbour_options(params))
-    weights = barycentre_weights(nb, params["reg"])
-    found = bottom_vectors(nb, weights, params["n_components"], params["max_iter"], params["tol"], params["random_state"])
-    warn_open(found, params["tol"], "lle")
-    return nb.back(oriented(found.vectors, params["n_components"]))
+    return fit_lle(df, params)[0].drop("node")
 
 
 def generative_solver(mode: str, reg: float, iterations: int, seed: int):
@@ -168,17 +176,20 @@ def generative_solver(mode: str, reg: float, iterations: int, seed: int):
     return solve
 
 
-@method("glle")
-def glle(df: DataFrame, params: dict) -> DataFrame:
+def fit_glle(df: DataFrame, params: dict) -> tuple[DataFrame, DataFrame]:
+    """item_id, group_key, node, x, y, and the drawn weights src, dst, w that the map keeps."""
     if params["n_components"] != 2:
         raise ValueError("glle places rows in two dimensions only")
     if params["method"] not in ("GLLE", "GLLE_DirectSampling"):
         raise ValueError(f"unknown glle method {params['method']!r}")
     nb = neighbours(df, params["k_neighbors"], params["backend"], **neighbour_options(params))
     solve = generative_solver(params["method"], params["reg"], params["max_iterations"], params["random_state"])
-    weights = barycentre_weights(nb, params["reg"], solve)
-    found = warn_open(bottom_vectors(nb, weights, 2, params["max_iter"], params["tol"], params["random_state"]), params["tol"], "glle")
-    return nb.back(oriented(found.vectors, 2))
+    return _linear_map(nb, cut(barycentre_weights(nb, params["reg"], solve)), params, "glle")
+
+
+@method("glle")
+def glle(df: DataFrame, params: dict) -> DataFrame:
+    return fit_glle(df, params)[0].drop("node")
 
 
 # --- diffusion maps

@@ -222,6 +222,10 @@ def geodesics(links: Links, sources: list[int], weight: str = "w", rounds: int =
 
 # --- eigenvectors
 
+#: Vectors carried beside the wanted ones. A flat spectrum, where the next values are close, needs many.
+EXTRA_VECTORS = 22
+
+
 @dataclass
 class Eigen:
     """Eigenvalues, their vectors as node, v0, v1.., and the residual norms over the spectral norm."""
@@ -242,7 +246,7 @@ def product(links: Links, values: DataFrame, m: int, weight: str = "w", frm: str
 
 
 def eigenvectors(nodes: DataFrame, multiply, k: int, low: float, high: float, largest: bool, known: DataFrame | None = None,
-                 extra: int = 4, steps: int = 12, max_iter: int = 60, tol: float = 1e-4, seed: int = 42) -> Eigen:
+                 extra: int = EXTRA_VECTORS, steps: int = 10, max_iter: int = 60, tol: float = 1e-4, seed: int = 42) -> Eigen:
     """The k outermost eigenpairs of a symmetric sparse operator with spectrum inside [low, high].
 
     ``multiply(df, m)`` maps node, v0.. to node, a0... A block of k + extra vectors is

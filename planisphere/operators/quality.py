@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planisphere.functions.vectors import distance
+from planisphere.operators.pairs import random_pairs
+from planisphere.operators.subset import assign_ids
+from planisphere.session import cut
+
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Row count of every table."""
@@ -110,3 +115,29 @@ def orphan_viz_points(viz_points: DataFrame, points: DataFrame, viz: DataFrame)
         "viz_id", "point_id", F.lit("viz").alias("missing")
     )
     return no_point.unionByName(no_viz)
+
+
+def distance_agreement(coords: DataFrame, vectors: DataFrame, per_row: int = 8, vec: str = "embedding", near: DataFrame | None = None) -> DataFrame:
+    """One row: how a map keeps the distances of the vectors it shows.
+
+    ``agreement`` is the correlation of both distances over ``per_row`` seeded partners of every row: 0 for a map that
+    has nothing to do with the vectors, 1 for one that keeps all distances. ``closeness``, with a table ``near`` of
+    neighbours (src, dst by item), is the mean distance of neighbours on the map over that of the partners: 1 for
+    a map without relation.
+    """
+    numbered = cut(assign_ids(coords.select("item_id", "x", "y").join(vectors.select("item_id", F.col(vec).alias("_v")), "item_id"), ["item_id"], "node"))
+    n = numbered.count()
+    pairs = random_pairs(numbered, n, min(per_row, max(n - 1, 1)), 17, short="all")
+    sides = [numbered.select(F.col("node").alias(e), F.struct("x", "y", "_v").alias(f"_{e}")) for e in ("src", "dst")]
+    met = pairs.join(sides[1], "dst").join(sides[0], "src")
+    flat = F.hypot(F.col("_src.x") - F.col("_dst.x"), F.col("_src.y") - F.col("_dst.y"))
+    full = distance(F.col("_src._v"), F.col("_dst._v"))
+    moments = [F.avg(a) for a in ("f", "g")] + [F.var_pop("f"), F.var_pop("g"), F.covar_pop("f", "g")]
+    row = met.select(flat.alias("f"), full.alias("g")).agg(*[m.alias(c) for m, c in zip(moments, ("mf", "mg", "vf", "vg", "c"))])
+    out = row.select((F.col("c") / F.sqrt(F.greatest(F.col("vf") * F.col("vg"), F.lit(1e-300)))).alias("agreement"), "mf")
+    if near is None:
+        return out.drop("mf")
+    at = numbered.select("item_id", "x", "y")
+    ends = [at.select(F.col("item_id").alias(e), F.struct("x", "y").alias(f"_{e}")) for e in ("src", "dst")]
+    close = near.select("src", "dst").join(ends[1], "dst").join(ends[0], "src").agg(F.avg(flat).alias("m")).scalar()
+    return out.select("agreement", (close / F.greatest("mf", F.lit(1e-300))).alias("closeness"))

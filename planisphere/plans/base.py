@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planisphere.operators.quality import distance_agreement
 from planisphere.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +48,15 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def related(made: DataFrame, rows: DataFrame, least: float = 0.05, near: DataFrame | None = None, most: float = 0.97) -> Column:
+    """Whether a map has to do with the vectors it shows; maps of shuffled rows fail, as tests show.
+
+    Distances on the map agree with those of the vectors, or with ``near`` neighbours lie closer than other rows.
+    """
+    found = distance_agreement(made, rows, near=near).first()
+    return F.lit(found["agreement"] >= least if near is None else found["closeness"] <= most)
+
+
 # --- A run catalogue derived from the embeddings table: one run per label, one point per vector.
 
 METHOD_SQL = "CASE label % 3 WHEN 0 THEN 'pca' WHEN 1 THEN 'umap' ELSE 'tsne' END"

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from planisphere.methods import graph as G
 from planisphere.methods import stress as S
 from planisphere.methods.linear import place
-from planisphere.operators.graph import Links, barycentre_weights, components, geodesics, neighbours
+from planisphere.operators.graph import Links, barycentre_weights, components, geodesics, neighbours, product
 from planisphere.operators.knn import symmetrise
-from planisphere.plans.base import query, r6, vectors
+from planisphere.plans.base import query, r6, related, vectors
 from planisphere.plans.linear_queries import COUNT, finite, _falling, cert, near_zero
 from planisphere.plans.neighbour_queries import knn_cte
 from planisphere.registry import run_method, typed_params
+from planisphere.session import cut
 
 NODES = "node AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS node FROM embeddings)"
 
@@ -52,12 +53,13 @@ def q_geodesics(spark, sf):
     return geodesics(Links(G.undirected(nb), nb.n), [0, 7, 49, 343]).select("node", "mark", r6("dist").alias("dist"))
 
 
-@query("isomap", f"{COUNT}, true AS centred FROM embeddings")
+@query("isomap", f"{COUNT}, true AS centred, true AS related FROM embeddings")
 def q_isomap(spark, sf):
     """The map of n landmarks is centred; with fewer the centre stays near the origin."""
-    made = run_method(vectors(spark, sf), "isomap", landmarks=60)
+    v = vectors(spark, sf)
+    made = cut(run_method(v, "isomap"))
     spread = F.sqrt(F.var_pop("x") + F.var_pop("y"))
-    return cert(made, n=F.count(F.lit(1)), finite=finite(), centred=(F.abs(F.avg("x")) < spread) & (F.abs(F.avg("y")) < spread))
+    return cert(made, n=F.count(F.lit(1)), finite=finite(), related=related(made, v), centred=(F.abs(F.avg("x")) < spread) & (F.abs(F.avg("y")) < spread))
 
 
 @query("lle_weights", """SELECT vec_id AS item_id, 15::BIGINT AS k, 1.0::DOUBLE AS total FROM embeddings""")
@@ -74,28 +76,48 @@ def _orthonormal(made):
             "orthogonal": near_zero(F.sum(F.col("x") * F.col("y"))) & near_zero(F.sum("x")) & near_zero(F.sum("y"))}
 
 
-@query("lle", f"{COUNT}, true AS unit, true AS orthogonal FROM embeddings")
+def _low_energy(weights, made):
+    """Whether the weights rebuild the map far better than they rebuild values without relation to them.
+
+    The energy of a unit vector is on average the trace over n: one, and the sum of squared weights over n.
+    """
+    links = Links(weights, made.count(), 32)
+    back = made.selectExpr("node AS i", "x AS v0", "y AS v1").withColumnRenamed("i", "node")
+    rebuilt = back.join(product(links, back, 2), "node", "left")
+    row = rebuilt.selectExpr("sum(pow(v0 - coalesce(a0, 0), 2)) / sum(v0 * v0) AS x", "sum(pow(v1 - coalesce(a1, 0), 2)) / sum(v1 * v1) AS y", "count(*) AS n").first()
+    trace = 1 + weights.agg(F.sum(F.col("w") * F.col("w"))).first()[0] / row["n"]
+    links.close()
+    return F.lit(max(row["x"], row["y"]) <= 0.35 * trace)
+
+
+def _local_linear(name, spark, sf):
+    """A map by its own weights, after a few of its rounds: orthonormal, and rebuilt by the weights."""
+    params = typed_params(name, {"max_iter": 10})
+    made, weights = (G.fit_lle if name == "lle" else G.fit_glle)(vectors(spark, sf), params)
+    made = cut(made)
+    return cert(made, **_orthonormal(made), low_energy=_low_energy(weights, made))
+
+
+@query("lle", f"{COUNT}, true AS unit, true AS orthogonal, true AS low_energy FROM embeddings")
 def q_lle(spark, sf):
-    made = run_method(vectors(spark, sf), "lle", max_iter=8)
-    return cert(made, **_orthonormal(made))
+    return _local_linear("lle", spark, sf)
 
 
 @query("spectral", f"{COUNT}, true AS small_residual, true AS weighted_centre FROM embeddings")
 def q_spectral(spark, sf):
     """Residuals of both eigenpairs, and orthogonality to the trivial vector under the degrees."""
     v = vectors(spark, sf)
-    params = typed_params("spectral", {"max_iter": 12, "tol": 1e-2})
+    params = typed_params("spectral")
     nb = neighbours(v, params["n_neighbors"] - 1)
     found, degrees = G.fit_spectral(nb, params)
     both = found.vectors.join(degrees, "node").select("deg", F.col("v0").alias("x"), F.col("v1").alias("y"))
-    return cert(both, n=F.count(F.lit(1)), finite=finite(), small_residual=F.lit(found.converged(5e-2)),
+    return cert(both, n=F.count(F.lit(1)), finite=finite(), small_residual=F.lit(found.converged(params["tol"])),
                 weighted_centre=near_zero(F.sum(F.col("x") * F.sqrt("deg"))) & near_zero(F.sum(F.col("y") * F.sqrt("deg"))))
 
 
-@query("glle", f"{COUNT}, true AS unit, true AS orthogonal FROM embeddings")
+@query("glle", f"{COUNT}, true AS unit, true AS orthogonal, true AS low_energy FROM embeddings")
 def q_glle(spark, sf):
-    made = run_method(vectors(spark, sf), "glle", max_iter=8)
-    return cert(made, **_orthonormal(made))
+    return _local_linear("glle", spark, sf)
 
 
 @query("phate_kernel", f"""WITH {edge_cte(1_000_000)}, eps AS (SELECT s.node, dist AS eps FROM knn JOIN node s ON s.vec_id = src WHERE rank = 5),
@@ -106,10 +128,11 @@ def q_phate_kernel(spark, sf):
     return G.decay_kernel(nb, 5, 40.0).select("src", "dst", r6("w").alias("w"))
 
 
-@query("phate", f"{COUNT}, true AS spread FROM embeddings")
+@query("phate", f"{COUNT}, true AS spread, true AS related FROM embeddings")
 def q_phate(spark, sf):
-    made = run_method(vectors(spark, sf), "phate", landmarks=60)
-    return cert(made, n=F.count(F.lit(1)), finite=finite(), spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
+    v = vectors(spark, sf)
+    made = cut(run_method(v, "phate"))
+    return cert(made, n=F.count(F.lit(1)), finite=finite(), related=related(made, v), spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
 
 
 # --- stress
@@ -117,18 +140,19 @@ def q_phate(spark, sf):
 @query("mds", f"{COUNT}, true AS falling FROM embeddings")
 def q_mds(spark, sf):
     v = vectors(spark, sf)
-    run, history = S.fit_mds(v, typed_params("mds", {"landmarks": 200, "n_init": 2}))
+    run, history = S.fit_mds(v, typed_params("mds"))
     return cert(place(v, run), n=F.count(F.lit(1)), finite=finite(), falling=F.lit(_falling(history)))
 
 
 @query("sammon_random", f"{COUNT}, true AS falling FROM embeddings")
 def q_sammon(spark, sf):
     v = vectors(spark, sf)
-    run, history = S.fit_sammon(v, typed_params("sammon_random", {"landmarks": 200, "n_iter": 100}))
+    run, history = S.fit_sammon(v, typed_params("sammon_random"))
     return cert(place(v, run), n=F.count(F.lit(1)), finite=finite(), falling=F.lit(_falling(history)))
 
 
-@query("clmds", f"{COUNT}, true AS spread FROM embeddings")
+@query("clmds", f"{COUNT}, true AS spread, true AS related FROM embeddings")
 def q_clmds(spark, sf):
-    made = run_method(vectors(spark, sf), "clmds", landmarks=100, candidates=64)
-    return cert(made, n=F.count(F.lit(1)), finite=finite(), spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
+    v = vectors(spark, sf)
+    made = cut(run_method(v, "clmds"))
+    return cert(made, n=F.count(F.lit(1)), finite=finite(), related=related(made, v), spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))

@@ -13,14 +13,14 @@ from planisphere.operators.layout import near_pairs
 from planisphere.operators.moments import sum_arrays
 from planisphere.operators.quadtree import tree_repulsion
 from planisphere.operators.subset import head_sample
-from planisphere.plans.base import query, r6, vectors
+from planisphere.plans.base import query, r6, related, vectors
 from planisphere.plans.graph_queries import NODES
 from planisphere.plans.linear_queries import COUNT, finite, cert
 from planisphere.plans.neighbour_queries import knn_cte
 from planisphere.registry import run_method, typed_params
 from planisphere.session import cut
 
-STEPS = 10
+STEPS = 12
 
 
 def near_cte(k: int, listed: int) -> str:
@@ -62,10 +62,20 @@ def q_umap_graph(spark, sf):
                                            (F.col("top") == 1).alias("near_one"), (F.abs(F.col("total") - math.log2(15)) < 1e-5).alias("log_sum"))
 
 
-@query("umap", f"{COUNT}, true AS spread FROM embeddings")
+def _attracted(nb, state, v):
+    """Whether listed neighbours lie closer on the map than other rows do."""
+    names = nb.nodes.select("node", "item_id")
+    named = nb.knn.filter(F.col("rank") <= 5).join(names.select(F.col("node").alias("src"), F.col("item_id").alias("s")), "src")
+    pairs = named.join(names.select(F.col("node").alias("dst"), F.col("item_id").alias("d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    return related(nb.back(state.select("node", "x", "y")), v, near=cut(pairs))
+
+
+@query("umap", f"{COUNT}, true AS spread, true AS related, true AS attracted FROM embeddings")
 def q_umap(spark, sf):
-    _, state = Y.fit_umap(vectors(spark, sf), typed_params("umap", {"n_epochs": STEPS, "init": "pca"}))
-    return cert(state, n=F.count(F.lit(1)), finite=finite(), spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
+    v = vectors(spark, sf)
+    nb, state = Y.fit_umap(v, typed_params("umap", {"n_epochs": STEPS, "init": "pca"}))
+    return cert(state, n=F.count(F.lit(1)), finite=finite(), related=related(nb.back(state.select("node", "x", "y")), v),
+                attracted=_attracted(nb, state, v), spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
 
 
 @query("trimap_triplets", f"""WITH {near_cte(12, 62)} SELECT src AS i, dst AS j, 4::BIGINT AS triplets, true AS outside FROM near WHERE rank <= 12""")
@@ -85,10 +95,11 @@ def q_trimap(spark, sf):
     return cert(state, n=F.count(F.lit(1)), finite=finite(), falling=F.lit(falling))
 
 
-@query("spacemap", f"{COUNT}, true AS spread FROM embeddings")
+@query("spacemap", f"{COUNT}, true AS spread, true AS attracted FROM embeddings")
 def q_spacemap(spark, sf):
-    _, state = Y.fit_spacemap(vectors(spark, sf), typed_params("spacemap", {"n_epochs": STEPS, "init": "random"}))
-    return cert(state, n=F.count(F.lit(1)), finite=finite(), spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
+    v = vectors(spark, sf)
+    nb, state = Y.fit_spacemap(v, typed_params("spacemap", {"n_epochs": 2 * STEPS, "init": "random"}))
+    return cert(state, n=F.count(F.lit(1)), finite=finite(), attracted=_attracted(nb, state, v), spread=(F.var_pop("x") > 0) & (F.var_pop("y") > 0))
 
 
 @query("tsne_affinities", """SELECT vec_id AS item_id, true AS entropy, 1.0::DOUBLE AS total, 1.0::DOUBLE AS all_pairs FROM embeddings""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from planisphere.functions.vectors import distance
 from planisphere.methods import linear as L
 from planisphere.operators import moments as M
 from planisphere.operators.prepare import preprocess_pca
-from planisphere.plans.base import query, r6, table, vectors
+from planisphere.plans.base import query, r6, related, table, vectors
 from planisphere.registry import run_method
 
 # Long form of the vectors, column means, centred cells and the covariance matrix as one nested list.
@@ -198,9 +200,20 @@ def q_fa(spark, sf):
                 noise_positive=F.lit(bool((model.noise > 0).all())))
 
 
-@query("ica", "SELECT count(*) AS n, count(*) AS finite, true AS centred, 1.0::DOUBLE AS var_x, 1.0::DOUBLE AS var_y, true AS uncorrelated FROM embeddings")
+@query("ica", "SELECT count(*) AS n, count(*) AS finite, true AS related, true AS independent, true AS centred, 1.0::DOUBLE AS var_x, 1.0::DOUBLE AS var_y, true AS uncorrelated FROM embeddings")
 def q_ica(spark, sf):
-    return cert(run_method(vectors(spark, sf), "ica"), n=F.count(F.lit(1)), finite=finite(),
+    """Whitened, and turned to where both components are least Gaussian: every turn of the pair loses contrast."""
+    v = vectors(spark, sf)
+    made = run_method(v, "ica")
+    gauss = 0.3745672075  # mean of ln cosh of a standard normal value
+
+    def contrast(degrees):
+        c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+        parts = [F.pow(F.avg(F.log(F.cosh(u))) - gauss, 2) for u in (F.col("x") * c - F.col("y") * s, F.col("x") * s + F.col("y") * c)]
+        return parts[0] + parts[1]
+
+    turned = made.agg(*[contrast(d).alias(f"t{d}") for d in (0, 10, 25, 45, 65, 80)]).first()
+    return cert(made, n=F.count(F.lit(1)), finite=finite(), related=related(made, v), independent=F.lit(turned["t0"] >= max(turned[1:])),
                 centred=near_zero(F.avg("x")) & near_zero(F.avg("y")), var_x=r6(F.var_pop("x")), var_y=r6(F.var_pop("y")),
                 uncorrelated=near_zero(F.covar_pop("x", "y")))
 
@@ -212,7 +225,7 @@ def _falling(values: list[float]) -> bool:
 @query("nmf", f"{COUNT}, true AS nonnegative, true AS falling FROM embeddings")
 def q_nmf(spark, sf):
     v = M.minmax_shift(vectors(spark, sf))
-    model = L.fit_nmf(v, max_iter=30)
+    model = L.fit_nmf(v)
     return cert(L.place(v, model.apply), n=F.count(F.lit(1)), finite=finite(),
                 nonnegative=(F.min("x") >= 0) & (F.min("y") >= 0) & F.lit(bool((model.atoms >= 0).all())), falling=F.lit(_falling(model.objective)))
 
@@ -246,16 +259,17 @@ def q_kpca(spark, sf):
     return placed(k.withColumn("x", F.col("x") * F.lit(signs.sx)).withColumn("y", F.col("y") * F.lit(signs.sy)))
 
 
-@query("kpca_rbf", f"{COUNT}, true AS centred, true AS uncorrelated, true AS ordered FROM embeddings")
+@query("kpca_rbf", f"{COUNT}, true AS centred, true AS uncorrelated, true AS ordered, true AS related FROM embeddings")
 def q_kpca_rbf(spark, sf):
-    return _kernel_cert(run_method(vectors(spark, sf), "kpca"))
+    return _kernel_cert(vectors(spark, sf), "kpca")
 
 
-@query("nystroem_pca", f"{COUNT}, true AS centred, true AS uncorrelated, true AS ordered FROM embeddings")
+@query("nystroem_pca", f"{COUNT}, true AS centred, true AS uncorrelated, true AS ordered, true AS related FROM embeddings")
 def q_nystroem(spark, sf):
-    return _kernel_cert(run_method(vectors(spark, sf), "nystroem_pca"))
+    return _kernel_cert(vectors(spark, sf), "nystroem_pca")
 
 
-def _kernel_cert(made):
-    return cert(made, n=F.count(F.lit(1)), finite=finite(), centred=near_zero(F.avg("x")) & near_zero(F.avg("y")),
+def _kernel_cert(v, name):
+    made = run_method(v, name)
+    return cert(made, related=related(made, v), n=F.count(F.lit(1)), finite=finite(), centred=near_zero(F.avg("x")) & near_zero(F.avg("y")),
                 uncorrelated=near_zero(F.covar_samp("x", "y")), ordered=F.var_samp("x") >= F.var_samp("y"))
