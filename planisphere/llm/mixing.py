@@ -13,7 +13,7 @@ the rows of a source together, so a source may hold any share of all rows.
 Defined cases: a null or empty text has size 0 and is taken 0 words; a null source
 is a source of its own, ordered last; an empty table gives an empty result; rows with the
 same id and size (repeated rows) are drawn together as one unit; other columns
-are kept by :func:`take` and do not matter.
+are kept by :func:`take`, also those named like its own, and do not matter.
 """
 
 from __future__ import annotations
@@ -111,12 +111,14 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), budget: float = 1.5, max_epoch
 
 
 def take(docs: DataFrame, weights=(5.0, 2.0, 1.0), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns it came with."""
-    drawn = with_draw(docs, seed, id_col, text_col, source_col)
+    """The mix itself: each document as often as it is taken, with the columns it came with, whatever their names."""
+    rest = [c for c in docs.columns if c != text_col]  # the text travels once, beside the other columns
+    packed = docs.select(F.struct(*rest).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), F.col(source_col).alias("_from"))
+    drawn = with_draw(packed, seed, "_id", "_text", "_from")
     sized = cut(drawn.select("_source", "_size", "_draw"))
     done = repetitions(drawn, plan_mix(sized, weights, budget, max_epochs)).filter(F.col("repetitions") > 0)
-    copies = done.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repetitions").cast("int"))))
-    return copies.select(*docs.columns)
+    copies = done.select("_row", "_text", F.explode(F.sequence(F.lit(1), F.col("repetitions").cast("int"))).alias("_copy"))
+    return copies.select(*[F.col("_text" if c == text_col else f"_row.{c}").alias(c) for c in docs.columns])
 
 
 #: DuckDB: the same rows from exact arithmetic on one machine.
