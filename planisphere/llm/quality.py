@@ -115,7 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = known.filter("y = 0").orderBy(*order).limit(sample_rows).union(known.filter("y = 1").orderBy(*order).limit(sample_rows))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(some.select("id", F.col("y").cast("int").alias("y"))), "id")
-    got = with_features(rows, "y int").limit(4 * sample_rows).collect()
+    # One row per id, of repeated ones the same each time, in one order: the weights are equal in every run.
+    coded = with_features(rows.select("id", "y", "text"), "id bigint, y int").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    got = sorted(coded.collect())  # two labels of ``sample_rows`` rows each
     return TextClassifier(np.array([r.x for r in got]).reshape(-1, 14), np.array([r.y for r in got], float))
 
 
@@ -141,7 +143,8 @@ def _strength(between: float, within: float, groups: float, rest: float, share:
 def posterior(scored: DataFrame, prior: float | None = None, iterations: int = 3) -> DataFrame:
     """From ``doc_id, host, path, evidence``: adds ``host_rate``, ``path_rate`` and ``posterior``.
 
-    Rates use soft counts: a document counts by its probability under the rate before. The
+    Rates use soft counts: a document counts by its probability under the rate before. The rates of a document
+    are those of the other documents of its host and path, so that its own evidence counts once. The
     number of iterations is fixed and each reads one row per path.
     """
     rate = 0.5 if prior is None else prior
@@ -166,12 +169,13 @@ def posterior(scored: DataFrame, prior: float | None = None, iterations: int = 3
         host_size = _strength(t.b - t.s * t.s / t.n, t.q - t.b, t.k - 1, t.n - t.k, (t.n - t.n2 / t.n) / max(t.k - 1, 1))
         # paths within hosts: sums of squares around each host's mean
         path_size = _strength(t.pb - t.b, t.q - t.pb, t.pk - t.k, t.n - t.pk, (t.n - t.pn2) / max(t.pk - t.k, 1))
-    host_rate = (F.col("hs") + F.lit(host_size * rate)) / (F.col("hn") + F.lit(host_size))
-    rated = paths.join(hosts.select("_h", "_hn", host_rate.alias("host_rate")), ["_h", "_hn"])
-    rated = rated.select("_h", "_hn", "_p", "_pn", "host_rate", ((F.col("s") + F.lit(path_size) * F.col("host_rate")) / (F.col("n") + F.lit(path_size))).alias("path_rate"))
+    sums = paths.join(hosts.select("_h", "_hn", "hs", "hn"), ["_h", "_hn"]).select("_h", "_hn", "_p", "_pn", F.col("s").alias("_s"), F.col("n").alias("_n"), F.col("hs").alias("_hs"), F.col("hn").alias("_hc"))
+    joined = rows.join(sums, ["_h", "_hn", "_p", "_pn"]).withColumn("_own", soft)
+    host_rate = (F.greatest(F.col("_hs") - F.col("_own"), F.lit(0.0)) + F.lit(host_size * rate)) / (F.col("_hc") - 1 + F.lit(host_size))
+    path_rate = (F.greatest(F.col("_s") - F.col("_own"), F.lit(0.0)) + F.lit(path_size) * F.col("host_rate")) / (F.col("_n") - 1 + F.lit(path_size))
     odds = F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
-    joined = rows.join(rated, ["_h", "_hn", "_p", "_pn"])
-    return joined.withColumn("posterior", 1 / (1 + F.exp(-odds))).drop("_h", "_hn", "_p", "_pn")
+    rated = joined.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate).withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    return rated.drop("_h", "_hn", "_p", "_pn", "_s", "_n", "_hs", "_hc", "_own")
 
 
 def evidence(docs: DataFrame, model: TextClassifier, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
