@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planisphere.llm.common import map_batches, parts
-from planisphere.llm.vectors import by_key, matrix, sample, unit, valid_vectors
+from planisphere.llm.vectors import by_key, matrix, near_one, sample, unit, valid_vectors
 from planisphere.session import cut
 
 SAMPLE_ROWS = 8192
@@ -152,6 +152,7 @@ class Partitions:
 def best(query: np.ndarray, query_id: np.ndarray, base: np.ndarray, base_id: np.ndarray, k: int):
     """(query id, id, cosine) of the ``k`` best per query; the cosine of a pair does not depend on its place in a block."""
     out = []
+    query, base = near_one(query), near_one(base)
     qn, bn = np.sqrt(np.einsum("ij,ij->i", query, query)), np.sqrt(np.einsum("ij,ij->i", base, base))
     scaled = (base / bn[:, None]).T
     step = 64

@@ -79,12 +79,14 @@ def range_links(classes: DataFrame, cosine: float = 0.95, cell_rows: int = CELL_
 
     def deal(batch):
         p = shared.value
+        square = np.einsum("ij,ij->i", p, p)
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             d = distances(unit(matrix(part.column(1))))
             n = len(d)
             home = np.argmin(d, axis=1)
-            between = gap[home] if gap is not None else np.sqrt(np.maximum(((p[home][:, None] - p[None]) ** 2).sum(-1), 1e-300))
+            # Of many pivots the gaps are not kept; from products they are a little inexact, so the border is drawn a little wider.
+            between = gap[home] if gap is not None else np.sqrt(np.maximum(square[home][:, None] + square[None] - 2 * (p[home] @ p.T), 0)) + 1e-6
             border = (d**2 - d[np.arange(n), home][:, None] ** 2) / (2 * between)
             visit = (border <= radius) & (d <= reach[None] + radius) & (np.arange(len(p))[None] < home[:, None])
             own = np.asarray(part.column(0)) * 0 + (np.asarray(part.column(0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[home]

@@ -16,8 +16,7 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """
     v = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("embedding"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    v = v.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", bad)).filter(squares > 0)
+    v = v.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", bad)).filter(F.exists("embedding", lambda x: x != 0))
     most = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return v.filter(F.size("embedding") == (most.d if most else 0))
 
@@ -30,7 +29,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def near_one(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest entry near one: no square is lost or overflows, no cosine changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) if len(x) else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = near_one(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] if len(x) else x
 
 
