@@ -198,6 +198,30 @@ def test_range_join_equals_all_pairs(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_tiny_and_huge_vectors_link(spark):
+    """Vectors whose squares vanish or overflow count by their direction; null ids, repeated rows and other columns do no harm."""
+    rows = [(1, [1e-200, 1e-200]), (2, [3e-200, 3e-200]), (3, [1e200, 1e200]), (4, [1e-200, -1e-200]), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (None, [1.0, 1.0]), (2, [3e-200, 3e-200])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").select("*", *[F.lit("clash").alias(c) for c in ("cell", "links", "root", "copies", "n_links", "component_id")])
+    got = {}
+    for r in near_vectors(df).collect():
+        got.setdefault(r.vec_id, set()).add((r.n_links, r.component_id, r.kept))
+    assert {k: {c for _, c, _ in v} for k, v in got.items() if k in (1, 2, 3, 4, 5, 6)} == {1: {1}, 2: {1}, 3: {1}, 4: {4}, 5: {5}, 6: {6}}
+    found = nearest(df, F.col("vec_id") == 3, k=2).collect()
+    assert [r.vec_id for r in found] == [1, 2] and all(abs(r.score - 1) < 1e-12 for r in found)
+    assert nearest(df.limit(0), F.col("vec_id") == 3, k=2).count() == 0
+
+
+def test_many_pivots_lose_no_link(spark):
+    """More than 512 pivots, small cells and cells split into chunks: the links of all pairs."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1400, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.9995) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r.n_links for r in near_vectors(df, cosine=0.9995, cell_rows=2).collect()}
+    assert [got[i] for i in range(len(x))] == links.sum(1).tolist()
+
+
 def test_range_join_empty(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), cosine=0.95).count() == 0
 
@@ -267,3 +291,20 @@ def test_pipeline_stages(spark, tmp_path):
         now = new
     assert now.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and now.count() > 50
     assert cp.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_pipeline_with_clashing_columns_and_empty(spark, tmp_path):
+    """Extra columns, whatever their names, come through all stages but the last; an empty table stays empty."""
+    import corpus_pipeline as cp
+
+    clash = ["target", "source_size", "_size", "taken", "row", "fp", "at", "host", "path", "evidence", "kept", "_row", "size"]
+    rows = [(i, f"plain words of document {i} and some more of them {i * i}", "en", f"s{i % 3}", 1) for i in range(60)] + [(None, None, None, None, None), (3, "", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").select("*", *[F.lit("clash").alias(c) for c in clash])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for now in (docs, docs.limit(0)):
+        for name, stage in cp.STAGES:
+            new = cp.cut(stage(spark, now, str(tmp_path)))
+            if name != "tokens":
+                assert new.columns == docs.columns and new.filter(" OR ".join(f"{c} <> 'clash'" for c in clash)).count() == 0
+            now = new

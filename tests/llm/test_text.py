@@ -3,12 +3,13 @@ import hashlib
 import itertools
 import os
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planisphere.llm import bpe, html, quality, toxicity, wordpiece
+from planisphere.llm import bpe, html, mixing, quality, toxicity, wordpiece
 from planisphere.llm.queries import QUERIES, tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -116,6 +117,34 @@ def test_html_layout():
     assert html.render("<details><summary>s</summary>no</details><select><option>1<option selected>2</select>") == "s\n2"
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<style>@media print{.x{display:none}}</style><p class=x>hi", "hi"),
+    ("<style>@media screen and (min-width:9px){.x{display:none}}</style><p class=x>hi</p>ok", "ok"),
+    ("<style media=print>p{display:none}</style><p>hi", "hi"),
+    ("<style>.x{display:none}.x{display:block}</style><p class=x>hi", "hi"),
+    ("<style>#a.x{display:block}.x{display:none}p{display:block}</style><p class=x id=a>hi</p><p class=x>no", "hi"),
+    ("<style>/* p{display:none} */ @import url(x); .h{color:red}.h{visibility:collapse}</style><p class=h>gone<p>here", "here"),
+    ("<style>.h{display:none}</style><p class=h style='display:block'>hi", "hi"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b><hr><input value=v></div>", "yes"),
+    ("<div style='display:none'>no<b style='visibility:visible;display:block'>no</b></div>yes", "yes"),
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>", "A  B\n   C\nD  E"),
+    ("<table><tr><td>a<td rowspan=0>s<td>b<tr><td>c<td>d<tr><td>e</table>", "a  s  b\nc     d\ne"),
+    ("<table><tr><td colspan=2 rowspan=2>big<td>x<tr><td>y<tr><td>p<td>q<td>r</table>", "big     x\n        y\np    q  r"),
+    ("<table><tr><td colspan=400>w<td>z<tr><td>a</table>", "w  z\na"),
+    ("a <b title='x>y'>z</b> <i", "a z <i"), ("x <!-- un", "x"), ("1 < 2 <3> 4", "1 < 2 <3> 4"),
+])
+def test_html_shows_what_a_browser_shows(page, text):
+    assert html.render(page) == text
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<a '" * 200_000 + ">", "<style>" + "a" * 1_000_000, "<style>" + "a{" * 300_000, "<" * 500_000, "<!--" * 200_000,
+                                  "<table>" + "<tr><td rowspan=0 colspan=1000>x" * 3000, "<a '" * 100_000 + "' >" * 100_000])
+def test_html_work_grows_with_the_page(page):
+    begun = time.process_time()
+    html.render(page)
+    assert time.process_time() - begun < 2
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (None, "<b>x", "t"), (2, "<p>" + "long " * 50_000, "t")], "page_id bigint, html string, text string")
     assert sorted((r.page_id or 0, -1 if r.text is None else len(r.text)) for r in html.visible_text(df).collect()) == [(0, 1), (1, -1), (2, 0), (2, 249_999)]
@@ -186,14 +215,33 @@ def test_quality_posterior_by_hand(spark):
     a_host = strength(b - soft.sum() ** 2 / n, q - b, len(hosts) - 1, n - len(hosts), (n - sum(len(v) ** 2 for v in hosts.values()) / n) / (len(hosts) - 1))
     pn2 = sum(len(v) ** 2 / len(hosts[k[0]]) for k, v in paths.items())
     a_path = strength(pb - b, q - pb, len(paths) - len(hosts), n - len(paths), (n - pn2) / (len(paths) - len(hosts)))
-    for r in rows:
+    for r, own in zip(rows, soft):
         host, path = hosts[r[1]], paths[(r[1], r[2])]
-        top = (host.sum() + a_host * rate) / (len(host) + a_host)
-        low = (path.sum() + a_path * top) / (len(path) + a_path)
+        top = (host.sum() - own + a_host * rate) / (len(host) - 1 + a_host)  # the others of the host and of the path
+        low = (path.sum() - own + a_path * top) / (len(path) - 1 + a_path)
         assert np.isclose(got[r[0]].host_rate, top) and np.isclose(got[r[0]].path_rate, low)
         assert np.isclose(got[r[0]].posterior, 1 / (1 + np.exp(-(r[3] + np.log(low / (1 - low))))))
 
 
+def test_quality_of_thousands_of_single_documents(spark):
+    """A host with one document says nothing about it: all such get the rate of the table, whatever their evidence."""
+    rng = np.random.default_rng(3)
+    rows = [(i, f"h{i}", "p", float(rng.normal(0, 3))) for i in range(3000)] + [(9000 + i, "big", "p", float(rng.normal(4, 1))) for i in range(60)]
+    got = quality.posterior(spark.createDataFrame(rows, "doc_id bigint, host string, path string, evidence double")).collect()
+    alone = np.array([r.path_rate for r in got if r.doc_id < 9000])
+    assert np.ptp(alone) < 1e-9 and min(r.path_rate for r in got if r.doc_id >= 9000) > alone[0] + 0.1
+    repeated = spark.createDataFrame(rows[:5] * 3, "doc_id bigint, host string, path string, evidence double")
+    assert quality.posterior(repeated).count() == 15
+
+
+def test_quality_fit_is_the_same_each_time(judged_docs):
+    docs, labels = judged_docs
+    twice = docs.unionByName(docs).repartition(7)
+    a, b = quality.fit(twice, labels), quality.fit(twice.repartition(3), labels)
+    x = np.array([quality.features(t) for t in ("some text", "other words here", "")])
+    assert (a.evidence(x) == b.evidence(x)).all()
+
+
 def test_quality_empty(judged_docs):
     docs, labels = judged_docs
     model = quality.fit(docs.limit(0), labels.limit(0))
@@ -273,3 +321,26 @@ def test_toxicity_query_columns(spark):
     df = QUERIES["op7_toxicity"](spark, SF)
     assert df.columns == ["doc_id", "held_out", "score", "predicted"]
     assert df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+CLASH = ("target", "source_size", "_size", "taken", "repetitions", "_draw", "_source", "_row", "_text", "_copy", "size")
+
+
+def test_mixing_defined_cases(spark):
+    """Nulls, ties, repeated rows and clashing names: every document comes whole times, near its source's target."""
+    rows = [(i, " ".join(["w"] * (i % 7)), "big" if i % 3 else "small") for i in range(200)] + [(5, "w w w", "big")] * 4 + [(None, "a b", None), (7, None, None), (8, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").select("*", *[F.lit("clash").alias(c) for c in CLASH])
+    planned = {(r.doc_id, r.size, r.source): r for r in mixing.mix(docs).collect()}
+    copies = mixing.take(docs)
+    assert copies.columns == docs.columns and copies.filter(" OR ".join(f"{c} <> 'clash'" for c in CLASH)).count() == 0
+    words, totals, targets = {}, {}, {}
+    for r in copies.collect():
+        words[r.source] = words.get(r.source, 0) + len((r.text or "").split())
+    for r in planned.values():
+        targets[r.source], totals[r.source] = r.target, r.source_size
+        assert r.taken in (0, r.size, 2 * r.size)
+    assert sum(totals.values()) == sum(len((t or "").split()) for _, t, _ in rows) and set(totals) == {"big", "small", "empty", None}
+    for source, target in targets.items():
+        assert abs(words.get(source, 0) - target) <= 20 and target <= 2 * totals[source] + 1e-9
+    assert sorted(map(str, mixing.take(docs.repartition(5)).collect())) == sorted(map(str, copies.collect()))
+    assert mixing.take(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
