@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from planisphere.functions.seeded import normal_matrix, u01_value
 from planisphere.functions.vectors import as_xy, map_matrix, to_matrix, vector_dim
 from planisphere.operators.moments import Moments, minmax_shift, moments, sum_arrays
+from planisphere.operators.tall import count_and_mean, range_svd
 from planisphere.registry import method
 
 WIDE = 4096
@@ -54,36 +55,39 @@ def top_eigen(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return values[order], fix_signs(vectors[:, order].T)
 
 
-def fit_pca(df: DataFrame, k: int = 2, stats: Moments | None = None, seed: int = 42) -> LinearMap:
-    """Principal axes from the covariance; a random range finder where d x d is too large."""
-    if stats is None and vector_dim(df.limit(1)) > WIDE:
-        return fit_pca_wide(df, k, seed=seed)
-    m = stats or moments(df)
-    values, axes = top_eigen(m.covariance(), k)
-    return LinearMap(m.mean, axes, values)
-
-
-def fit_pca_wide(df: DataFrame, k: int = 2, oversample: int = 10, passes: int = 3, seed: int = 42) -> LinearMap:
-    """Principal axes with d x l memory: subspace passes over the rows, then moments in the subspace."""
-    d = vector_dim(df.limit(1))
-    vec = df.select("embedding")
-    n, total = sum_arrays(vec, lambda b: [np.array(float(b.num_rows)), to_matrix(b.column(0)).sum(axis=0)])
-    mean = total / n
-    basis = np.linalg.qr(normal_matrix(seed, d, min(k + oversample, d)))[0]
-    for _ in range(passes):
-        def image(batch, basis=basis):
-            x = to_matrix(batch.column(0)) - mean
-            return [x.T @ (x @ basis)]
+def solver_of(df: DataFrame, solver: str) -> str:
+    """``exact`` needs d x d memory, ``tsqr`` d x l; ``auto`` is exact up to ``WIDE`` dimensions."""
+    if solver not in ("auto", "exact", "tsqr"):
+        raise ValueError(f"unknown solver {solver!r}; known: auto, exact, tsqr")
+    if solver == "auto":
+        return "tsqr" if vector_dim(df.limit(1)) > WIDE else "exact"
+    return solver
+
+
+def principal(df: DataFrame, k: int, solver: str = "auto", centred: bool = True, ddof: int = 1, seed: int = 42) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, mean, and the k largest eigenvalues and axes of the covariance, or uncentred of the sum of outer products."""
+    if solver_of(df, solver) == "exact":
+        m = moments(df)
+        values, axes = top_eigen(m.covariance(ddof) if centred else m.gram, k)
+        return m.n, m.mean if centred else np.zeros(m.dim), values, axes
+    n, mean = count_and_mean(df)
+    mean = mean if centred else np.zeros(len(mean))
+    values, axes = range_svd(df, k, mean, seed=seed)
+    return n, mean, values**2 / (max(n - ddof, 1) if centred else 1), fix_signs(axes)
+
 
-        basis = np.linalg.qr(sum_arrays(vec, image)[0])[0]
-    inner = moments(map_matrix(vec, "embedding", lambda x: (x - mean) @ basis, out="embedding"))
-    values, axes = top_eigen(inner.covariance(), k)
-    return LinearMap(mean, fix_signs(axes @ basis.T), values)
+def fit_pca(df: DataFrame, k: int = 2, stats: Moments | None = None, seed: int = 42, solver: str = "auto") -> LinearMap:
+    """Principal axes from the covariance, or from a range finder where d x d is too large."""
+    if stats is not None:
+        values, axes = top_eigen(stats.covariance(), k)
+        return LinearMap(stats.mean, axes, values)
+    _, mean, values, axes = principal(df, k, solver, seed=seed)
+    return LinearMap(mean, axes, values)
 
 
 @method("pca")
 def pca(df: DataFrame, params: dict) -> DataFrame:
-    return place(df, fit_pca(df, params["n_components"]).apply)
+    return place(df, fit_pca(df, params["n_components"], seed=params["random_state"], solver=params["solver"]).apply)
 
 
 @method("ipca")
@@ -93,15 +97,14 @@ def ipca(df: DataFrame, params: dict) -> DataFrame:
     return place(df, fit_pca(df, params["n_components"], stats=m).apply)
 
 
-def fit_svd(df: DataFrame, k: int = 2) -> LinearMap:
-    m = moments(df)
-    values, axes = top_eigen(m.gram, k)
-    return LinearMap(np.zeros(m.dim), axes, np.sqrt(np.maximum(values, 0.0)))
+def fit_svd(df: DataFrame, k: int = 2, solver: str = "auto", seed: int = 42) -> LinearMap:
+    _, origin, values, axes = principal(df, k, solver, centred=False, seed=seed)
+    return LinearMap(origin, axes, np.sqrt(np.maximum(values, 0.0)))
 
 
 @method("svd")
 def svd(df: DataFrame, params: dict) -> DataFrame:
-    return place(df, fit_svd(df, params["n_components"]).apply)
+    return place(df, fit_svd(df, params["n_components"], params["solver"], params["random_state"]).apply)
 
 
 # --- factor analysis
@@ -119,13 +122,35 @@ class Factors:
         return (x - self.mean) @ scaled @ inner
 
 
-def fit_fa(df: DataFrame, k: int = 2, max_iter: int = 1000, tol: float = 1e-8) -> Factors:
-    """EM for x = mean + W z + noise with a diagonal noise covariance; the covariance is all it needs."""
-    m = moments(df)
-    s = m.covariance(ddof=0)
-    d = m.dim
-    values, axes = top_eigen(s, k)
-    noise = np.maximum(np.diag(s), 1e-12)
+def fit_fa(df: DataFrame, k: int = 2, max_iter: int = 1000, tol: float = 1e-8, solver: str = "auto") -> Factors:
+    """EM for x = mean + W z + noise with a diagonal noise covariance.
+
+    It needs the diagonal of the covariance and its product with d x k matrices: from the covariance itself, or, where
+    that is too large, from one pass over the rows per round.
+    """
+    exact = solver_of(df, solver) == "exact"
+    if exact:
+        m = moments(df)
+        n, mean, s = m.n, m.mean, m.covariance(ddof=0)
+        diagonal = np.diag(s)
+        values, axes = top_eigen(s, k)
+    else:
+        n, mean, values, axes = principal(df, k, "tsqr", ddof=0)
+        diagonal = sum_arrays(df.select("embedding"), lambda b: [((to_matrix(b.column(0)) - mean) ** 2).sum(axis=0)])[0] / n
+
+    def times(a):
+        """The covariance times a d x k matrix."""
+        if exact:
+            return s @ a
+
+        def part(batch):
+            x = to_matrix(batch.column(0)) - mean
+            return [x.T @ (x @ a)]
+
+        return sum_arrays(df.select("embedding"), part)[0] / n
+
+    d = len(mean)
+    noise = np.maximum(diagonal, 1e-12)
     w = (axes * np.sqrt(np.maximum(values, 1e-12))[:, None]).T
     history: list[float] = []
     for _ in range(max_iter):
@@ -134,32 +159,32 @@ def fit_fa(df: DataFrame, k: int = 2, max_iter: int = 1000, tol: float = 1e-8) -
         core = np.eye(k) + w.T @ scaled
         beta = np.linalg.solve(core, scaled.T)
         logdet = np.log(noise).sum() + np.linalg.slogdet(core)[1]
-        fit = (np.diag(s) / noise).sum() - np.trace(beta @ s @ scaled)
-        history.append(-0.5 * m.n * (d * math.log(2 * math.pi) + logdet + fit))
+        image = times(scaled)  # beta is the inverse of the core times scaled', so one product serves both
+        fit = (diagonal / noise).sum() - np.trace(beta @ image)
+        history.append(-0.5 * n * (d * math.log(2 * math.pi) + logdet + fit))
         if len(history) > 1 and abs(history[-1] - history[-2]) < tol * abs(history[-2]):
             break
-        sb = s @ beta.T
+        sb = image @ np.linalg.inv(core)
         w = sb @ np.linalg.inv(np.eye(k) - beta @ w + beta @ sb)
-        noise = np.maximum(np.diag(s) - np.einsum("ij,ij->i", w, sb), 1e-12)
-    return Factors(m.mean, fix_signs(w.T).T, noise, history)
+        noise = np.maximum(diagonal - np.einsum("ij,ij->i", w, sb), 1e-12)
+    return Factors(mean, fix_signs(w.T).T, noise, history)
 
 
 @method("fa")
 def fa(df: DataFrame, params: dict) -> DataFrame:
-    return place(df, fit_fa(df, params["n_components"]).apply)
+    return place(df, fit_fa(df, params["n_components"], solver=params["solver"]).apply)
 
 
 # --- independent components
 
-def fit_ica(df: DataFrame, k: int = 2, max_iter: int = 500, tol: float = 1e-4, seed: int = 42) -> LinearMap:
+def fit_ica(df: DataFrame, k: int = 2, max_iter: int = 500, tol: float = 1e-4, seed: int = 42, solver: str = "auto") -> LinearMap:
     """Symmetric fixed-point iteration with the logcosh contrast on whitened rows.
 
     The whitened table has k numbers per row and is kept; each round is one
     aggregate of k * (k + 1) expressions over it.
     """
-    m = moments(df)
-    values, axes = top_eigen(m.covariance(ddof=0), k)
-    white = LinearMap(m.mean, axes / np.sqrt(np.maximum(values, 1e-12))[:, None], values)
+    _, mean, values, axes = principal(df, k, solver, ddof=0, seed=seed)
+    white = LinearMap(mean, axes / np.sqrt(np.maximum(values, 1e-12))[:, None], values)
     z = map_matrix(df.select("embedding"), "embedding", white.apply, out="z").select(
         *[F.col("z")[i].alias(f"z{i}") for i in range(k)]).persist()
 
@@ -184,12 +209,12 @@ def fit_ica(df: DataFrame, k: int = 2, max_iter: int = 500, tol: float = 1e-4, s
                 break
     finally:
         z.unpersist()
-    return LinearMap(m.mean, w @ white.loadings, values)
+    return LinearMap(mean, w @ white.loadings, values)
 
 
 @method("ica")
 def ica(df: DataFrame, params: dict) -> DataFrame:
-    model = fit_ica(df, params["n_components"], params["max_iter"], seed=params["random_state"])
+    model = fit_ica(df, params["n_components"], params["max_iter"], seed=params["random_state"], solver=params["solver"])
     return place(df, model.apply)
 
 

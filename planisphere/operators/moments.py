@@ -127,13 +127,18 @@ def moments(df: DataFrame, vec: str = "embedding", batch_rows: int | None = None
 
 
 def sum_arrays(df: DataFrame, fn: Callable[[pa.RecordBatch], list[np.ndarray]]) -> list[np.ndarray]:
-    """Element-wise sum, over all batches of ``df``, of arrays whose size depends on parameters only.
+    """Element-wise sum, over all batches of ``df``, of arrays whose size depends on parameters only."""
+    return fold_arrays(df, fn, lambda a, b: [x + y for x, y in zip(a, b, strict=True)])
+
+
+def fold_arrays(df: DataFrame, fn: Callable[[pa.RecordBatch], list[np.ndarray]], both: Callable) -> list[np.ndarray]:
+    """``both``, an associative function of two lists of arrays, over what ``fn`` makes of all batches.
 
     Every task sends one partial, at most ``_SALTS`` merged partials reach the driver.
     """
 
     def add(total, new):
-        return new if total is None else [a + b for a, b in zip(total, new, strict=True)]
+        return new if total is None else both(total, new)
 
     def row(arrays, salt):
         shapes = [list(a.shape) for a in arrays]

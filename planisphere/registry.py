@@ -68,6 +68,7 @@ SCHEMAS = {
 
 # Options that are no catalogue columns: work limits, landmark counts and neighbour backends.
 OPTIONS = {
+    **dict.fromkeys(("pca", "svd", "fa", "ica"), "solver:string=auto"),
     "dictlearn": "alpha:double=1.0",
     "kpca": "landmarks:int=1024",
     "isomap": "landmarks:int=100 backend:string=exact on_disconnected:string=join random_state:int=42",

@@ -33,7 +33,7 @@ def test_pca_and_its_relatives(table):
     df = table(X)
     np.testing.assert_allclose(np.abs(xy(run_method(df, "pca"))), want, atol=1e-8)
     np.testing.assert_allclose(xy(run_method(df, "ipca", batch_size=7)), xy(run_method(df, "pca")), atol=1e-9)
-    np.testing.assert_allclose(xy(L.place(df, L.fit_pca_wide(df, 2, passes=12).apply)), xy(run_method(df, "pca")), atol=1e-5)
+    np.testing.assert_allclose(xy(L.place(df, L.fit_pca(df, 2, solver="tsqr").apply)), xy(run_method(df, "pca")), atol=1e-5)
     np.testing.assert_allclose(np.abs(xy(run_method(df, "kpca", kernel="linear"))), want, atol=1e-6)
     u, s, vt = np.linalg.svd(X, full_matrices=False)
     np.testing.assert_allclose(np.abs(xy(run_method(df, "svd"))), np.abs(X @ vt[:2].T), atol=1e-8)
@@ -122,3 +122,41 @@ def test_guards(table, spark):
         run_method(table(X), "tsimcne")
     with pytest.raises(ValueError):
         run_method(table(X), "pca", colour="red")
+
+
+def decaying(n, d, seed=3):
+    rng = np.random.default_rng(seed)
+    left, right = np.linalg.qr(rng.normal(size=(n, 20)))[0], np.linalg.qr(rng.normal(size=(d, 20)))[0]
+    return (left * (50 * 0.7 ** np.arange(20))) @ right.T + rng.normal(size=(n, d)) * 1e-3 + rng.normal(size=d)
+
+
+@pytest.mark.parametrize("name", ["pca", "svd", "fa", "ica"])
+def test_narrow_solver_equals_exact(table, name):
+    """The tree of factorisations finds at 512 dimensions what the full moments give."""
+    df = table(decaying(300, 512)).persist()
+    maps = [in_order(run_method(df, name, solver=s), "x", "y") for s in ("exact", "tsqr")]
+    signs = np.sign((maps[0] * maps[1]).sum(0))
+    np.testing.assert_allclose(maps[1] * signs, maps[0], atol=1e-5 * np.abs(maps[0]).max())
+    with pytest.raises(ValueError, match="unknown solver"):
+        run_method(df, name, solver="fast")
+
+
+def test_wide_vectors(table):
+    """8192 dimensions, where a square matrix of the dimension is never made; fewer rows than basis vectors."""
+    x = decaying(60, 8192)
+    df = table(x).persist()
+    model = L.fit_pca(df, 2)
+    s = np.linalg.svd(x - x.mean(0), compute_uv=False)
+    np.testing.assert_allclose(model.values, s[:2] ** 2 / 59, rtol=1e-8)
+    few = L.fit_svd(table(x[:5]), 2, solver="tsqr")
+    np.testing.assert_allclose(few.values, np.linalg.svd(x[:5], compute_uv=False)[:2], rtol=1e-8)
+
+
+def test_triangle_of_a_tree():
+    from planisphere.operators.tall import qr_and_sum, triangle
+
+    x = np.random.default_rng(0).normal(size=(40, 6))
+    parts = [[triangle(p), p.T @ p] for p in (x[:3], x[3:20], x[20:])]
+    r, total = qr_and_sum(qr_and_sum(parts[0], parts[1]), parts[2])
+    np.testing.assert_allclose(r.T @ r, x.T @ x)
+    np.testing.assert_allclose(total, x.T @ x)
