@@ -58,15 +58,69 @@ def smacof(delta: np.ndarray, start: np.ndarray, max_iter: int = 300, eps: float
     return y, history
 
 
+def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The rising sequence closest to ``values``: neighbours that fall are pooled to their mean until none does.
+
+    All falling stretches are pooled at once; in which order pooling happens does not change the result.
+    """
+    mean, weight, size = values.astype(float), weights.astype(float), np.ones(len(values), int)
+    while len(mean) > 1:
+        falls = mean[1:] < mean[:-1]
+        if not falls.any():
+            break
+        first = np.flatnonzero(np.concatenate(([True], ~falls)))
+        total = np.add.reduceat(weight, first)
+        mean, weight, size = np.add.reduceat(mean * weight, first) / total, total, np.add.reduceat(size, first)
+    return np.repeat(mean, size)
+
+
+def rank_fit(delta: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different dissimilarities in rising order, and the distances that rise with them closest to ``d``; equal ones stay equal."""
+    i, j = np.triu_indices(len(delta), 1)
+    known, of = np.unique(delta[i, j], return_inverse=True)
+    count = np.bincount(of)
+    return known, isotonic(np.bincount(of, d[i, j]) / count, count)
+
+
+def rank_smacof(delta: np.ndarray, start: np.ndarray, max_iter: int = 300, eps: float = 1e-3) -> tuple[np.ndarray, list[float], tuple[np.ndarray, np.ndarray]]:
+    """Majorisation where only the order of the dissimilarities counts; stress relative to the distances.
+
+    In every round the distances that rise with the dissimilarities take their place, at a fixed sum of squares.
+    Returns the positions, the stress of every round, and the final rising curve.
+    """
+    n = len(delta)
+    y = start * np.sqrt(n * (n - 1) / 2 / max((gaps(start, start) ** 2).sum() / 2, 1e-300))
+    history: list[float] = []
+    for _ in range(max_iter + 1):
+        d = gaps(y, y)
+        curve = rank_fit(delta, d)
+        wanted = np.interp(delta, *curve)
+        np.fill_diagonal(wanted, 0.0)
+        scale = np.sqrt((d**2).sum() / max((wanted**2).sum(), 1e-300))
+        curve, wanted = (curve[0], curve[1] * scale), wanted * scale
+        history.append(float(((d - wanted) ** 2).sum() / max((d**2).sum(), 1e-300)))
+        if len(history) > max_iter or len(history) > 1 and history[-2] - history[-1] <= eps * max(history[-2], 1e-300) / 100:
+            break
+        ratio = np.where(d > 1e-12, wanted / np.where(d > 1e-12, d, 1.0), 0.0)
+        b = -ratio
+        b[np.arange(n), np.arange(n)] += ratio.sum(axis=1)
+        y = b @ y / n
+    return y, history, curve
+
+
 def random_start(n: int, k: int, seed) -> np.ndarray:
     return np.array([[normal_value(seed, i, c) for c in range(k)] for i in range(n)])
 
 
-def rows_by_majorisation(marks: np.ndarray, y: np.ndarray, first: Callable, max_iter: int, eps: float, weights: bool = False) -> Callable:
-    """Every row placed against fixed landmarks: y_i <- weighted mean of y_l + delta_il (y_i - y_l) / d_il."""
+def rows_by_majorisation(marks: np.ndarray, y: np.ndarray, first: Callable, max_iter: int, eps: float, weights: bool = False, curve=None) -> Callable:
+    """Every row placed against fixed landmarks: y_i <- weighted mean of y_l + delta_il (y_i - y_l) / d_il.
+
+    ``curve`` takes distances of vectors to the distances that the map should have.
+    """
 
     def chunk(x: np.ndarray) -> np.ndarray:
         delta = gaps(x, marks)
+        delta = delta if curve is None else np.interp(delta, *curve)
         at = first(delta * delta)
         w = np.where(delta > 1e-12, 1.0 / np.maximum(delta, 1e-12), 0.0) if weights else np.ones_like(delta)
         w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
@@ -92,7 +146,7 @@ def rows_by_majorisation(marks: np.ndarray, y: np.ndarray, first: Callable, max_
 
 
 def fit_mds(df: DataFrame, params: dict) -> tuple[Callable, list[float]]:
-    """Row map and the stress history of the chosen start."""
+    """Row map and the stress history of the chosen start; without ``metric`` only the order of the distances counts."""
     k, seed = params["n_components"], params["random_state"]
     marks = landmark_matrix(df, params["landmarks"], seed)
     delta = gaps(marks, marks)
@@ -101,10 +155,17 @@ def fit_mds(df: DataFrame, params: dict) -> tuple[Callable, list[float]]:
     best = None
     for start in range(params["n_init"]):
         y0 = classical if start == 0 else random_start(len(marks), k, f"{seed}:{start}") * spread
-        y, history = smacof(delta, y0, params["max_iter"], params["eps"])
+        if params.get("metric", True):
+            y, history, curve = *smacof(delta, y0, params["max_iter"], params["eps"]), None
+        else:
+            y, history, curve = rank_smacof(delta, y0, params["max_iter"], params["eps"])
         if best is None or history[-1] < best[1][-1]:
-            best = (y, history, start)
-    y, history, _ = best
+            best = (y, history, curve)
+    y, history, curve = best
+    if curve is not None:
+        delta = np.interp(delta, *curve)
+        np.fill_diagonal(delta, 0.0)
+        _, tri = classical_mds(delta**2, k)
     y = y - y.mean(axis=0)
     turn = fix_signs(np.linalg.svd(y, full_matrices=False)[2])
     y = y @ turn.T
@@ -115,7 +176,7 @@ def fit_mds(df: DataFrame, params: dict) -> tuple[Callable, list[float]]:
     def first(d2):
         return np.hstack([tri(d2), np.ones((len(d2), 1))]) @ affine
 
-    return rows_by_majorisation(marks, y, first, params["max_iter"], params["eps"]), history
+    return rows_by_majorisation(marks, y, first, params["max_iter"], params["eps"], curve=curve), history
 
 
 @method("mds")

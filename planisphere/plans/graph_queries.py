@@ -144,6 +144,15 @@ def q_mds(spark, sf):
     return cert(place(v, run), n=F.count(F.lit(1)), finite=finite(), falling=F.lit(_falling(history)))
 
 
+@query("mds_nonmetric", f"{COUNT}, true AS falling, true AS related FROM embeddings")
+def q_mds_ranks(spark, sf):
+    """Only the order of the distances counts: the stress of the ranks falls, and the map has to do with the vectors."""
+    v = vectors(spark, sf)
+    run, history = S.fit_mds(v, typed_params("mds", {"metric": False, "landmarks": 200, "n_init": 1}))
+    made = cut(place(v, run))
+    return cert(made, n=F.count(F.lit(1)), finite=finite(), falling=F.lit(_falling(history)), related=related(made, v))
+
+
 @query("sammon_random", f"{COUNT}, true AS falling FROM embeddings")
 def q_sammon(spark, sf):
     v = vectors(spark, sf)

@@ -11,6 +11,7 @@ from planisphere.functions.vectors import distance
 from planisphere.methods import linear as L
 from planisphere.operators import moments as M
 from planisphere.operators.prepare import preprocess_pca
+from planisphere.operators.tall import count_and_mean, range_svd
 from planisphere.plans.base import query, r6, related, table, vectors
 from planisphere.registry import run_method
 
@@ -159,6 +160,15 @@ def q_ipca(spark, sf):
     return placed(run_method(vectors(spark, sf), "ipca"))
 
 
+@query("pca_tsqr", PCA_SQL)
+def q_pca_tree(spark, sf):
+    """The same axes from a tree of QR factorisations, with a basis of all dimensions."""
+    v = vectors(spark, sf)
+    _, mean = count_and_mean(v)
+    _, axes = range_svd(v, 2, mean, oversample=62)
+    return placed(L.place(v, L.LinearMap(mean, L.fix_signs(axes)).apply))
+
+
 @query("svd", SVD_SQL)
 def q_svd(spark, sf):
     return placed(run_method(vectors(spark, sf), "svd"))

@@ -75,7 +75,7 @@ OPTIONS = {
     "lle": "reg:double=1e-3 backend:string=exact max_iter:int=60 tol:double=1e-4",
     "spectral": "backend:string=exact max_iter:int=60 tol:double=1e-4 on_disconnected:string=join",
     "glle": "reg:double=1e-3 backend:string=exact max_iter:int=60 tol:double=1e-4 random_state:int=42",
-    "mds": "landmarks:int=500 n_init:int=4 max_iter:int=300 eps:double=1e-3",
+    "mds": "landmarks:int=500 n_init:int=4 max_iter:int=300 eps:double=1e-3 metric:boolean=true",
     "sammon_random": "landmarks:int=500",
     "clmds": "landmarks:int=200 anchors:int=6 candidates:int=256",
     "phate": "landmarks:int=100 backend:string=exact",

@@ -143,3 +143,63 @@ def test_rows_beyond_the_landmarks(table, blobs):
 def test_cluster_scaling_keeps_all_rows(table, blobs):
     y = in_order(run_method(table(*blobs), "clmds", n_clusters=3, landmarks=30, candidates=20), "x", "y")
     assert y.shape == (120, 2) and np.isfinite(y).all()
+
+
+def pooled(values, weights):
+    """Pool adjacent violators, one at a time."""
+    blocks = []
+    for v, w in zip(values, weights):
+        blocks.append([v, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            v2, w2, n2 = blocks.pop()
+            v1, w1, n1 = blocks.pop()
+            blocks.append([(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
+    return [b[0] for b in blocks for _ in range(b[2])]
+
+
+def test_rising_fit_equals_one_by_one():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 400):
+        for values in (rng.normal(size=n), np.arange(n)[::-1].astype(float), rng.integers(0, 3, n).astype(float) + np.arange(n) / 50):
+            w = rng.uniform(0.5, 2, n)
+            np.testing.assert_allclose(S.isotonic(values, w), pooled(values, w))
+
+
+def test_scaling_by_ranks(table, blobs):
+    """A bent scale of distances does not change the map of ranks; rows beyond the landmarks follow the curve."""
+    y = np.random.default_rng(5).normal(size=(40, 2))
+    delta = S.gaps(y, y)
+    start = S.random_start(40, 2, 7)
+    bent, history, _ = S.rank_smacof(np.expm1(delta), y + 0.1 * start, 300, 1e-6)
+    straight, _, _ = S.rank_smacof(delta, y + 0.1 * start, 300, 1e-6)
+    np.testing.assert_allclose(bent, straight, atol=1e-6)
+    assert history[-1] < 1e-3 and all(b <= a + 1e-9 for a, b in zip(history, history[1:]))
+    assert np.corrcoef(S.gaps(bent, bent).ravel(), delta.ravel())[0, 1] > 0.99
+    x, labels = blobs
+    made = in_order(run_method(table(x), "mds", metric=False, landmarks=30, n_init=2), "x", "y")
+    centres = np.array([made[labels == c].mean(0) for c in range(3)])
+    assert np.isfinite(made).all() and (np.argmin(S.gaps(made, centres), axis=1) == labels).mean() > 0.95
+
+
+def test_certificates_fail_for_shuffled_maps(table, blobs):
+    """What queries call related is a map of the right rows; the same places for shuffled rows are not."""
+    from planisphere.operators.knn import knn_exact
+    from planisphere.operators.quality import distance_agreement
+    from planisphere.plans.graph_queries import _low_energy
+
+    x = np.random.default_rng(2).normal(size=(300, 12))
+    rows = table(x).persist()
+    near = knn_exact(rows, 5).select("src", "dst").persist()
+    spark = rows.sparkSession
+
+    def coords(order, y):
+        return spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(order, y)], "item_id bigint, x double, y double")
+
+    right = distance_agreement(coords(range(300), x[:, :2]), rows, near=near).first()
+    wrong = distance_agreement(coords(np.random.default_rng(1).permutation(300), x[:, :2]), rows, near=near).first()
+    assert right["agreement"] > 0.2 and right["closeness"] < 0.9
+    assert abs(wrong["agreement"]) < 0.05 and wrong["closeness"] > 0.97
+    assert distance_agreement(coords(range(300), np.zeros((300, 2))), rows).first()["agreement"] == 0
+    made, weights = G.fit_lle(rows, typed_params("lle", {"max_iter": 10}))
+    noise = made.withColumn("x", F.randn(1)).withColumn("y", F.randn(2))
+    assert str(_low_energy(weights, made)) != str(_low_energy(weights, noise.persist()))
