@@ -38,9 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planisphere.llm.common import map_batches, slices
+from planisphere.session import cut
 
-#: Bounds of the training sample: rows of each label, and the longest text that may be drawn into it.
+#: Bounds of the training sample: rows of each label, and characters of the longest text drawn into it.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 16_000
+#: Letters told apart by the kernel, the commonest of the sample; all others are one more.
+LETTERS = 123
 WINDOW, STEP = 20, 10
 CACHE_WORDS = 400_000
 EDGE = ".,;:!?\"'()[]{}<>|*-_#$%&/\\~`^+="
@@ -220,7 +223,7 @@ class ToxicModel:
         rng = np.random.default_rng(seed)
         self.found = found
         common = Counter(c for s in good + bad for w in s for c in w if c.isalpha())
-        self.kernel = SubsequenceKernel(FIRST + LAST + "".join(sorted(c for c, _ in common.most_common(42))))
+        self.kernel = SubsequenceKernel(FIRST + LAST + "".join(sorted(c for c, _ in common.most_common(LETTERS))))
         positives = [w for f in found for w in [f] * 3 + disturbed(f, rng)]
         outside = Counter(w for s in good for w in s)
         usual = sorted(w for w in outside if len(w) >= 4)
@@ -297,18 +300,24 @@ class ToxicModel:
 _CACHES: dict[str, dict] = {}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, seed: int = 42) -> ToxicModel:
-    """Model of at most ``sample_rows`` rows of each label, drawn by a seeded hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, seed: int = 42) -> ToxicModel:
+    """Model of a bounded sample: in the order of a seeded hash of the id, ``sample_rows`` rows of each label.
+
+    Drawn are texts of at most ``sample_chars`` characters, as a label of a long text says little about any of its words; texts of
+    every length are scored whole. Of repeated ids the longest text counts, of equally long ones the last.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter(F.length("_text").between(1, SAMPLE_CHARS))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    fits = rows.select("_id", F.length("_text").alias("_n")).filter(F.col("_n").between(1, sample_chars)).join(known, "_id").groupBy("_id", "_y").agg(F.max("_n").alias("_n"))
     order = [F.xxhash64(F.lit(seed), "_id"), "_id"]
+    fits = cut(fits)
     texts, y = [], []
     for label in (0, 1):
-        # twice the rows, as some are too long for the sample
-        ids = known.filter(F.col("_y") == label).orderBy(*order).limit(2 * sample_rows).select("_id")
-        some = rows.join(F.broadcast(ids), "_id").dropDuplicates(["_id"]).orderBy(*order).limit(sample_rows).select("_text").collect()
-        texts += [r["_text"] for r in some]
-        y += [label] * len(some)
+        ids = fits.filter(F.col("_y") == label).orderBy(*order).limit(sample_rows).select("_id", "_n")
+        some = rows.join(F.broadcast(ids), "_id").filter(F.length("_text") == F.col("_n")).groupBy("_id").agg(F.max("_text").alias("_text"))
+        got = some.orderBy(*order).collect()
+        texts += [r["_text"] for r in got]
+        y += [label] * len(got)
     return ToxicModel(texts, y, seed)
 
 
