@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import threading
 import uuid
-from contextlib import contextmanager
+import zipfile
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,18 @@ def local_session(app: str = "planisphere", cores: str = "*", partitions: int =
     )
 
 
+def package_file(folder: str) -> str:
+    """The package as a zip file for ``spark.sparkContext.addPyFile``, so that workers of a cluster can import it."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(folder, "planisphere.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), os.path.dirname(here)))
+    return path
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only for local masters."""
     sc = spark.sparkContext
@@ -46,6 +61,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_FOLDERS: list[str] = []
+
+
+def _written(spark: SparkSession, folder: str) -> None:
+    """Remember a folder of :func:`cut`; what is left of them goes when the driver ends, as nothing can read it then."""
+    if not _FOLDERS:
+        atexit.register(_forget, spark)
+    _FOLDERS.append(folder)
+
+
+def _forget(spark: SparkSession) -> None:
+    with suppress(Exception):  # the JVM may be gone
+        conf = spark._jsc.hadoopConfiguration()
+        for folder in _FOLDERS:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """``df`` written as a table in the shared checkpoint folder and read back.
 
@@ -59,10 +92,13 @@ def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     df.write.parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     out._cut_folder = folder
+    _written(spark, folder)
     old = getattr(replaces, "_cut_folder", None)
     if old:
         path = spark._jvm.org.apache.hadoop.fs.Path(old)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        with suppress(ValueError):
+            _FOLDERS.remove(old)
     return out
 
 
