@@ -145,7 +145,7 @@ def q_tree(spark, sf):
 
 @query("tsne_bh", f"{COUNT}, true AS falling FROM embeddings")
 def q_tsne_bh(spark, sf):
-    params = typed_params("tsne", {"n_iter": 10, "early_exaggeration_iter": 0, "learning_rate": 50.0, "negative_gradient_method": "bh"})
+    params = typed_params("tsne", {"n_iter": 4, "early_exaggeration_iter": 0, "learning_rate": 50.0, "negative_gradient_method": "bh"})
     nb, links, start, state = T.fit_tsne(vectors(spark, sf), params)
     falling = T.divergence(links, state, nb.n, repulsion="bh")[0] < T.divergence(links, start, nb.n, repulsion="bh")[0]
     return cert(state, n=F.count(F.lit(1)), finite=finite(), falling=F.lit(falling))
