@@ -34,7 +34,7 @@ class Links:
 
     def __init__(self, edges: DataFrame, n: int, row_bytes: int = 32, limit: int | None = None, ends: tuple[str, ...] = ("src", "dst")):
         limit = BROADCAST_BYTES if limit is None else limit
-        self.n, self.limit, self.hot, self.ends, self._by_source = n, limit, {}, ends, None
+        self.n, self.limit, self.row_bytes, self.hot, self.ends, self._by_source = n, limit, row_bytes, {}, ends, None
         self.small = n * row_bytes <= limit
         if not self.small:
             base = edges.persist()
@@ -198,14 +198,39 @@ def connect(nb: Neighbours, edges: DataFrame, weight: str = "w", close: Column |
 
 # --- shortest paths
 
-def geodesics(links: Links, sources: list[int], weight: str = "w", rounds: int = 10000) -> DataFrame:
+def geodesics(links: Links, sources: list[int], weight: str = "w", rounds: int = 10000, plain: int = 12, degree: int = 12) -> DataFrame:
     """node, mark, dist: shortest path length from every source to every reached node.
 
-    Only pairs that improved in the last round are sent on; it ends when none did.
+    Only pairs that improved in the last round are sent on; it ends when none did. Where ``plain`` rounds do not
+    settle the paths, the graph has long chains of nodes: it is contracted first (:func:`contract`), the paths are
+    settled on what is left, and the contracted nodes then read their distance from their neighbours, level by level.
+    The rounds grow with the logarithm of the length of a chain, and every distance stays exact.
     """
-    spark = links.edges.sparkSession
-    start = spark.createDataFrame([(s, m, 0.0) for m, s in enumerate(sources)], "node bigint, mark int, dist double")
-    known = cut(start.withColumn("changed", F.lit(True)))
+    start = links.edges.sparkSession.createDataFrame([(s, m, 0.0) for m, s in enumerate(sources)], "node bigint, mark int, dist double")
+    known, settled = relax(links, start, weight, min(plain, rounds))
+    if settled:
+        return known
+    core, levels = contract(links.edges.select("src", "dst", F.col(weight).alias("w")), sources, degree)
+    for gone in levels:
+        # Distances so far are lengths of real paths; those of nodes that stay save the first rounds.
+        known = known.join(gone, "node", "left_anti")
+    left = Links(core, links.n, links.row_bytes, links.limit)
+    known, settled = relax(left, known, "w", rounds)
+    left.close()
+    if not settled:
+        raise RuntimeError(f"paths not settled after {rounds} rounds")
+    for inward in reversed(levels):
+        near = inward.select("node", F.explode("inward").alias("e")).select("node", F.col("e.src").alias("src"), F.col("e.w").alias("w"))
+        front = known.groupBy(F.col("node").alias("src")).agg(F.collect_list(F.struct("mark", "dist")).alias("front"))
+        met = near.join(F.broadcast(front), "src") if links.small else salted_join(near, front, "src", links.n, "node")
+        told = met.select("node", "w", F.explode("front").alias("f")).groupBy("node", F.col("f.mark").alias("mark"))
+        known = cut(known.unionByName(told.agg(F.min(F.col("f.dist") + F.col("w")).alias("dist"))), replaces=known)
+    return known
+
+
+def relax(links: Links, start: DataFrame, weight: str, rounds: int) -> tuple[DataFrame, bool]:
+    """node, mark, dist after at most ``rounds`` rounds over all edges, and whether nothing can improve any more."""
+    known = cut(start.select("node", "mark", "dist", F.lit(True).alias("changed")))
     for _ in range(rounds):
         front = known.filter("changed").groupBy("node").agg(F.collect_list(F.struct("mark", "dist")).alias("front"))
         # A list holds at most one entry per source.
@@ -214,10 +239,62 @@ def geodesics(links: Links, sources: list[int], weight: str = "w", rounds: int =
         offer = sent.groupBy("node", F.col("f.mark").alias("mark")).agg(F.min(F.col("f.dist") + F.col("step")).alias("offer"))
         better = F.col("offer").isNotNull() & (F.col("dist").isNull() | (F.col("offer") < F.col("dist")))
         known = cut(known.join(offer, ["node", "mark"], "full").select(
-            "node", "mark", F.when(better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), better.alias("changed")))
+            "node", "mark", F.when(better, F.col("offer")).otherwise(F.col("dist")).alias("dist"), better.alias("changed")), replaces=known)
         if known.filter("changed").isEmpty():
-            return known.select("node", "mark", "dist")
-    raise RuntimeError(f"paths not settled after {rounds} rounds")
+            return _plain(known), True
+    return _plain(known), False
+
+
+def _plain(known: DataFrame) -> DataFrame:
+    out = known.select("node", "mark", "dist")
+    out._cut_folder = known._cut_folder
+    return out
+
+
+def contract(edges: DataFrame, keep: list[int], degree: int = 12, least: float = 1 / 16, most: float = 2.0) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges src, dst, w of a smaller graph with the same distances between its nodes, and the nodes taken out per level.
+
+    A level takes out nodes with at most ``degree`` edges in and out of which no two are neighbours, chosen by a
+    keyed hash; an edge into such a node and one out of it become one edge past it, and only the shortest of
+    parallel edges stays. The nodes of a level come as ``node, inward`` with their edges inward, at most ``degree``.
+    Nodes in ``keep`` stay. It ends where fewer than ``least`` of the nodes go or the edges would be more than
+    ``most`` times those given, as in graphs without chains.
+    """
+    def tidy(e):
+        return e.filter("src != dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
+
+    edges = cut(tidy(edges))
+    first = rows = edges.count()
+    levels: list[DataFrame] = []
+    while rows:
+        ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
+            edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        nodes = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+        turn = F.struct(F.xxhash64(F.lit(len(levels)), F.col("node")), F.col("node"))
+        slim = cut(nodes.select("node", ((F.col("o") <= degree) & (F.col("i") <= degree) & ~F.col("node").isin(keep)).alias("slim"), turn.alias("turn")))
+        able = slim.filter("slim").select("node", "turn")
+        # Of two neighbours the one whose turn comes later is beaten.
+        pair = salted_join(edges, able.toDF("src", "ts"), "src", rows, "dst")
+        pair = salted_join(pair, able.toDF("dst", "td"), "dst", rows, "src")
+        beaten = pair.select(F.when(F.col("ts") > F.col("td"), F.col("src")).otherwise(F.col("dst")).alias("node")).distinct()
+        taken = cut(able.select("node").join(beaten, "node", "left_anti"))
+        count, gone = slim.count(), taken.count()
+        if gone < least * count:
+            return edges, levels
+        out = salted_join(edges, taken.select(F.col("node").alias("src"), F.lit(True).alias("leaves")), "src", rows, "dst", how="left")
+        out = salted_join(out, taken.select(F.col("node").alias("dst"), F.lit(True).alias("enters")), "dst", rows, "src", how="left")
+        tagged = cut(out)
+        inward = tagged.filter("enters").groupBy(F.col("dst").alias("node")).agg(F.collect_list(F.struct("src", "w")).alias("inward"))
+        inward = cut(taken.join(inward, "node", "left"))
+        passing = inward.select("node", F.explode("inward").alias("a")).join(tagged.filter("leaves").select(F.col("src").alias("node"), "dst", F.col("w").alias("rest")), "node")
+        passing = passing.select(F.col("a.src").alias("src"), "dst", (F.col("a.w") + F.col("rest")).alias("w"))
+        after = cut(tidy(tagged.filter(F.col("leaves").isNull() & F.col("enters").isNull()).select("src", "dst", "w").unionByName(passing)))
+        rows = after.count()
+        if rows > most * first:
+            return edges, levels
+        levels.append(inward)
+        edges = after
+    return edges, levels
 
 
 # --- eigenvectors

@@ -7,7 +7,7 @@ from planisphere.methods import graph as G
 from planisphere.methods import stress as S
 from planisphere.methods.linear import place
 from planisphere.operators.graph import (
-    Links, Neighbours, barycentre_weights, components, connect, eigenvectors, geodesics, neighbours, product,
+    Links, Neighbours, barycentre_weights, components, connect, contract, eigenvectors, geodesics, neighbours, product,
 )
 from planisphere.operators.pairs import number_nodes
 from planisphere.registry import run_method, typed_params
@@ -30,6 +30,51 @@ def test_line_geodesics(spark, limit):
     assert got[(5, 0)] == 15 and got[(0, 1)] == 6 and got[(5, 1)] == 9 and len(got) == 12
 
 
+def shortest(pairs, sources):
+    """Bellman-Ford on one machine."""
+    out = {}
+    for mark, s in enumerate(sources):
+        dist, open_ = {s: 0.0}, True
+        while open_:
+            open_ = False
+            for a, b, w in pairs:
+                if a in dist and dist[a] + w < dist.get(b, np.inf):
+                    dist[b], open_ = dist[a] + w, True
+        out.update({(n, mark): d for n, d in dist.items()})
+    return out
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_contracted_paths_equal_plain_ones(spark, limit):
+    """One-way and parallel edges, a hub, chains, loops and a part that no source reaches."""
+    rng = np.random.default_rng(4)
+    chain = [(i, i + 1, 1 + i % 4) for i in range(60)] + [(i + 1, i, 2 + i % 3) for i in range(50)]
+    hub = [(7, i, 3) for i in range(61, 81)] + [(i, 7, 1) for i in range(61, 81)]
+    loose = [(int(a), int(b), 1 + int(w)) for a, b, w in zip(rng.integers(61, 100, 60), rng.integers(61, 100, 60), rng.integers(0, 9, 60))]
+    pairs = [*chain, *hub, *loose, (3, 3, 1), (10, 11, 9), (200, 201, 1), (201, 200, 1)]
+    edges = spark.createDataFrame([(a, b, float(w)) for a, b, w in pairs], "src bigint, dst bigint, w double")
+    links = Links(edges, 300, limit=limit)
+    got = geodesics(links, [0, 70, 45], plain=2, degree=4)
+    assert {(r.node, r.mark): r.dist for r in got.collect()} == shortest(pairs, [0, 70, 45])
+    core, levels = contract(edges, [0, 70, 45], 4)
+    kept = {r.src for r in core.collect()} | {r.dst for r in core.collect()}
+    gone = [r.node for level in levels for r in level.collect()]
+    assert len(levels) > 2 and len(gone) == len(set(gone)) and not kept & set(gone) and not {0, 70, 45} & set(gone)
+
+
+def test_long_path_takes_few_rounds(spark, monkeypatch):
+    from planisphere.operators import graph
+
+    made, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, replaces=None: made.append(df.columns) or plain(df, replaces))
+    links = Links(edges_of(spark, [(i, i + 1, 1) for i in range(2000)]), 2001)
+    got = geodesics(links, [0]).collect()
+    assert len(got) == 2001 and all(r.dist == r.node for r in got)
+    rounds = sum("changed" in c or c[:3] == ["node", "mark", "dist"] for c in made)
+    levels = sum("inward" in c for c in made)
+    assert levels < 20 and rounds + levels < 60
+
+
 def test_hot_node_products_agree(spark):
     """The shuffle form with salts gives what the broadcast form gives."""
     e, n = star(spark)
