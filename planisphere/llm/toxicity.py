@@ -5,18 +5,17 @@ with any gaps, the product of ``decay ** span`` of their occurrences, and is nor
 Inserted or repeated letters and separators lengthen spans and lower it gently, so
 ``s.t.u-p.i.d`` stays near the word it hides.
 
-Training uses a bounded sample of labelled rows: sentences of toxic documents, of which
-only the document's label is known, and sentences of clean ones. Witness words that
-cover the toxic documents (and hardly occur in clean ones) are the positive windows, with gapped
-and disturbed variants; clean windows that score highest become negatives in a few rounds.
-Nyström landmarks are the witnesses and the hardest negatives; a linear machine is trained
+Training uses a bounded sample of labelled documents. Their labels hold for a whole document, so the
+machine learns from many instances (:class:`Machine`): the worst windows of the toxic documents, chosen
+anew in every round, against windows of the clean ones, with gapped and disturbed variants of the commonest.
+Nyström landmarks are such windows and the hardest clean ones; a linear machine is trained
 on the landmark features. As the decision is linear in the triples, it is folded into one
 weight per triple, and a window is scored by a weighted look-up of its own triples.
 
 A window is a white-space-free token without outer punctuation, or a run of single
 letters; a token with separators inside is read without them as well. Tokens above ``WINDOW`` letters are cut into overlapping windows that cover them
-whole. A document scores by its worst window, through a logistic curve fitted on the training
-documents.
+whole. A document scores by its worst tokens: one beyond a strict cut, or the three worst together, both fitted
+on labelled documents that the judging machine has not seen (:class:`ToxicModel`).
 
 Defined cases: null and empty texts score as a document without windows does; null or
 conflicting labels (a document with both counts as toxic) and labels without document do not fail; without a
@@ -29,6 +28,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from heapq import nlargest
 from itertools import combinations
 
 import numpy as np
@@ -50,7 +50,10 @@ EDGE = ".,;:!?\"'()[]{}<>|*-_#$%&/\\~`^+="
 #: Four or more single letters with white space between them.
 SPELLED = regex.compile(r"(?<!\S)(?:\w\s+){3,}\w(?!\S)")
 LANDMARKS, ROUNDS, COST = 600, 8, 10.0
-COVER = 5
+#: Windows that a toxic document brings, and different ones that train.
+PICKED, POSITIVES = 3, 800
+#: Weight of a share of false alarms beside the same share of toxic documents missed: clean ones are the rule.
+ALARM = 10.0
 FIRST, LAST = "\x02", "\x03"
 
 
@@ -174,82 +177,71 @@ def linear_machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     return w
 
 
-def witnesses(toxic: list[set[str]], clean: list[set[str]], most: int = 256) -> list[str]:
-    """Words that cover the toxic documents and hardly occur in clean ones, by greedy cover.
+def near_key(words: set[str]) -> tuple[int, ...]:
+    """The same for near copies: their three smallest word hashes."""
+    return tuple(sorted(zlib.crc32(w.encode()) for w in words)[:3])
 
-    Near copies (the same three smallest word hashes) count once; a document is covered by
-    ``COVER`` witnesses, as most hold several and one may be chance.
-    """
-    hashes = lambda s: tuple(sorted(zlib.crc32(w.encode()) for w in s)[:3])
-    toxic = list({hashes(s): s for s in toxic}.values())
-    inside, outside = Counter(w for s in toxic for w in s), Counter(w for s in clean for w in s)
-    share = len(toxic) / max(len(toxic) + len(clean), 1)
-    pure = {w: n for w, n in inside.items() if len(w) >= 5 and n >= 2 and n / len(toxic) >= 20 * outside[w] / max(len(clean), 1)}
-    chance = Counter(inside[w] + outside[w] for w in inside if len(w) >= 5)
-    for least in range(2, max(pure.values(), default=1) + 1):
-        pure = {w: n for w, n in pure.items() if n >= least}
-        # words of so many documents that only chance put into toxic ones: at most a tenth of those found
-        if sum(m * share**n for n, m in chance.items() if n >= least) <= len(pure) / 10:
-            break
-    owners: dict[str, set[int]] = {}
-    for i, s in enumerate(toxic):
-        for w in s & pure.keys():
-            owners.setdefault(w, set()).add(i)
-    out, open_docs = [], set(range(len(toxic)))
-    times = Counter()
-    while owners and open_docs and len(out) < most:
-        word = max(owners, key=lambda w: (len(owners[w] & open_docs), len(owners[w]), w))
-        if len(owners[word] & open_docs) < least:
-            break
-        for i in owners.pop(word):
-            times[i] += 1
-            if times[i] >= COVER:
-                open_docs.discard(i)
-        out.append(word)
-    return out
 
+class Machine:
+    """Kernel machine on the windows of labelled documents, folded into one weight per triple and a constant.
 
-class ToxicModel:
-    """One weight per triple, a constant, and the logistic curve from the worst window to a score."""
+    Multiple instances: only a document's label is known, so each toxic one brings its ``PICKED`` windows that look
+    worst, first by the odds of the labels and then, round by round, by the machine itself. Windows that fewer than
+    ``least`` toxic documents bring say nothing of other documents and are left out. Of the clean documents the
+    commonest windows and a random part train from the start, and those that score highest join in every round.
+    """
 
-    def __init__(self, texts: list[str], toxic: list[int], seed: int = 42):
-        self.share = float(np.mean(toxic)) if len(toxic) else 0.5
-        self.kernel = None
-        split = [sorted({w for t in set(tokens(x)) for w in windows(t)}) for x in texts]  # sorted: no rerun may differ
-        bad, good = [s for s, y in zip(split, toxic) if y], [s for s, y in zip(split, toxic) if not y]
-        found = witnesses([set(s) for s in bad], [set(s) for s in good]) if bad and good else []
-        if not found:
-            return
+    def __init__(self, bad: list[list[str]], good: list[list[str]], seed: int = 42):
         rng = np.random.default_rng(seed)
-        self.found = found
+        bags = list({near_key(set(s)): s for s in bad}.values())
+        inside, outside = Counter(w for s in bags for w in s), Counter(w for s in good for w in s)
+        odds = {w: math.log((n + 0.5) * (len(good) + 1) / ((outside[w] + 0.5) * (len(bags) + 1))) for w, n in inside.items() if sum(map(str.isalpha, w)) >= 3}
+        # Words known to be ten times as usual in toxic documents; the machine never reads which.
+        bags = [[w for w in s if odds.get(w, 0) > math.log(10)] for s in bags]
+        least = 2 + (len(bags) > 50)
+        chosen = self.pick(bags, odds, least)
+        self.positives: list[str] = []
+        self.hard: list[str] = []
+        if not chosen:
+            return
         common = Counter(c for s in good + bad for w in s for c in w if c.isalpha())
         self.kernel = SubsequenceKernel(FIRST + LAST + "".join(sorted(c for c, _ in common.most_common(LETTERS))))
-        positives = [w for f in found for w in [f] * 3 + disturbed(f, rng)]
-        outside = Counter(w for s in good for w in s)
         usual = sorted(w for w in outside if len(w) >= 4)
         often = [w for w, _ in outside.most_common(1000) if len(w) >= 3]
-        negatives = sorted({*often, *(usual[i] for i in rng.choice(len(usual), min(1500, len(usual)), replace=False))}) if usual else [FIRST + "  " + LAST]
-        hard: list[str] = []
+        clean = sorted({*often, *(usual[i] for i in rng.choice(len(usual), min(1500, len(usual)), replace=False))}) if usual else [FIRST + "  " + LAST]
+        own = sorted({w for s in bags for w in s})
         for _ in range(ROUNDS):
-            marks = list(dict.fromkeys([*found, *hard, *negatives]))[:LANDMARKS]
-            columns = self.kernel.dense(marks)
-            size, axis = np.linalg.eigh(self.kernel.against(marks, columns) + 1e-6 * np.eye(len(marks)))
-            strong = size > 1e-3 * size.max()  # directions in which the landmarks hardly differ are left out
-            root = axis[:, strong] / np.sqrt(size[strong])
-            rows = positives + sorted(set(negatives) | set(hard))
-            y = np.where(np.arange(len(rows)) < len(positives), 1.0, -1.0)
-            w = linear_machine(self.kernel.against(rows, columns) @ root, y, np.where(y > 0, COST, 3 * COST))
-            self.weight, self.constant = np.zeros(self.kernel.size**3, np.float32), float(w[-1])
-            used = columns[1] >= 0
-            self.weight[used] = (columns[0] @ (root @ w[:-1]))[columns[1][used]]
+            lead = sorted(chosen, key=lambda w: (-chosen[w], w))[:POSITIVES]
+            variants = [v for w in lead[: POSITIVES // 8] for v in disturbed(w, rng)]
+            self.positives = lead + variants
+            taken = set(lead)
+            negatives = [w for w in sorted({*clean, *self.hard}) if w not in taken]
+            marks = list(dict.fromkeys([*lead[: LANDMARKS // 2], *self.hard, *negatives]))[:LANDMARKS]
+            self.solve(marks, negatives, np.array([COST * min(chosen[w], 3) for w in lead] + [COST] * len(variants) + [3 * COST * min(max(outside[w], 1), 3) for w in negatives]))
             score = self.windows_score(usual)
-            known = set(rows)
+            known = {*self.positives, *negatives}
             new = [usual[i] for i in np.argsort(-score)[:600] if score[i] > -0.5 and usual[i] not in known][:150]
-            if not new:
+            again = self.pick(bags, dict(zip(own, self.windows_score(own).tolist())), least) or chosen
+            if not new and again.keys() == chosen.keys():
                 break
-            hard = new + hard
-        self.hard = hard
-        self._curve(split, toxic, positives)
+            self.hard, chosen = new + self.hard, again
+
+    @staticmethod
+    def pick(bags: list[list[str]], value: dict[str, float], least: int) -> Counter:
+        """The worst windows of every toxic document and how many documents bring each."""
+        got = Counter(w for s in bags for w in sorted(s, key=lambda w: (-value[w], w))[:PICKED])
+        return Counter({w: n for w, n in got.items() if n >= min(least, max(got.values()))})
+
+    def solve(self, marks: list[str], negatives: list[str], cost: np.ndarray) -> None:
+        columns = self.kernel.dense(marks)
+        size, axis = np.linalg.eigh(self.kernel.against(marks, columns) + 1e-6 * np.eye(len(marks)))
+        strong = size > 1e-3 * size.max()  # directions in which the landmarks hardly differ are left out
+        root = axis[:, strong] / np.sqrt(size[strong])
+        y = np.where(np.arange(len(self.positives) + len(negatives)) < len(self.positives), 1.0, -1.0)
+        w = linear_machine(self.kernel.against(self.positives + negatives, columns) @ root, y, cost)
+        self.weight, self.constant = np.zeros(self.kernel.size**3, np.float32), float(w[-1])
+        used = columns[1] >= 0
+        self.weight[used] = (columns[0] @ (root @ w[:-1]))[columns[1][used]]
 
     def windows_score(self, words: list[str]) -> np.ndarray:
         """Decision per window; windows without any toxic triple, or with fewer than three letters, get the constant."""
@@ -261,24 +253,8 @@ class ToxicModel:
                 out[rows[some]] = total[some] / self.kernel.norms(code[some], weight) + self.constant
         return out
 
-    def _curve(self, split, toxic, positives):
-        """Boundary between both labels' worst windows, below most disturbed witnesses; there the score is 0.7."""
-        words = sorted({w for s in split for w in s})
-        value = dict(zip(words, self.windows_score(words)))
-        top = np.array([max([value[w] for w in s], default=self.constant) for s in split])
-        y = np.array(toxic, bool)
-        edges = np.unique(np.concatenate([top, [self.constant]]))
-        middle = (edges[1:] + edges[:-1]) / 2 if len(edges) > 1 else edges
-        right = np.array([((top >= m) & y).sum() / max(y.sum(), 1) - ((top >= m) & ~y).sum() / max((~y).sum(), 1) for m in middle])
-        good = middle[right >= right.max() - 0.003]
-        upper = min(good.max(), max(np.quantile(self.windows_score(positives), 0.1), good.min()))
-        self.cut = float(min(max((good.min() + upper) / 2, self.constant + 1e-3), 1.0))
-        self.steep = 4.0
-
-    def curve(self, top: float) -> float:
-        return 1 / (1 + math.exp(-(self.steep * (top - self.cut) + math.log(0.7 / 0.3))))
-
     def fill(self, cache: dict, words) -> None:
+        """Decision per token: that of its worst window."""
         new = [w for w in words if w not in cache]
         cut = [windows(w) for w in new]
         score = self.windows_score([x for c in cut for x in c])
@@ -287,14 +263,94 @@ class ToxicModel:
             cache[w] = float(score[at : at + len(c)].max())
             at += len(c)
 
-    def scores(self, texts: list[str], cache: dict) -> list[float]:
-        if self.kernel is None:
-            return [self.share] * len(texts)
-        split = [tokens(t) for t in texts]
+    def evidence(self, texts: list[str], cache: dict) -> np.ndarray:
+        """Per text its three worst different tokens: 0 where nothing is toxic, 1 on the margin of the toxic side."""
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        self.fill(cache, set().union(*map(set, split)) if split else ())
-        return [self.curve(max(map(cache.__getitem__, s)) if s else self.constant) for s in split]
+        split = [set(tokens(t)) for t in texts]
+        self.fill(cache, set().union(*split) if split else ())
+        out = np.full((len(texts), 3), self.constant)
+        for i, s in enumerate(split):
+            worst = nlargest(3, map(cache.__getitem__, s))
+            out[i, : len(worst)] = worst
+        return self.scaled(out)
+
+    def scaled(self, score: np.ndarray) -> np.ndarray:
+        return np.maximum(score - self.constant, 0) / max(1 - self.constant, 1e-3)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
+    """Weights (the last for a constant) of a logistic machine, by Newton steps."""
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def boundary(value: np.ndarray, y: np.ndarray, alarm: float) -> tuple[float, float]:
+    """Ends of the range of cuts that part both labels best, where a share of false alarms counts ``alarm`` times; all are above zero."""
+    edges = np.unique(np.concatenate([value[value > 0], [0.0, value.max() + 1.0]]))
+    middle = (edges[1:] + edges[:-1]) / 2
+    bad, good = np.sort(value[y]), np.sort(value[~y])
+    share = lambda v: 1 - np.searchsorted(v, middle) / max(len(v), 1)
+    right = share(bad) - alarm * share(good)
+    best = middle[right >= right.max() - 0.003]
+    return float(best.min()), float(best.max())
+
+
+class ToxicModel:
+    """The machine, and how the worst tokens of a document become its score.
+
+    One token beyond a strict cut is enough; else the three worst together decide, so several weaker
+    signs count as well. Both are fitted on documents that the machine in question was not trained on: the sample is
+    halved, near copies together, and each half is judged by a machine of the other.
+    """
+
+    def __init__(self, texts: list[str], toxic: list[int], seed: int = 42):
+        self.share = float(np.mean(toxic)) if len(toxic) else 0.5
+        self.machine = None
+        split = [sorted({w for t in set(tokens(x)) for w in windows(t)}) for x in texts]  # sorted: no rerun may differ
+        y = np.array(toxic, bool)
+        train = lambda rows: Machine([split[i] for i in rows if y[i]], [split[i] for i in rows if not y[i]], seed)
+        if not len(y) or y.all() or not y.any():
+            return
+        whole = train(range(len(y)))
+        if not whole.positives:
+            return
+        self.machine = whole
+        half = np.array([zlib.crc32(repr(near_key(set(s))).encode()) % 2 for s in split])
+        seen = np.empty((len(y), 3))
+        for side in (0, 1):
+            rows, others = np.flatnonzero(half == side), np.flatnonzero(half != side)
+            judge = train(others.tolist()) if y[others].any() and not y[others].all() else whole
+            judge = judge if judge.positives else whole
+            if len(rows):
+                seen[rows] = judge.evidence([texts[i] for i in rows], {})
+        low, high = boundary(seen[:, 0], y, ALARM)
+        upper = min(high, max(float(np.quantile(whole.scaled(whole.windows_score(whole.positives)), 0.1)), low))
+        self.cut = max((low + upper) / 2, 1e-3)
+        self.joint = logistic(seen, y.astype(float))
+        low, high = boundary(self.together(seen) - self.joint[-1], y, ALARM)
+        self.joint[-1] = -max((low + high) / 2, 1e-3)
+        self.steep = 4.0
+
+    def together(self, seen: np.ndarray) -> np.ndarray:
+        return seen @ self.joint[:-1] + self.joint[-1]
+
+    def scores(self, texts: list[str], cache: dict) -> list[float]:
+        if self.machine is None:
+            return [self.share] * len(texts)
+        if not texts:
+            return []
+        seen = self.machine.evidence(texts, cache)
+        # At either cut the score is 0.7.
+        value = np.maximum(4.0 * self.steep * (seen[:, 0] - self.cut), np.clip(self.together(seen), -30, 30)) + math.log(0.7 / 0.3)
+        return (1 / (1 + np.exp(-value))).tolist()
 
 
 _CACHES: dict[str, dict] = {}
