@@ -1,8 +1,11 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from planisphere.functions.vectors import distance
+from planisphere.operators import knn as K
 from planisphere.operators.knn import complete, knn, knn_cells, knn_descent, knn_exact, knn_forest, knn_recall, symmetrise
 from planisphere.registry import neighbour_options, typed_params
 from planisphere.operators.pairs import landmarks_maxmin, number_nodes, random_pairs
@@ -174,3 +177,43 @@ def test_backend_options(table):
     with pytest.raises(ValueError, match="no option probes"):
         knn(x, 3, backend="annoy", probes=3)
     assert typed_params("umap", {"probes": "7"})["probes"] == 7 and neighbour_options(typed_params("umap", {"probes": 7})) == {"probes": 7}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan", "minkowski"])
+def test_memory_does_not_grow_with_pairs(metric):
+    """Beside the vectors a block needs a few tiles, however many rows it has, and the k nearest stay exact over all tiles."""
+    rng = np.random.default_rng(6)
+    x, ids = rng.normal(size=(20_000, 3)), rng.permutation(20_000)
+    tracemalloc.start()
+    r, c, d = K.top_k(ids[:300], x[:300], ids, x, 7, metric, 3.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * 2**20
+    for i in range(0, 300, 37):
+        each = K._exact(np.repeat(x[i : i + 1], len(x), axis=0), x, metric, 3.0)
+        each[i] = np.inf
+        near = np.lexsort((ids, each))[:7]
+        assert c[r == i].tolist() == near.tolist()
+        assert d[r == i].tolist() == each[near].tolist()
+
+
+def test_manhattan_near_ties():
+    """Distances that single precision cannot tell apart are told apart, far from the origin and among many copies too."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(5000, 4)), 1) + 1000.0
+    x[::3] = x[0]
+    x[1::3] += rng.integers(0, 50, size=(len(x[1::3]), 1)) * 1e-9
+    ids = rng.permutation(5000)
+    r, c, _ = K.top_k(ids[:40], x[:40], ids, x, 6, "manhattan")
+    for i in range(40):
+        each = np.abs(x - x[i]).sum(axis=1)
+        each[i] = np.inf
+        assert c[r == i].tolist() == np.lexsort((ids, each))[:6].tolist()
+
+
+def test_given_blocks_are_the_least(table, monkeypatch):
+    """Blocks asked for are split further where they would outgrow a worker; the result is the same."""
+    x = np.random.default_rng(8).normal(size=(600, 4))
+    monkeypatch.setattr(K, "BLOCK_BYTES", 4 * 4 * 256)
+    assert K._grid(table(x), 600, 4, 1) == 3
+    assert lists(knn_exact(table(x), 3, blocks=1)) == brute(x, 3)
