@@ -1,6 +1,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,19 @@ def test_given_blocks_are_the_least(table, monkeypatch):
     monkeypatch.setattr(K, "BLOCK_BYTES", 4 * 4 * 256)
     assert K._grid(table(x), 600, 4, 1) == 3
     assert lists(knn_exact(table(x), 3, blocks=1)) == brute(x, 3)
+
+
+def test_cells_copy_rows_a_few_times(table, monkeypatch):
+    """Blocks grow with the rows: each row goes to a few groups, not to as many as there are rows."""
+    def sizes(*_):
+        return lambda group: pa.table({"src": [group.num_rows], "dst": [0], "dist": [0.0]})
+
+    monkeypatch.setattr(K, "_kernel", sizes)
+    monkeypatch.setattr(K, "_rank", lambda found, k: found)
+    monkeypatch.setattr(K, "complete", lambda found, *_, **__: found)
+    copies = {}
+    for n in (500, 2000):
+        groups = [r["src"] for r in knn_cells(table(np.random.default_rng(9).normal(size=(n, 3))), 5, cells=2, probes=2, block_rows=20).collect()]
+        copies[n] = sum(groups) / n
+        assert max(groups) <= n
+    assert copies[2000] <= 1.5 * copies[500] <= 24
