@@ -234,3 +234,48 @@ def test_cells_copy_rows_a_few_times(table, monkeypatch):
         copies[n] = sum(groups) / n
         assert max(groups) <= n
     assert copies[2000] <= 1.5 * copies[500] <= 24
+
+
+def test_long_lists_leave_the_worker_as_they_are_made():
+    """A group of many rows with long lists holds its vectors a few times and some lists, not all of them at once."""
+    rng = np.random.default_rng(10)
+    x, n, k = rng.normal(size=(12_000, 2)), 12_000, 75
+
+    def batches():
+        for a in range(0, n, 1000):
+            vec = pa.array(list(x[a : a + 1000]), pa.list_(pa.float64()))
+            for asks in (True, False):
+                yield pa.RecordBatch.from_arrays([pa.array([asks] * 1000), pa.array(np.arange(a, a + 1000)), vec], ["query", "id", "vec"])
+
+    tracemalloc.start()
+    sizes, near = [], {}
+    for batch in K._kernel(k, "euclidean", 2.0, False, True)(batches()):
+        sizes.append(batch.num_rows)
+        src, dst = batch.column("src").to_numpy(), batch.column("dst").to_numpy()
+        near.update({i: dst[src == i].tolist() for i in range(0, n, 1999) if (src == i).any()})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == n * k and max(sizes) < K.LISTED + 64 * k
+    assert peak < 40 * 2**20
+    for i in range(0, n, 1999):
+        assert near[i] == brute_one(x, i, k)
+
+
+def brute_one(x, i, k):
+    each = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+    each[i] = np.inf
+    return np.lexsort((np.arange(len(x)), each))[:k].tolist()
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_text_keys_and_lists_of_several_batches(table, spark, blocks):
+    """Batches of few rows on the way in; keys that are not numbers."""
+    x = np.random.default_rng(11).normal(size=(90, 3))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert lists(knn_exact(table(x), 4, blocks=blocks)) == brute(x, 4)
+        named = table(x).withColumn("item_id", F.format_string("k%03d", "item_id"))
+        assert lists(knn_exact(named, 4, blocks=blocks)) == {f"k{i:03d}": [f"k{j:03d}" for j in near] for i, near in brute(x, 4).items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
