@@ -248,3 +248,34 @@ def test_certificates_fail_for_shuffled_maps(table, blobs):
     made, weights = G.fit_lle(rows, typed_params("lle", {"max_iter": 10}))
     noise = made.withColumn("x", F.randn(1)).withColumn("y", F.randn(2))
     assert str(_low_energy(weights, made)) != str(_low_energy(weights, noise.persist()))
+
+
+def test_wide_rows_come_in_small_batches(table, spark, monkeypatch):
+    """Blocks of vectors and of neighbours' vectors reach a worker in batches of bounded bytes, and the results stay."""
+    from planisphere.operators import graph as O
+
+    asked, plain = [], O.arrow_rows
+
+    def small(session, row_bytes, batch_bytes=64 * 1024 * 1024):
+        asked.append((row_bytes, batch_bytes))
+        return plain(session, row_bytes, 16 * row_bytes)
+
+    n = 40
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    links = Links(edges_of(spark, [(i, (i + 1) % n, 0.5) for i in range(n)]), n)
+
+    def values():
+        return eigenvectors(nodes, lambda v, m: product(links, v, m), 2, -1.0, 1.0, True, nodes.withColumn("u", F.lit(1.0)), extra=1, steps=2, max_iter=2).values
+
+    nb = neighbours(table(np.random.default_rng(3).normal(size=(60, 4))), 5)
+
+    def weights():
+        return {(r.src, r.dst): r.w for r in barycentre_weights(nb).collect()}
+
+    whole = values(), weights()
+    monkeypatch.setattr(O, "arrow_rows", small)
+    assert np.allclose(values(), whole[0], atol=1e-9)
+    assert weights() == pytest.approx(whole[1], abs=1e-9)
+    # Three vectors of two steps and the start, and the known one, read twice; then five neighbours' vectors and the row's own.
+    assert [a for a, _ in asked] == [8 * 10, 8 * 10, 8 * 4 * 6]
+    assert all(b <= 8 * 2**20 for _, b in asked)
