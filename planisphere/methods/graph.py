@@ -17,6 +17,7 @@ from planisphere.operators.graph import (
     EXTRA_VECTORS, Eigen, Links, Neighbours, barycentre_weights, connect, eigenvectors, geodesics, neighbours, product,
 )
 from planisphere.operators.knn import knn_exact, symmetrise
+from planisphere.operators.one_task import times
 from planisphere.operators.subset import landmarks_random
 from planisphere.registry import method, neighbour_options
 from planisphere.session import cut
@@ -76,7 +77,7 @@ def spectral_vectors(nb: Neighbours, edges: DataFrame, k: int, max_iter: int, to
     raw.close()
     known = nb.nodes.select("node").join(degrees, "node", "left").select("node", F.sqrt(F.coalesce("deg", F.lit(0.0))).alias("u"))
     found = eigenvectors(nb.nodes.select("node"), lambda v, m: product(links, v, m), k, -1.0, 1.0, True, known,
-                         max_iter=max_iter, tol=tol, seed=seed)
+                         max_iter=max_iter, tol=tol, seed=seed, links=links, here=lambda e, x: times(e["w"], x, e["dst"], e["src"]))
     links.close()
     return found, degrees
 
@@ -115,9 +116,13 @@ def bottom_vectors(nb: Neighbours, weights: DataFrame, k: int, max_iter: int, to
         # The inner product is read twice, so it is written once.
         return half(cut(half(values, m, "dst", "src", "v")), m, "src", "dst", "a")
 
+    def here(e, x):
+        inner = x - times(e["w"], x, e["dst"], e["src"])
+        return inner - times(e["w"], inner, e["src"], e["dst"])
+
     known = nb.nodes.select("node", F.lit(1.0).alias("u"))
     found = eigenvectors(nb.nodes.select("node"), multiply, k, 0.0, (1 + out_norm) * (1 + in_norm), False, known,
-                         max_iter=max_iter, tol=tol, seed=seed)
+                         max_iter=max_iter, tol=tol, seed=seed, links=links, here=here)
     links.close()
     return found
 

@@ -91,8 +91,8 @@ def _low_energy(weights, made):
 
 
 def _local_linear(name, spark, sf):
-    """A map by its own weights, after a few of its rounds: orthonormal, and rebuilt by the weights."""
-    params = typed_params(name, {"max_iter": 10})
+    """A map by its own weights, at the method's own settings: orthonormal, and rebuilt by the weights."""
+    params = typed_params(name)
     made, weights = (G.fit_lle if name == "lle" else G.fit_glle)(vectors(spark, sf), params)
     made = cut(made)
     return cert(made, **_orthonormal(made), low_energy=_low_energy(weights, made))
