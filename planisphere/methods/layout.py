@@ -16,6 +16,8 @@ from planisphere.operators.layout import (
     adam, both_ways, delta_bar_delta, gather, mid_pairs, moved, near_pairs, other_node, scaled_distances, start_pca,
     start_random, step, update, with_distance, with_state,
 )
+from planisphere.operators import one_task
+from planisphere.operators.one_task import in_one_task, sums, xxhash64
 from planisphere.operators.pairs import random_pairs
 from planisphere.operators.prepare import preprocess_pca
 from planisphere.registry import method, neighbour_options
@@ -154,6 +156,43 @@ def attract_repel(links: Links, state: DataFrame, n: int, epochs: int, rate: flo
     return cut(joined.selectExpr("node", *[f"{v} AS {c}" for c, v in places.items()], "deg", "t + 1D AS t"), replaces=state)
 
 
+def attract_repel_here(links: Links, state: DataFrame, n: int, epochs: int, rate: float, attract, repel, negatives: int, seed: int) -> DataFrame:
+    """All epochs of :func:`attract_repel` in one task; ``attract`` and ``repel`` are functions of squared distances."""
+    slots = np.arange(max(negatives, 0), dtype=np.int32)
+
+    def run(edges, nodes):
+        src, dst, w, ids = edges["src"], edges["dst"], edges["w"], nodes["node"]
+        place, deg = np.stack([nodes["x"], nodes["y"]], axis=1), nodes["deg"]
+        drawn = np.repeat(np.arange(len(ids)), len(slots))
+        for t in range(epochs):
+            key = np.array([seed], np.int32 if abs(seed) < 2**31 else np.int64), np.array([t], np.int32)
+            active = np.flatnonzero((xxhash64(*key, ids[src], ids[dst]) % 1000003) / 1000003.0 < w)
+            a, b = src[active], dst[active]
+            gap = place[a] - place[b]
+            pull = attract((gap * gap).sum(axis=1))
+            g, count = -sums(a, pull[:, None] * gap, n), sums(a, pull, n)
+            if len(slots):
+                partner = (ids[drawn] + 1 + xxhash64(*key, ids[drawn], np.tile(slots, len(ids))) % max(n - 1, 1)) % n
+                gap = place[drawn] - place[np.searchsorted(ids, partner)]
+                d2 = (gap * gap).sum(axis=1)
+                g += sums(drawn, (deg[drawn] * np.minimum(repel(d2), 4.0 / (np.sqrt(d2) + 1e-9)))[:, None] * gap, n)
+            now = rate * (1.0 - t / epochs)
+            place = place + np.clip(now * g / (1.0 + now * count[:, None]), -4.0, 4.0)
+        return {"node": ids, "x": place[:, 0], "y": place[:, 1], "deg": deg, "t": np.full(len(ids), float(epochs))}
+
+    return in_one_task(links, state, run, "node bigint, x double, y double, deg double, t double")
+
+
+def epochs_of(links: Links, state: DataFrame, n: int, epochs: int, rate: float, curves: tuple, negatives: int, seed: int) -> DataFrame:
+    """The state after all epochs; ``curves`` are attraction and repulsion, in SQL and as functions."""
+    attract, repel, attract_here, repel_here = curves
+    if links.fits_task(128 * (negatives + 1), 160):
+        return attract_repel_here(links, state, n, epochs, rate, attract_here, repel_here, negatives, seed)
+    for _ in range(epochs):
+        state = attract_repel(links, state, n, epochs, rate, attract, repel, negatives, seed)
+    return state
+
+
 def fit_umap(df: DataFrame, params: dict) -> tuple[Neighbours, DataFrame]:
     nb = neighbours(df, params["n_neighbors"] - 1, params["backend"], params["metric"], **neighbour_options(params))
     edges = cut(fuzzy_graph(nb, params["local_connectivity"], params["set_op_mix_ratio"], params["n_neighbors"]).filter(F.col("w") > 0))
@@ -167,8 +206,13 @@ def fit_umap(df: DataFrame, params: dict) -> tuple[Neighbours, DataFrame]:
     state = cut(start.join(deg, "node", "left").select("node", "x", "y", F.coalesce("deg", F.lit(0.0)).alias("deg"), F.lit(0.0).alias("t")))
     attract = f"CASE WHEN d2 > 0 THEN 2D * {a!r}D * {b!r}D * pow(d2, {b - 1!r}D) / (1D + {a!r}D * pow(d2, {b!r}D)) ELSE 0D END"
     repel = f"2D * {b!r}D / ((0.001D + d2) * (1D + {a!r}D * pow(d2, {b!r}D)))"
-    for _ in range(epochs):
-        state = attract_repel(links, state, nb.n, epochs, params["learning_rate"], attract, repel, params["negatives"], params["random_state"])
+
+    def attract_here(d2):
+        safe = np.where(d2 > 0, d2, 1.0)
+        return np.where(d2 > 0, 2.0 * a * b * safe ** (b - 1) / (1.0 + a * safe**b), 0.0)
+
+    curves = attract, repel, attract_here, lambda d2: 2.0 * b / ((0.001 + d2) * (1.0 + a * d2**b))
+    state = epochs_of(links, state, nb.n, epochs, params["learning_rate"], curves, params["negatives"], params["random_state"])
     links.close()
     return nb, state
 
@@ -220,6 +264,14 @@ def pacmap_pull(near: float | str, mid: float | str, far: float | str) -> str:
             f"ELSE -{far} * 2D / pow(1D + {d}, 2) END")
 
 
+def pacmap_pull_here(near: np.ndarray, mid: np.ndarray, d2: np.ndarray, t: int, total: int) -> np.ndarray:
+    """:func:`pacmap_pull` under the weights of :func:`phase`; ``near`` and ``mid`` tell the kind of a pair."""
+    first, second, d = total * 100 / 450, total * 200 / 450, d2 + 1.0
+    a = 2.0 if t < first else 3.0 if t < second else 1.0
+    b = 1000.0 * (1.0 - t / first) + 3.0 * (t / first) if t < first else 3.0 if t < second else 0.0
+    return np.where(near, a * 20.0 / (10.0 + d) ** 2, np.where(mid, b * 20000.0 / (10000.0 + d) ** 2, -2.0 / (1.0 + d) ** 2))
+
+
 def pacmap_loss(links: Links, state: DataFrame, weights=(1.0, 1.0, 1.0)) -> float:
     e = links.attach(links.attach(links.edges, "dst", state, {"x": "xj", "y": "yj"}), "src", state, {"x": "xi", "y": "yi"})
     d = "(pow(xi - xj, 2) + pow(yi - yj, 2) + 1)"
@@ -306,6 +358,29 @@ def trimap_step(links: Links, state: DataFrame, rate: float, momentum: str) -> D
     return step(state, gather(sent), ["node"], delta_bar_delta(rate, momentum))
 
 
+def trimap_here(links: Links, state: DataFrame, rate: float, iterations: int, method: str) -> DataFrame:
+    """All steps of :func:`trimap_step` in one task."""
+
+    def run(edges, nodes):
+        i, j, k, w = (edges[c] for c in ("i", "j", "k", "w"))
+        n = len(nodes["node"])
+        place, speed, gain = (np.stack([nodes[a], nodes[b]], axis=1) for a, b in (("x", "y"), ("vx", "vy"), ("kx", "ky")))
+        for t in range(iterations):
+            a, b = place[i] - place[j], place[i] - place[k]
+            dj, dk = 1.0 + (a * a).sum(axis=1), 1.0 + (b * b).sum(axis=1)
+            c = 2.0 * w / (dj + dk) ** 2
+            p, q = (c * dk)[:, None] * a, (c * dj)[:, None] * b
+            g = sums(i, p - q, n) - sums(j, p, n) + sums(k, q, n)
+            momentum = 0.0 if method == "sd" else 0.5 if t < 250 else 0.8
+            speed, gain = one_task.delta_bar_delta(g, speed, gain if method == "dbd" else np.ones_like(gain), rate, momentum)
+            place = place + speed
+        pairs = {"x": place, "v": speed, "k": gain}
+        return {"node": nodes["node"], "x": place[:, 0], "y": place[:, 1], **{f"{c}{d}": pairs[c][:, at] for c in "vk" for at, d in enumerate("xy")},
+                "t": np.full(n, float(iterations))}
+
+    return in_one_task(links, state, run, ", ".join(f"{c} {k}" for c, k in state.dtypes))
+
+
 def trimap_loss(links: Links, state: DataFrame) -> float:
     return trimap_state(links, state).selectExpr("sum(w * dj / (dj + dk)) AS l").first()["l"]
 
@@ -323,6 +398,8 @@ def fit_trimap(df: DataFrame, params: dict) -> tuple[Neighbours, Links, DataFram
     start = cut(start_pca(nb))
     state = with_state(start, vx=0, vy=0, kx=1, ky=1, t=0)
     momentum = "(CASE WHEN t < 250D THEN 0.5D ELSE 0.8D END)"
+    if links.fits_task(256, 256):
+        return nb, links, start, trimap_here(links, state, rate, params["n_iters"], params["opt_method"])
     for _ in range(params["n_iters"]):
         if params["opt_method"] == "dbd":
             state = trimap_step(links, state, rate, momentum)
@@ -387,8 +464,8 @@ def fit_spacemap(df: DataFrame, params: dict) -> tuple[Neighbours, DataFrame]:
     links = Links(edges.select("src", "dst", (F.col("w") / top).alias("w")), nb.n, 32)
     deg = links.edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
     state = cut(start.join(deg, "node", "left").select("node", "x", "y", F.coalesce("deg", F.lit(0.0)).alias("deg"), F.lit(0.0).alias("t")))
-    for _ in range(params["n_epochs"]):
-        state = attract_repel(links, state, nb.n, params["n_epochs"], 1.0, "2D / (1D + d2)", "2D / ((0.001D + d2) * (1D + d2))", 5, seed)
+    curves = "2D / (1D + d2)", "2D / ((0.001D + d2) * (1D + d2))", lambda d2: 2.0 / (1.0 + d2), lambda d2: 2.0 / ((0.001 + d2) * (1.0 + d2))
+    state = epochs_of(links, state, nb.n, params["n_epochs"], 1.0, curves, 5, seed)
     links.close()
     return nb, state
 

@@ -3,13 +3,19 @@ import pytest
 from conftest import in_order
 
 from planisphere.methods import graph as G
+from planisphere.methods import layout as Y
+from planisphere.methods import parametric as P
+from planisphere.methods import tsne as T
 from planisphere.operators import graph as O
 from planisphere.operators.one_task import xxhash64
-from planisphere.plans import all_queries, graph_queries
+from planisphere.plans import all_queries, graph_queries, layout_queries
 from planisphere.registry import typed_params
 
 RNG = np.random.default_rng(21)
-WHOLE = [("lle", graph_queries, G, "fit_lle"), ("glle", graph_queries, G, "fit_glle")]
+WHOLE = [
+    ("lle", graph_queries, G, "fit_lle"), ("glle", graph_queries, G, "fit_glle"),
+    ("umap", layout_queries, Y, "fit_umap"),
+]
 
 
 @pytest.mark.parametrize("name,plans,module,fit", WHOLE)
@@ -57,3 +63,24 @@ def test_eigenvectors_in_one_task(table, monkeypatch, name):
     v, w = (in_order(e.vectors, "v0", "v1", key="node") for e in (one, other))
     v, w = (np.linalg.qr(a)[0] for a in (v, w))
     np.testing.assert_allclose(np.linalg.svd(v.T @ w)[1], 1, atol=1e-4)
+
+
+@pytest.mark.parametrize("name,fit,given", [
+    ("umap", Y.fit_umap, {"n_epochs": 4, "init": "pca"}),
+    ("spacemap", Y.fit_spacemap, {"n_epochs": 3, "init": "random", "n_near_field": 5, "n_middle_field": 9}),
+    ("trimap", Y.fit_trimap, {"n_iters": 4}),
+    ("trimap", Y.fit_trimap, {"n_iters": 3, "opt_method": "sd"}),
+    ("tsne", T.fit_tsne, {"n_iter": 2, "early_exaggeration_iter": 2, "perplexity": 8, "learning_rate": 20.0}),
+])
+def test_layout_in_one_task(table, blobs, monkeypatch, name, fit, given):
+    """The same map as by a job per step, draws included."""
+    params = typed_params(name, given)
+    one, other = both_ways(monkeypatch, lambda: in_order(fit(table(*blobs), params)[-1], "x", "y", "t", key="node"))
+    np.testing.assert_allclose(one, other, rtol=1e-6, atol=1e-6 * np.abs(other[:, :2]).max())
+
+
+def test_network_in_one_task(table, blobs, monkeypatch):
+    params = typed_params("paramrepulsor", {"n_epochs": 4, "hidden": 7})
+    one, other = both_ways(monkeypatch, lambda: P.fit_repulsor(table(*blobs), params)[1])
+    for a, b in zip(one, other):
+        np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-8)
