@@ -15,6 +15,7 @@ RNG = np.random.default_rng(21)
 WHOLE = [
     ("lle", graph_queries, G, "fit_lle"), ("glle", graph_queries, G, "fit_glle"),
     ("umap", layout_queries, Y, "fit_umap"),
+    ("spacemap", layout_queries, Y, "fit_spacemap"),
 ]
 
 
