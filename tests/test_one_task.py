@@ -16,6 +16,7 @@ WHOLE = [
     ("lle", graph_queries, G, "fit_lle"), ("glle", graph_queries, G, "fit_glle"),
     ("umap", layout_queries, Y, "fit_umap"),
     ("spacemap", layout_queries, Y, "fit_spacemap"),
+    ("tsne", layout_queries, T, "fit_tsne"),
 ]
 
 
