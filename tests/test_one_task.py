@@ -17,6 +17,7 @@ WHOLE = [
     ("umap", layout_queries, Y, "fit_umap"),
     ("spacemap", layout_queries, Y, "fit_spacemap"),
     ("tsne", layout_queries, T, "fit_tsne"),
+    ("trimap", layout_queries, Y, "fit_trimap"),
 ]
 
 
