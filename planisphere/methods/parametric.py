@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from planisphere.functions.seeded import u01_value
 from planisphere.functions.vectors import as_xy, map_matrix, to_lists, to_matrix
-from planisphere.methods.layout import EXTRA, pacmap_loss, pacmap_pairs, pacmap_pull, phase, reduced
+from planisphere.methods.layout import EXTRA, pacmap_loss, pacmap_pairs, pacmap_pull, pacmap_pull_here, phase, reduced
 from planisphere.operators.graph import Links, Neighbours, neighbours
 from planisphere.operators.layout import both_ways, moved
 from planisphere.operators.moments import moments, standardise, sum_arrays
+from planisphere.operators.one_task import in_one_task, sums
 from planisphere.operators.prepare import preprocess_pca
 from planisphere.operators.subset import label_encode
 from planisphere.registry import method, neighbour_options
@@ -46,6 +47,34 @@ def positions(nodes: DataFrame, w: list[np.ndarray]) -> DataFrame:
     return as_xy(map_matrix(nodes.select("node", "embedding"), "embedding", lambda x: forward(x, w)))
 
 
+def repulsor_here(links: Links, nodes: DataFrame, w: list[np.ndarray], epochs: int, rate: float) -> list[np.ndarray]:
+    """The network after all epochs, in one task."""
+
+    def run(edges, rows):
+        x, src, dst, now = rows["embedding"], edges["src"], edges["dst"], [a.copy() for a in w]
+        near, mid = edges["kind"] == "near", edges["kind"] == "mid"
+        m, v = [np.zeros_like(a) for a in now], [np.zeros_like(a) for a in now]
+        for t in range(epochs):
+            y = forward(x, now)
+            gap = y[src] - y[dst]
+            pull = sums(src, pacmap_pull_here(near, mid, (gap * gap).sum(axis=1), t, epochs)[:, None] * gap, len(x))
+            descend(now, m, v, backward(x, pull, now), len(x), t, rate)
+        return {"part": np.arange(len(now)), "w": pa.array([a.reshape(-1) for a in now], pa.list_(pa.float64()))}
+
+    made = {r["part"]: r["w"] for r in in_one_task(links, nodes.select("node", "embedding"), run, "part bigint, w array<double>").collect()}
+    return [np.array(made[i]).reshape(a.shape) for i, a in enumerate(w)]
+
+
+def descend(w: list[np.ndarray], m: list[np.ndarray], v: list[np.ndarray], grad: list[np.ndarray], n: int, t: int, rate: float) -> None:
+    """One step of the weights with running moments, in place."""
+    for i, g in enumerate(grad):
+        g = g / n
+        m[i] = 0.9 * m[i] + 0.1 * g
+        v[i] = 0.999 * v[i] + 0.001 * g * g
+        step = (m[i] / (1 - 0.9 ** (t + 1))) / (np.sqrt(v[i] / (1 - 0.999 ** (t + 1))) + 1e-8)
+        w[i] = w[i] - 0.01 * rate * step
+
+
 def fit_repulsor(df: DataFrame, params: dict) -> tuple[Neighbours, list[np.ndarray], list[float]]:
     """The trained network and its loss per epoch.
 
@@ -59,8 +88,10 @@ def fit_repulsor(df: DataFrame, params: dict) -> tuple[Neighbours, list[np.ndarr
     d = len(nb.nodes.select("embedding").first()[0])
     w = network(d, params["hidden"], params["random_state"])
     m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-    history = []
-    for t in range(params["n_epochs"]):
+    alone = links.fits_task(8 * (2 * d + 4 * params["hidden"]), 160)
+    if alone:
+        w = repulsor_here(links, nb.nodes, w, params["n_epochs"], params["lr"])
+    for t in range(0 if alone else params["n_epochs"]):
         y = cut(positions(nb.nodes, w).withColumn("t", F.lit(float(t))))
         pull = moved(links, y, pacmap_pull(*phase(params["n_epochs"]))).select("node", "gx", "gy")
 
@@ -69,12 +100,7 @@ def fit_repulsor(df: DataFrame, params: dict) -> tuple[Neighbours, list[np.ndarr
             return backward(to_matrix(batch.column(0)), g, w)
 
         grad = sum_arrays(nb.nodes.join(pull, "node").select("embedding", "gx", "gy"), part)
-        for i, g in enumerate(grad):
-            g = g / nb.n
-            m[i] = 0.9 * m[i] + 0.1 * g
-            v[i] = 0.999 * v[i] + 0.001 * g * g
-            step = (m[i] / (1 - 0.9 ** (t + 1))) / (np.sqrt(v[i] / (1 - 0.999 ** (t + 1))) + 1e-8)
-            w[i] = w[i] - 0.01 * params["lr"] * step
+        descend(w, m, v, grad, nb.n, t, params["lr"])
     history = [pacmap_loss(links, positions(nb.nodes, u)) for u in (network(d, params["hidden"], params["random_state"]), w)]
     links.close()
     return nb, w, history

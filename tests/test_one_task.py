@@ -18,6 +18,7 @@ WHOLE = [
     ("spacemap", layout_queries, Y, "fit_spacemap"),
     ("tsne", layout_queries, T, "fit_tsne"),
     ("trimap", layout_queries, Y, "fit_trimap"),
+    ("paramrepulsor", layout_queries, P, "fit_repulsor"),
 ]
 
 
