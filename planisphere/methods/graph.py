@@ -275,24 +275,24 @@ def potential(op: np.ndarray, t: int, gamma: float) -> np.ndarray:
 def kernel_neighbours(df: DataFrame, knn: int, decay: float, backend: str = "exact", floor: float = 1e-4, **options) -> Neighbours:
     """All neighbours that the kernel lifts above half its floor from either end.
 
-    A row asks again, for twice as many, until its last entry lies outside its own reach; rows that are
+    A row whose last entry lies within its own reach asks once more, for all rows up to that reach; rows that are
     done keep their list. A pair is in the list of at least one end wherever its weight reaches the floor.
     """
     reach = math.log(1 / floor) ** (1.0 / decay)
     k = 4 * knn
     nb = neighbours(df, k, backend, **options)
-    found = nb.knn
-    eps = cut(found.filter(F.col("rank") <= knn).groupBy("src").agg(F.max("dist").alias("eps")))
-    while k < nb.n - 1:
-        last = found.groupBy("src").agg(F.max("dist").alias("last"), F.count(F.lit(1)).alias("n"))
-        open_ = cut(last.filter(F.col("n") >= k).join(eps, "src").filter(F.col("last") <= F.col("eps") * reach).select(F.col("src").alias("node")))
-        if open_.isEmpty():
-            break
-        k = min(2 * k, nb.n - 1)
-        wider = knn_exact(nb.nodes, k, key="node", n=nb.n, only=open_)
-        done = found.join(open_.select(F.col("node").alias("src")), "src", "left_anti").select("src", "rank", "dst", "dist")
-        found = cut(done.unionByName(wider), replaces=found)
-    return replace(nb, knn=found)
+    if k >= nb.n - 1:
+        return nb
+    eps = nb.knn.filter(F.col("rank") <= knn).groupBy("src").agg(F.max("dist").alias("eps"))
+    last = nb.knn.groupBy("src").agg(F.max("dist").alias("last"), F.count(F.lit(1)).alias("n"))
+    # A little more than the reach, for what rounding takes off.
+    far = F.col("eps") * (reach * (1 + 1e-9))
+    open_ = cut(last.filter(F.col("n") >= k).join(eps, "src").filter(F.col("last") <= far).select(F.col("src").alias("node"), far.alias("far")))
+    if open_.isEmpty():
+        return nb
+    wider = knn_exact(nb.nodes, None, key="node", n=nb.n, only=open_, reach="far")
+    done = nb.knn.join(open_.select(F.col("node").alias("src")), "src", "left_anti").select("src", "rank", "dst", "dist")
+    return replace(nb, knn=cut(done.unionByName(wider), replaces=nb.knn))
 
 
 @method("phate")

@@ -279,3 +279,18 @@ def test_wide_rows_come_in_small_batches(table, spark, monkeypatch):
     # Three vectors of two steps and the start, and the known one, read twice; then five neighbours' vectors and the row's own.
     assert [a for a, _ in asked] == [8 * 10, 8 * 10, 8 * 4 * 6]
     assert all(b <= 8 * 2**20 for _, b in asked)
+
+
+def test_kernel_lists_take_two_joins(table, monkeypatch):
+    """Rows whose first list is cut ask once more, up to their reach, and the kernel is that of all pairs."""
+    x = np.random.default_rng(15).normal(size=(300, 12))
+    joins, plain = [], G.knn_exact
+    monkeypatch.setattr(G, "knn_exact", lambda *a, **k: joins.append(k) or plain(*a, **k))
+    got = {(r.src, r.dst): r.w for r in G.decay_kernel(G.kernel_neighbours(table(x), 3, 8.0), 3, 8.0).collect()}
+    d = S.gaps(x, x)
+    eps = np.sort(d, axis=1)[:, 3]
+    w = 0.5 * np.exp(-((d / eps[:, None]) ** 8)) + 0.5 * np.exp(-((d / eps[None]) ** 8))
+    np.fill_diagonal(w, 1.0)
+    want = {(i, j): w[i, j] for i, j in zip(*np.nonzero(w >= 1e-4))}
+    assert len(joins) == 1 and len(want) > 300 * 24
+    assert got.keys() == want.keys() and got == pytest.approx(want, abs=1e-9)
