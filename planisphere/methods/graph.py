@@ -17,6 +17,7 @@ from planisphere.operators.graph import (
     EXTRA_VECTORS, Eigen, Links, Neighbours, barycentre_weights, connect, eigenvectors, geodesics, neighbours, product,
 )
 from planisphere.operators.knn import knn_exact, symmetrise
+from planisphere.operators.moments import sum_arrays
 from planisphere.operators.one_task import times
 from planisphere.operators.subset import landmarks_random
 from planisphere.registry import method, neighbour_options
@@ -251,14 +252,22 @@ def phate_operator(nb: Neighbours, kernel: DataFrame, landmarks: int, seed: int)
     p_nl = cut(to.groupBy(F.col("src").alias("node"), "cluster").agg(F.sum("w").alias("w")).join(degree, "node")
                .select("node", "cluster", (F.col("w") / F.col("deg")).alias("p"), "w"))
     links.close()
-    # P_LN P_NL: one row per node holds at most k + 1 clusters; its pairs go straight into L x L sums.
-    per_node = p_nl.groupBy("node").agg(F.collect_list(F.struct("cluster", "w", "p")).alias("c"))
-    cells = per_node.select(F.explode("c").alias("a"), "c").select("a", F.explode("c").alias("b")).groupBy(
-        F.col("a.cluster").alias("i"), F.col("b.cluster").alias("j")).agg(F.sum(F.col("a.w") * F.col("b.p")).alias("v")).collect()
-    size = max(r["i"] for r in cells) + 1
-    op = np.zeros((size, size))
-    for r in cells:
-        op[r["i"], r["j"]] = r["v"]
+    # P_LN P_NL: the rows of a batch meet their clusters in two matrices of ``size`` columns, whose product is summed.
+    size = cluster.agg(F.max("cluster")).first()[0] + 1
+    per_node = p_nl.groupBy("node").agg(F.collect_list(F.struct("cluster", "w", "p")).alias("c")).select("c.cluster", "c.w", "c.p")
+
+    def part(batch):
+        out = np.zeros((size, size))
+        for first in range(0, batch.num_rows, 4096):
+            few = batch.slice(first, 4096)
+            at = np.repeat(np.arange(few.num_rows), few.column(0).value_lengths().to_numpy(zero_copy_only=False))
+            w, p = np.zeros((2, few.num_rows, size))
+            for matrix, column in ((w, 1), (p, 2)):
+                matrix[at, few.column(0).flatten().to_numpy()] = few.column(column).flatten().to_numpy()
+            out += w.T @ p
+        return [out]
+
+    op = sum_arrays(per_node, part)[0]
     total = op.sum(axis=1, keepdims=True)
     return p_nl.select("node", "cluster", "p"), op / np.where(total > 0, total, 1.0)
 

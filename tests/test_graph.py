@@ -294,3 +294,22 @@ def test_kernel_lists_take_two_joins(table, monkeypatch):
     want = {(i, j): w[i, j] for i, j in zip(*np.nonzero(w >= 1e-4))}
     assert len(joins) == 1 and len(want) > 300 * 24
     assert got.keys() == want.keys() and got == pytest.approx(want, abs=1e-9)
+
+
+def test_landmark_operator_is_the_product(table):
+    """The operator equals the product of both transition matrices, made without a row per pair of clusters."""
+    x = np.random.default_rng(16).normal(size=(90, 4))
+    nb = neighbours(table(x), 12)
+    kernel = G.decay_kernel(nb, 5, 10.0)
+    p, op = G.phate_operator(nb, kernel, 9, 1)
+    at = {}
+    for r in p.collect():
+        at[r.node, r.cluster] = r.p
+    degree = np.zeros(90)
+    for r in kernel.collect():
+        degree[r.src] += r.w
+    share = np.zeros((90, op.shape[0]))
+    for (i, c), v in at.items():
+        share[i, c] = v
+    want = (share * degree[:, None]).T @ share
+    np.testing.assert_allclose(op, want / want.sum(axis=1, keepdims=True), atol=1e-9)
