@@ -327,3 +327,28 @@ def test_rows_up_to_a_distance(table, spark, blocks):
     whole = brute(x, 79)
     want = {i: [j for j in whole[i] if np.sqrt(((x[i] - x[j]) ** 2).sum()) <= r] for i, r in reach.items()}
     assert got == {i: near for i, near in want.items() if near}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan"])
+def test_descent_measures_only_what_may_enter(monkeypatch, metric):
+    """Members of a list that are too far from each other are told so by a product; what is found stays the same."""
+    rng = np.random.default_rng(17)
+    x, worst = rng.normal(size=(200, 16)) + 50.0, rng.uniform(0.5, 1.0, 200)
+    scale = {"euclidean": 4.5, "cosine": 4e-4, "manhattan": 14.0}[metric]
+    of = np.repeat(np.arange(6), 40)
+    ids = np.concatenate([rng.permutation(200)[:40] for _ in range(6)])
+    met = pa.table({"of": of, "id": ids, "fresh": rng.random(240) < 0.5, "worst": worst[ids] * scale, "vec": pa.array(list(x[ids]), pa.list_(pa.float64()))})
+
+    def found():
+        measured = []
+        plain = K._exact
+        with monkeypatch.context() as patch:
+            patch.setattr(K, "_exact", lambda a, b, *rest: measured.append(len(a)) or plain(a, b, *rest))
+            rows = K._meet(metric, "bigint")(met).to_pylist()
+        return sum(measured), sorted((r["src"], r["dst"], r["dist"]) for r in rows)
+
+    screened = found()
+    monkeypatch.setattr(K, "_may_enter", lambda *_: None)
+    every = found()
+    assert screened[1] == every[1] and 0 < len(every[1]) < every[0]
+    assert screened[0] < every[0] / 2 if metric != "manhattan" else screened[0] == every[0]
