@@ -244,3 +244,47 @@ def test_swarm_best_never_rises(table, blobs):
     params = typed_params("tsne_pso", {"n_iter": 2, "n_particles": 3, "perplexity": 8, "learning_rate": 20.0})
     _, coords, history = T.fit_swarm(table(*blobs), params)
     assert coords.count() == 120 and all(b <= a for a, b in zip(history, history[1:]))
+
+
+def test_cells_reach_the_driver_few_at_a_time(spark, monkeypatch):
+    """The cells of all particles come as columns, of some particles at a time, and the grid is the same."""
+    from planisphere.operators import layout as O
+
+    rng = np.random.default_rng(8)
+    rows = [(i, p, float(a), float(b)) for p in range(3) for i, (a, b) in enumerate(rng.normal(size=(50, 2)) * 9)]
+    state = spark.createDataFrame(rows, "node bigint, particle int, x double, y double")
+    whole = repulsion_grid(state, 3)
+    sizes, plain = [], type(state).toArrow
+
+    def counted(self):
+        out = plain(self)
+        sizes.append(out.num_rows)
+        return out
+
+    monkeypatch.setattr(type(state), "toArrow", counted)
+    monkeypatch.setattr(O, "CELLS", 48 * 48)
+    parted = repulsion_grid(state, 3)
+    np.testing.assert_allclose(parted[0].fields, whole[0].fields)
+    np.testing.assert_allclose(parted[1], whole[1])
+    assert len(sizes) == 3 and max(sizes) <= 200
+
+
+def test_rows_of_all_particles_count_as_broadcast(table, blobs, monkeypatch):
+    """A swarm's node tables hold a row per particle; where those outgrow a broadcast the links say so."""
+    asked, plain = [], T.Links
+    monkeypatch.setattr(T, "Links", lambda edges, n, row_bytes: asked.append(row_bytes) or plain(edges, n, row_bytes))
+    params = typed_params("tsne_pso", {"n_iter": 0, "n_particles": 6, "perplexity": 8})
+    T.fit_swarm(table(*blobs), params)
+    assert asked == [6 * 128]
+
+
+def test_swarm_beyond_a_broadcast(table, blobs, monkeypatch):
+    """The same maps where the rows of all particles meet the edges by shuffle."""
+    params = typed_params("tsne_pso", {"n_iter": 1, "n_particles": 2, "perplexity": 8, "learning_rate": 20.0})
+    maps = []
+    for size in (128, 1 << 30):
+        monkeypatch.setattr(T, "PARTICLE_BYTES", size)
+        _, coords, history = T.fit_swarm(table(*blobs), params)
+        maps.append((in_order(coords, "x", "y", key="node"), history))
+    np.testing.assert_allclose(maps[0][0], maps[1][0], rtol=1e-6, atol=1e-9)
+    np.testing.assert_allclose(maps[0][1], maps[1][1], rtol=1e-9)
